@@ -12,6 +12,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import quality_scores
+from .tokens import tokens_round_trip
 
 from pyspark.sql import functions as F
 
@@ -24,6 +25,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens_round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(load(spark, sf_dir, "documents"))
 
@@ -39,6 +46,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op5_source_mixing": op5_source_mixing,
+    "op6_token_ids": op6_token_ids,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op10_near_dedup": op10_near_dedup,
