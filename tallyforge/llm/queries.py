@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_turns
 from .common import load
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
@@ -13,6 +14,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import quality_scores
+from .rollups import rollup_of_documents
 from .suffix_dedup import repeated_spans
 from .tokens import tokens_round_trip
 
@@ -23,6 +25,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup_of_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op3_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_turns(load(spark, sf_dir, "conversations"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -57,6 +67,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_token_rollups": op2_token_rollups,
+    "op3_chat_turns": op3_chat_turns,
     "op4_decontaminate": op4_decontaminate,
     "op5_source_mixing": op5_source_mixing,
     "op6_token_ids": op6_token_ids,
@@ -66,6 +78,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
+OP2_SQL = r"""
+WITH m AS (
+  SELECT doc_id, coalesce(bool_or(toxic = 1), false) AS toxic, coalesce(bool_or(quality = 0), false) AS poor FROM labels GROUP BY doc_id
+), d AS (
+  SELECT source, lang, coalesce(CASE WHEN NOT m.toxic AND m.poor THEN regexp_replace(text, '[^\p{L}\p{N}\x20\x09-\x0D]+', ' ', 'g') ELSE text END, '') AS text
+  FROM documents LEFT JOIN m USING (doc_id) WHERE NOT coalesce(m.toxic, false)
+), t AS (
+  SELECT source, lang, unnest([
+    {'tokenizer': 'words-1', 'n': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))},
+    {'tokenizer': 'letters-2', 'n': len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]'))}]) AS x FROM d
+)
+SELECT source, lang, x.tokenizer AS tokenizer, count(*) AS n_docs, sum(x.n)::BIGINT AS n_tokens FROM t GROUP BY ALL
+"""
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -119,6 +145,7 @@ SELECT doc_id, n_lines, n_removed, sha256(clean) AS clean_sha256 FROM j
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_token_rollups": OP2_SQL,
     "op5_source_mixing": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
