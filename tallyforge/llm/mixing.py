@@ -51,7 +51,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row for each document: how many copies the mix takes of it.
 
     Columns: ``id_col``, ``source``, ``size`` (words), ``source_size``,
-    ``target`` (of its source), ``copies``, ``taken`` (words, repeats counted).
+    ``target`` (of its source), ``copies``, ``taken`` (words, repeats counted),
+    ``body`` (a hash of the text).
 
     Null text has size 0; a source of size 0 has target 0 and gives nothing.
     Null is a source of its own. Repeated rows count each and may get different
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     (source, size, id), so no source is ordered in one task.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("body"))
     order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("id").asc_nulls_last()]
     rows = rows.repartitionByRange(shuffle_parts(spark), *order).withColumn("part", F.spark_partition_id())
     rows = stored(rows, "mix-rows")
@@ -83,10 +84,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("rate", rate).withColumn("offset", offset_of(F.col("source"), seed))
     crossed = F.floor(k * F.col("rate") + F.col("offset")) - F.floor((k - 1) * F.col("rate") + F.col("offset"))
     rows = rows.withColumn("copies", F.greatest(F.lit(0), crossed).cast("long"))
-    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "body")
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed corpus itself: each document's row once for every copy taken."""
-    counts = mix(docs, id_col, **options).filter("copies > 0").groupBy(F.col(id_col).alias("_mix_id")).agg(F.sum("copies").cast("int").alias("_mix_copies"))
-    return docs.join(counts, docs[id_col].eqNullSafe(F.col("_mix_id"))).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus itself: each row of ``docs`` once for every copy taken, all columns as they were.
+
+    Rows that agree in id, source and text share their copies evenly.
+    """
+    key = [F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.xxhash64(text_col).alias("_body")]
+    counts = mix(docs.select(id_col, source_col, text_col), id_col, text_col, source_col, **options)
+    counts = counts.groupBy(F.col(id_col).alias("_i"), F.col("source").alias("_s"), F.col("body").alias("_b")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0")
+    rows = docs.select("*", *key).join(counts, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_body") == F.col("_b")))
+    alone = rows.filter("_rows = 1").withColumn("_n", F.col("_copies"))
+    nth = F.row_number().over(W.partitionBy("_id", "_source", "_body").orderBy(F.lit(0)))
+    among = rows.filter("_rows > 1").withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long"))
+    rows = alone.unionByName(among).filter("_n > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[docs[c] for c in docs.columns])

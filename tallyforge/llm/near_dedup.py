@@ -167,3 +167,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = rows.select("id", "n").join(least, "id", "left")
     out = out.withColumn("component_id", F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the document with its id.
+
+    Rows repeated with one id are one document, of which one row stays; rows
+    without an id all stay.
+    """
+    gone = near_duplicates(docs, id_col, text_col, shingle, percent).filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
+    left = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return left.filter(F.col(id_col).isNull()).union(left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))

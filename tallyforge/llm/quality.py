@@ -141,6 +141,37 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def _kept_column(model: Model | None, flat: float, threshold: float):
+    def kept(text: pa.Array) -> pa.Array:
+        x = document_vectors(text)
+        return pa.array(np.full(len(x), flat) >= threshold if model is None else model.score(x) >= threshold, pa.bool_())
+
+    kept.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    return F.arrow_udf(kept, "boolean")
+
+
+def trained(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, shrinkage: float) -> tuple[Model | None, float]:
+    """The model from ``rows(id, x)`` and the labels of the training fold; and the score where there is none."""
+    marks = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("label"))
+    marks = marks.filter(~held_out(F.col("lid")) & F.col("label").isin(0, 1))
+    train = rows.join(marks, F.col("id") == F.col("lid")).select("x", "label")
+    model, flat = fit(train, "label", shrinkage), 0.5
+    if model is None:
+        share = marks.agg(F.avg("label")).first()[0]
+        flat = flat if share is None else float(share)
+    return model, flat
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, shrinkage: float = SHRINKAGE) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, all columns as they were.
+
+    Trains like ``quality_scores``; the rows themselves are scored where they
+    lie, without a shuffle.
+    """
+    model, flat = trained(with_vectors(docs, id_col, text_col), labels, id_col, label_col, shrinkage)
+    return docs.filter(_kept_column(model, flat, threshold)(F.col(text_col).cast("string")))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, shrinkage: float = SHRINKAGE) -> DataFrame:
     """Score every row of ``docs``: ``id_col``, ``held_out``, ``score``, ``predicted``.
 
@@ -152,14 +183,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     label 1 in training, 0.5 without any. Other columns are not looked at.
     """
     rows = stored(with_vectors(docs, id_col, text_col), "quality-vectors")
-    marks = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("label"))
-    marks = marks.filter(~held_out(F.col("lid")) & F.col("label").isin(0, 1))
-    train = rows.join(marks, F.col("id") == F.col("lid")).select("x", "label")
-    model = fit(train, "label", shrinkage)
-    flat = None
-    if model is None:
-        flat = marks.agg(F.avg("label")).first()[0]
-        flat = 0.5 if flat is None else float(flat)
+    model, flat = trained(rows, labels, id_col, label_col, shrinkage)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
