@@ -1 +1 @@
-
+"""Operators over indexed arrays: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-
+"""The query catalogue and what runs it."""

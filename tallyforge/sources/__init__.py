@@ -1 +1 @@
-
+"""Sources, generators and sinks."""
