@@ -34,16 +34,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import shuffle_parts, stored
-from .texthash import mix64, raw_texts
+from .texthash import mix64, raw_texts, slices
 
 GRAM = 32
-#: Window starts handled at once.
+#: Window starts, and bytes of texts, handled at once; bounds the working arrays.
 CHUNK = 1 << 20
 _U = np.uint64
 _rng = np.random.default_rng(99)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _ODD = _U(0x9E3779B97F4A7C15)
-_ROWS = 4000
 
 
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -104,8 +103,8 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarra
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, len(whole), _ROWS):
-                b = whole.slice(i, _ROWS)
+            for i, end in slices(whole.column(2), CHUNK):
+                b = whole.slice(i, end - i)
                 raw, bounds = raw_texts(b.column(2))
                 text, at, least, most, gram = anchors(raw, bounds, length)
                 view = memoryview(raw.tobytes())

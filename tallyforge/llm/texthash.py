@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -39,6 +41,17 @@ def raw_texts(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def slices(text: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Cut a batch into (start, end) of at most ``most`` bytes each; a longer text stands alone."""
+    wide = text.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(wide.buffers()[1], dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    a = 0
+    while a < len(wide):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 def word_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where words begin: bytes other than ASCII white space after white space or a text's start."""
     inside = ~SPACES[raw]
