@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texthash import LOWER, SPACES, mix64, raw_texts, word_hashes, word_starts
+from .texthash import LOWER, SPACES, mix64, raw_texts, slices, word_hashes, word_starts
 
 #: BM25's k1 and b.
 K1, B = 1.2, 0.75
@@ -202,18 +202,13 @@ def _share(part: np.ndarray, whole: np.ndarray) -> float:
 
 def _leaks(index: Index, text: pa.Array, threshold: float, overlap: float) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(len(text))]
-    sizes = text.fill_null("").cast(pa.large_string())
-    sizes = np.diff(np.frombuffer(sizes.buffers()[1], dtype=np.int64)[sizes.offset : sizes.offset + len(text) + 1])
-    a = 0
-    while a < len(text):
-        b = max(a + 1, a + int(np.searchsorted(np.cumsum(sizes[a:]), _BYTES)))
+    for a, b in slices(text, _BYTES):
         words, ends = terms(text.slice(a, b - a))
         for i, item, score in zip(*retrieve(index, words, ends, threshold), strict=True):
             own = words[ends[i] : ends[i + 1]]
             question, answer = (_share(runs, runs_of(own, k)) for k, runs in index.parts[item])
             if min(question, answer) >= overlap:
                 out[a + i].append({"item_id": int(index.items[item]), "score": float(score), "question_overlap": question, "answer_overlap": answer})
-        a = b
     return out
 
 
