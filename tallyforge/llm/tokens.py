@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import shared_dir, shuffle_parts
+from .texthash import slices
 
 #: Row group bytes, page bytes and most rows in a page of the token files.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
-#: Words kept with their ids in each Python worker.
-MEMO = 300_000
+#: Runs of letters kept with their ids in each Python worker, and bytes of text encoded at once.
+MEMO, CHUNK = 500_000, 12 << 20
 
 # A word of Latin-1 letters, with ASCII punctuation behind it or nothing else in it; no apostrophe, as that starts contractions.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
@@ -64,28 +66,38 @@ class WordTokens:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.int32).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a run of plain letters or of punctuation, kept for later words."""
+        form = piece.lower()
+        if not form.isascii():
+            form = "".join(map(self.letters.__getitem__, form.encode()))
+        ids = array("i", [t.id for t in self.whole.model.tokenize(form)]).tobytes() if form else b""
+        if len(self.memo) < MEMO:
+            self.memo[piece] = ids
+        return ids
+
     def _plain(self, word: str) -> bytes:
-        ids = []
-        for piece in _PLAIN.fullmatch(word).groups():
-            if piece:
-                piece = piece.lower()
-                if not piece.isascii():
-                    piece = "".join(map(self.letters.__getitem__, piece.encode()))
-                ids += [t.id for t in self.whole.model.tokenize(piece)]
-        return np.array(ids, dtype=np.int32).tobytes()
+        return b"".join(map(self._piece, _PLAIN.fullmatch(word).groups()))
 
     def words(self, words: list[str]) -> list[bytes]:
-        memo = self.memo
-        out = [memo.get(w) for w in words]
-        rest = []
-        for i, (w, known) in enumerate(zip(words, out, strict=True)):
-            if known is None:
-                if self.plain and _PLAIN.fullmatch(w):
-                    out[i] = self._plain(w)
-                    if len(memo) < MEMO:
-                        memo[w] = out[i]
-                else:
-                    rest.append(i)
+        if not self.plain:
+            return [ids for a in range(0, len(words), 4096) for ids in self._whole(words[a : a + 4096])]
+        known, match = self.memo.get, _PLAIN.fullmatch
+        out, rest = [], []
+        for w in words:
+            m = match(w)
+            if m is None:
+                rest.append(len(out))
+                out.append(b"")
+                continue
+            letters, signs = m.groups()
+            ids = known(letters)
+            if ids is None:
+                ids = self._piece(letters)
+            if signs:
+                more = known(signs)
+                ids += self._piece(signs) if more is None else more
+            out.append(ids)
         for a in range(0, len(rest), 4096):
             part = rest[a : a + 4096]
             for i, ids in zip(part, self._whole([words[i] for i in part]), strict=True):
@@ -115,8 +127,8 @@ def _encoder(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, before, row = WordTokens(path), 0, 0
         for whole in batches:
-            for a in range(0, len(whole), 2000):
-                b = whole.slice(a, 2000)
+            for a, z in slices(whole.column(1), CHUNK):
+                b = whole.slice(a, z - a)
                 ids, starts = tokens.batch(b.column(1), end)
                 n = np.diff(starts)
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
