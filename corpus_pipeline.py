@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm.common import load, shared_dir, stored
-from tallyforge.llm.decontaminate import with_leaks
+from tallyforge.llm.decontaminate import without_leaks
 from tallyforge.llm.mixing import mixed_rows
 from tallyforge.llm.near_dedup import without_near_duplicates
 from tallyforge.llm.quality import without_rejected
@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    return with_leaks(docs, load(spark, sf_dir, "benchmark"), into="_leaks").filter("size(_leaks) = 0").drop("_leaks")
+    return without_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

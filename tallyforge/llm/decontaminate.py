@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .texthash import LOWER, SPACES, mix64, raw_texts, slices, word_hashes, word_starts
@@ -243,25 +243,33 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     return [build_index(items[i : i + most], len(items), df, mean, threshold) for i in range(0, len(items), most)]
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into: str = "leaks", threshold: float = THRESHOLD, overlap: float = OVERLAP, most: int = INDEX_ITEMS) -> DataFrame:
-    """``docs`` with the array ``into`` of benchmark items that each document contains; empty where none.
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, most: int = INDEX_ITEMS) -> Column:
+    """For rows of ``docs``: the array of benchmark items that a document contains; empty where none.
 
     Nothing is shuffled: each document is split into passages and asked where
     it lies. Null, empty and blank texts hold nothing. Items without a word
     are left out, as are null ids and texts; of items with one id one counts.
-    An answer or question without words counts as found. ``into`` must not be
-    a column of ``docs``; all others are kept as they are, whatever their
-    names. Without items or rows every array is empty.
+    An answer or question without words counts as found. Without items every
+    array is empty.
     """
     found = F.array().cast(LEAK)
-    spark = docs.sparkSession
     for index in indexes(benchmark, threshold=threshold, most=most):
-        leaks = _leak_column(spark.sparkContext.broadcast(index), threshold, overlap)
-        found = F.concat(found, leaks(F.col(text_col).cast("string")))
-    return docs.withColumn(into, found)
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        found = F.concat(found, _leak_column(shared, threshold, overlap)(F.col(text_col).cast("string")))
+    return found
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that contain no benchmark item, all columns as they were."""
+    return docs.filter(F.size(leaks(docs, benchmark, text_col, **options)) == 0)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(``id_col``, ``item_id``, ``score``, ``question_overlap``, ``answer_overlap``): one row for each item a document contains."""
-    rows = with_leaks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, **options)
+    """(``id_col``, ``item_id``, ``score``, ``question_overlap``, ``answer_overlap``): one row for each item a document contains.
+
+    Other columns of ``docs`` are not looked at; rows repeated give their
+    items each; a null id is kept; an empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.select("id", leaks(rows, benchmark, **options).alias("leaks"))
     return rows.select(F.col("id").alias(id_col), F.inline("leaks"))

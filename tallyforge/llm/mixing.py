@@ -63,7 +63,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     (source, size, id), so no source is ordered in one task.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("body"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("body"))
     order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("id").asc_nulls_last()]
     rows = rows.repartitionByRange(shuffle_parts(spark), *order).withColumn("part", F.spark_partition_id())
     rows = stored(rows, "mix-rows")
@@ -92,12 +92,13 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that agree in id, source and text share their copies evenly.
     """
-    key = [F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.xxhash64(text_col).alias("_body")]
+    # The row travels as one struct, so that no name of its columns can clash.
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("body"))
     counts = mix(docs.select(id_col, source_col, text_col), id_col, text_col, source_col, **options)
-    counts = counts.groupBy(F.col(id_col).alias("_i"), F.col("source").alias("_s"), F.col("body").alias("_b")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0")
-    rows = docs.select("*", *key).join(counts, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_body") == F.col("_b")))
-    alone = rows.filter("_rows = 1").withColumn("_n", F.col("_copies"))
-    nth = F.row_number().over(W.partitionBy("_id", "_source", "_body").orderBy(F.lit(0)))
-    among = rows.filter("_rows > 1").withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long"))
-    rows = alone.unionByName(among).filter("_n > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    counts = counts.groupBy(F.col(id_col).alias("i"), F.col("source").alias("s"), F.col("body").alias("b")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    rows = keyed.join(counts, F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("body") == F.col("b")))
+    alone = rows.filter("rows = 1").withColumn("n", F.col("copies"))
+    nth = F.row_number().over(W.partitionBy("id", "source", "body").orderBy(F.lit(0)))
+    among = rows.filter("rows > 1").withColumn("n", F.floor(F.col("copies") / F.col("rows")) + (nth <= F.col("copies") % F.col("rows")).cast("long"))
+    rows = alone.unionByName(among).filter("n > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")

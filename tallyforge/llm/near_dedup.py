@@ -201,6 +201,6 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Rows repeated with one id are one document, of which one row stays; rows
     without an id all stay.
     """
-    gone = near_duplicates(docs, id_col, text_col, shingle, percent).filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, shingle, percent).filter("NOT kept").select(F.col(id_col).alias("gone")).distinct()
+    left = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
     return left.filter(F.col(id_col).isNull()).union(left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
