@@ -43,7 +43,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = found.select(F.col("id").alias("fid"), F.col("body").alias("fbody"), "starts")
     rows = base.join(found, base["id"].eqNullSafe(F.col("fid")) & (base["body"] == F.col("fbody")), "left")
     covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + WIDTH - 1)))
-    rows = rows.withColumn("lines", F.split("text", "\n", -1)).withColumn("gone", F.when(F.col("starts").isNotNull(), F.map_from_entries(F.transform(F.array_distinct(covered), lambda i: F.struct(i, F.lit(True))))))
-    kept = F.filter("lines", lambda _, i: ~F.coalesce(F.map_contains_key("gone", i), F.lit(False)))
-    rows = rows.withColumn("rest", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))
-    return rows.select(F.col("id").alias(id_col), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("rest", "\n")).alias("clean_text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("rest")).cast("long").alias("n_removed"))
+    rows = rows.withColumn("lines", F.split("text", "\n", -1))
+    # The places that no window covers, in order; one pass with a hash set, however long the text.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
+    rows = rows.withColumn("stay", F.when(F.col("starts").isNotNull(), stay))
+    rest = F.transform("stay", lambda i: F.get("lines", i))
+    gone = F.when(F.col("stay").isNull(), 0).otherwise(F.size("lines") - F.size("stay"))
+    return rows.select(F.col("id").alias(id_col), F.when(F.col("stay").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("clean_text"), F.size("lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))
