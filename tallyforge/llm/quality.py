@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .texthash import raw_texts, word_hashes, word_starts
+from .texthash import CHUNK, raw_texts, slices, word_hashes, word_starts
 
 FEATURES = ("log_bytes", "upper", "symbols", "bars", "digits", "exclaims", "punct", "mean_word", "blank_share", "line_repeat", "mean_line", "caps_start", "echo")
 #: Share of the pooled diagonal in each class covariance.
@@ -46,11 +46,16 @@ _TABLE = _byte_classes()
 
 
 def document_vectors(text: pa.Array) -> np.ndarray:
-    """One row of ``FEATURES`` for each text; null is empty, an empty text is all zeros."""
+    """One row of ``FEATURES`` for each text; null is empty, an empty text is all zeros.
+
+    Works on slices of about ``CHUNK`` bytes, so that the working arrays do not grow with the batch.
+    """
+    return np.vstack([np.zeros((0, len(FEATURES))), *(_slice_vectors(text.slice(a, b - a)) for a, b in slices(text, CHUNK))])
+
+
+def _slice_vectors(text: pa.Array) -> np.ndarray:
     n = len(text)
     raw, bounds = raw_texts(text)
-    if not n:
-        return np.zeros((0, len(FEATURES)))
     starts = word_starts(raw, bounds)
     hashes, ends = word_hashes(raw, starts), np.searchsorted(starts, bounds)
     words = np.diff(ends).astype(float)
