@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
-from .texthash import mix64, shingle_set, texts_words
+from .texthash import CHUNK, mix64, shingle_set, slices, texts_words
 
 #: A pair at similarity 0.85 shares no band with probability 7e-9, at 0.8 with 3e-6.
 BANDS, ROWS = 32, 5
@@ -52,9 +52,16 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return mix64((mix64(rows + _U(1)) * _BAND).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of (id, text) in slices of about ``CHUNK`` bytes of text, which bound the working arrays."""
+    for b in batches:
+        for start, end in slices(b.column(1), CHUNK):
+            yield b.slice(start, end - start)
+
+
 def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             words, ends = texts_words(b.column(1), lower=True)
             size, h1, h2, keys, counts = [], [], [], [], []
             for i in range(len(b)):
@@ -72,7 +79,7 @@ def _sketches(shingle: int):
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             words, ends = texts_words(b.column(1), lower=True)
             sets = [shingle_set(words[ends[i] : ends[i + 1]], shingle).tobytes() for i in range(len(b))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["id", "members"])
