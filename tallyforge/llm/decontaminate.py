@@ -7,6 +7,9 @@ Postings lie in blocks of items and each block keeps each term's highest
 impact. A passage is only scored against blocks whose summed maxima reach the
 threshold; a passage with none but terms that cannot reach it together is not
 looked at. Both bounds are exact, so all items above the threshold come back.
+An item longer than a stride is indexed whole and in overlapping parts of one
+stride, each over its own score: a copy of a part lies in one passage, however
+long the item is.
 Each is then verified on the whole document: shares of the question's and of
 the answer's word runs that occur in it.
 """
@@ -30,7 +33,9 @@ from .texthash import LOWER, SPACES, mix64, raw_texts, slices, word_hashes, word
 K1, B = 1.2, 0.75
 #: A passage is two strides long; strides overlap by half of it.
 STRIDE = 64
-#: Items in a posting block, and in one index: more items make more indexes.
+#: Words from one part of a long item to the next.
+PART_STEP = STRIDE // 2
+#: Entries (items and parts of long ones) in a posting block, and in one index: more make more indexes.
 BLOCK, INDEX_ITEMS = 8, 20_000
 THRESHOLD, OVERLAP = 0.5, 0.6
 #: Words in a run for the overlap checks.
@@ -76,11 +81,18 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return body[:cut], body[cut:]
 
 
+def entries(n: int) -> list[tuple[int, int]]:
+    """Bounds of what is indexed of an item of ``n`` words: the whole and, if it is longer than a stride, its parts."""
+    parts = [*range(0, n - STRIDE, PART_STEP), n - STRIDE] if n > STRIDE else []
+    return [(0, n), *((a, a + STRIDE) for a in parts)]
+
+
 @dataclass(frozen=True)
 class Index:
-    """Items, and their postings by term (rows of ``vocabulary``, sorted hashes)."""
+    """Entries, each an item or a part of one, and their postings by term (rows of ``vocabulary``, sorted hashes)."""
 
-    items: np.ndarray
+    items: np.ndarray  # of each entry: the item's id
+    item: np.ndarray  # of each entry: the row of ``parts``
     vocabulary: np.ndarray
     essential: np.ndarray  # of each term: whether a passage needs one such term to reach the threshold
     block_start: np.ndarray  # CSR by term
@@ -89,6 +101,7 @@ class Index:
     post_start: np.ndarray  # CSR by row of ``block``
     post_item: np.ndarray
     post_impact: np.ndarray
+    ids: list[int]
     parts: list[tuple[tuple[int, np.ndarray], ...]]  # of each item, for question and answer: the run length and the runs
     filter_bits: np.ndarray
 
@@ -96,7 +109,10 @@ class Index:
 def build_index(items: list[tuple[int, str]], n_all: int, df_all: dict[int, int], mean_len: float, threshold: float) -> Index:
     split = [question_and_answer(t) for _, t in items]
     words, ends = terms(pa.array([t for _, t in items], pa.string()))
-    docs = [words[ends[i] : ends[i + 1]] for i in range(len(items))]
+    whole = [words[ends[i] : ends[i + 1]] for i in range(len(items))]
+    bounds = [(i, a, b) for i, w in enumerate(whole) for a, b in entries(len(w))]
+    docs = [whole[i][a:b] for i, a, b in bounds]
+    item = np.array([i for i, _, _ in bounds], dtype=np.int64)
     q, qe = terms(pa.array([s[0] for s in split], pa.string()))
     a, ae = terms(pa.array([s[1] for s in split], pa.string()))
     postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -121,7 +137,7 @@ def build_index(items: list[tuple[int, str]], n_all: int, df_all: dict[int, int]
     post_start.append(len(post_item))
     # Terms from the weakest on, for as long as all of them together stay under the threshold in every block.
     essential = np.ones(len(vocabulary), dtype=bool)
-    held = np.zeros(len(items) // BLOCK + 1)
+    held = np.zeros(len(docs) // BLOCK + 1)
     by_weight = sorted(range(len(vocabulary)), key=lambda k: (-(block_start[k + 1] - block_start[k]), k))
     for k in by_weight:
         own = slice(block_start[k], block_start[k + 1])
@@ -136,7 +152,7 @@ def build_index(items: list[tuple[int, str]], n_all: int, df_all: dict[int, int]
     for i in range(len(items)):
         both = (q[qe[i] : qe[i + 1]], a[ae[i] : ae[i + 1]])
         parts.append(tuple((min(len(w), RUN), runs_of(w, min(len(w), RUN))) for w in both))
-    return Index(np.array([i for i, _ in items], dtype=np.int64), vocabulary, essential, np.array(block_start), np.array(block, dtype=np.int64), np.array(most), np.array(post_start), np.array(post_item, dtype=np.int64), np.array(impact), parts, bits)
+    return Index(np.array([i for i, _ in items], dtype=np.int64)[item], item, vocabulary, essential, np.array(block_start), np.array(block, dtype=np.int64), np.array(most), np.array(post_start), np.array(post_item, dtype=np.int64), np.array(impact), [i for i, _ in items], parts, bits)
 
 
 def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +163,7 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def retrieve(index: Index, words: np.ndarray, ends: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, score) for every item that a passage of the text scores at or above the threshold.
+    """(text, entry, score) for every entry that a passage of the text scores at or above the threshold.
 
     Passages are two strides of words; a score is the best over the text's passages.
     """
@@ -204,11 +220,15 @@ def _leaks(index: Index, text: pa.Array, threshold: float, overlap: float) -> li
     out: list[list[dict]] = [[] for _ in range(len(text))]
     for a, b in slices(text, _BYTES):
         words, ends = terms(text.slice(a, b - a))
-        for i, item, score in zip(*retrieve(index, words, ends, threshold), strict=True):
+        best: dict[tuple[int, int], float] = {}
+        for i, entry, score in zip(*retrieve(index, words, ends, threshold), strict=True):
+            key = int(i), int(index.item[entry])
+            best[key] = max(score, best.get(key, 0.0))
+        for (i, item), score in best.items():
             own = words[ends[i] : ends[i + 1]]
             question, answer = (_share(runs, runs_of(own, k)) for k, runs in index.parts[item])
             if min(question, answer) >= overlap:
-                out[a + i].append({"item_id": int(index.items[item]), "score": float(score), "question_overlap": question, "answer_overlap": answer})
+                out[a + i].append({"item_id": index.ids[item], "score": float(score), "question_overlap": question, "answer_overlap": answer})
     return out
 
 
@@ -226,11 +246,11 @@ def _leak_column(shared: Broadcast, threshold: float, overlap: float):
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = INDEX_ITEMS) -> list[Index]:
-    """The benchmark's indexes, at most ``most`` items in each; term statistics are those of all items.
+    """The benchmark's indexes, at most ``most`` entries in each; term statistics are those of all items.
 
     Test items are few and short beside a corpus; what one index takes is
     bounded by ``most``, and a larger benchmark makes more indexes, each with
-    a scan of its own.
+    a scan of its own. All entries of an item are in one index.
     """
     rows = [(int(r[0]), r[1]) for r in benchmark.select(id_col, text_col).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).dropDuplicates([id_col]).orderBy(id_col).toLocalIterator()]
     words, ends = terms(pa.array([t for _, t in rows], pa.string()))
@@ -239,13 +259,22 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
         return []
     df = Counter(t for _, w in rows for t in set(w.tolist()))
     mean = sum(len(w) for _, w in rows) / len(rows)
-    items = [r for r, _ in rows]
-    return [build_index(items[i : i + most], len(items), df, mean, threshold) for i in range(0, len(items), most)]
+    packs, room = [], 0
+    for r, w in rows:
+        need = len(entries(len(w)))
+        if need > room:
+            packs.append([])
+            room = most
+        packs[-1].append(r)
+        room -= need
+    return [build_index(pack, len(rows), df, mean, threshold) for pack in packs]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, most: int = INDEX_ITEMS) -> Column:
     """For rows of ``docs``: the array of benchmark items that a document contains; empty where none.
 
+    ``score`` is the best that a passage reaches against the item or a part of it.
+
     Nothing is shuffled: each document is split into passages and asked where
     it lies. Null, empty and blank texts hold nothing. Items without a word
     are left out, as are null ids and texts; of items with one id one counts.

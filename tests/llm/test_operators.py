@@ -221,6 +221,18 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontaminate.contaminated(messy(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_long_items_are_found_at_every_offset(spark):
+    r = random.Random(17)
+    items = [(i, f"{prose(r, n - 9)}? {prose(r, 9)}.") for i, n in enumerate((64, 65, 128, 200, 300, 300, 1000, 1000))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(100 * i + k, f"{prose(r, 40 + 17 * k)} {t} {prose(r, 150)}", "en", "a", 0) for i, t in items for k in range(8)]
+    clean = [(9000 + k, prose(r, 1500), "en", "a", 0) for k in range(5)] + [(9100, " ".join(items[6][1].split()[:300]) + prose(r, 300), "en", "a", 0)]
+    for most in (20_000, 10):
+        got = decontaminate.contaminated(messy(spark, rows + clean), bench, most=most).collect()
+        assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(100 * i + k, i) for i, _ in items for k in range(8)]
+        assert all(x["score"] == pytest.approx(1) and x["question_overlap"] == x["answer_overlap"] == 1 for x in got)
+
+
 # 5 mixing
 
 
