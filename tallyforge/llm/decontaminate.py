@@ -91,7 +91,7 @@ def entries(n: int) -> list[tuple[int, int]]:
 class Index:
     """Entries, each an item or a part of one, and their postings by term (rows of ``vocabulary``, sorted hashes)."""
 
-    items: np.ndarray  # of each entry: the item's id
+    items: np.ndarray  # of each entry: the item's id, null too
     item: np.ndarray  # of each entry: the row of ``parts``
     vocabulary: np.ndarray
     essential: np.ndarray  # of each term: whether a passage needs one such term to reach the threshold
@@ -101,12 +101,12 @@ class Index:
     post_start: np.ndarray  # CSR by row of ``block``
     post_item: np.ndarray
     post_impact: np.ndarray
-    ids: list[int]
+    ids: list[int | None]
     parts: list[tuple[tuple[int, np.ndarray], ...]]  # of each item, for question and answer: the run length and the runs
     filter_bits: np.ndarray
 
 
-def build_index(items: list[tuple[int, str]], n_all: int, df_all: dict[int, int], mean_len: float, threshold: float) -> Index:
+def build_index(items: list[tuple[int | None, str]], n_all: int, df_all: dict[int, int], mean_len: float, threshold: float) -> Index:
     split = [question_and_answer(t) for _, t in items]
     words, ends = terms(pa.array([t for _, t in items], pa.string()))
     whole = [words[ends[i] : ends[i + 1]] for i in range(len(items))]
@@ -152,7 +152,7 @@ def build_index(items: list[tuple[int, str]], n_all: int, df_all: dict[int, int]
     for i in range(len(items)):
         both = (q[qe[i] : qe[i + 1]], a[ae[i] : ae[i + 1]])
         parts.append(tuple((min(len(w), RUN), runs_of(w, min(len(w), RUN))) for w in both))
-    return Index(np.array([i for i, _ in items], dtype=np.int64)[item], item, vocabulary, essential, np.array(block_start), np.array(block, dtype=np.int64), np.array(most), np.array(post_start), np.array(post_item, dtype=np.int64), np.array(impact), [i for i, _ in items], parts, bits)
+    return Index(np.array([i for i, _ in items], dtype=object)[item], item, vocabulary, essential, np.array(block_start), np.array(block, dtype=np.int64), np.array(most), np.array(post_start), np.array(post_item, dtype=np.int64), np.array(impact), [i for i, _ in items], parts, bits)
 
 
 def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +252,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     bounded by ``most``, and a larger benchmark makes more indexes, each with
     a scan of its own. All entries of an item are in one index.
     """
-    rows = [(int(r[0]), r[1]) for r in benchmark.select(id_col, text_col).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).dropDuplicates([id_col]).orderBy(id_col).toLocalIterator()]
+    rows = [(r[0], r[1]) for r in benchmark.select(F.col(id_col).cast("long"), text_col).filter(F.col(text_col).isNotNull()).distinct().orderBy(id_col, text_col).toLocalIterator()]
     words, ends = terms(pa.array([t for _, t in rows], pa.string()))
     rows = [(r, words[ends[i] : ends[i + 1]]) for i, r in enumerate(rows) if ends[i + 1] > ends[i]]
     if not rows:
@@ -277,7 +277,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", thresho
 
     Nothing is shuffled: each document is split into passages and asked where
     it lies. Null, empty and blank texts hold nothing. Items without a word
-    are left out, as are null ids and texts; of items with one id one counts.
+    are left out, as are null texts. Every different text is an item of its
+    own: an id with several texts, null too, comes once for each that is found.
     An answer or question without words counts as found. Without items every
     array is empty.
     """

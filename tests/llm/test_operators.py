@@ -233,6 +233,17 @@ def test_long_items_are_found_at_every_offset(spark):
         assert all(x["score"] == pytest.approx(1) and x["question_overlap"] == x["answer_overlap"] == 1 for x in got)
 
 
+def test_every_text_of_a_benchmark_id_counts(spark):
+    r = random.Random(23)
+    items = [(1, prose(r, 20) + "."), (1, prose(r, 20) + "."), (None, prose(r, 20) + "."), (None, prose(r, 20) + "."), (2, prose(r, 20) + ".")]
+    bench = spark.createDataFrame([*items, items[0], items[2], (None, None), (None, " ")], "item_id long, text string")
+    rows = [(k, f"{prose(r, 50)} {t} {prose(r, 50)}", "en", "a", 0) for k, (_, t) in enumerate(items)] + [(9, prose(r, 100), "en", "a", 0)]
+    for most in (20_000, 2):
+        got = decontaminate.contaminated(messy(spark, rows), bench, most=most).collect()
+        assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(k, i) for k, (i, _) in enumerate(items)]
+    assert [x["doc_id"] for x in decontaminate.without_leaks(messy(spark, rows), bench).collect()] == [9]
+
+
 # 5 mixing
 
 
