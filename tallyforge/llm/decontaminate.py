@@ -11,7 +11,7 @@ An item longer than a stride is indexed whole and in overlapping parts of one
 stride, each over its own score: a copy of a part lies in one passage, however
 long the item is.
 Each is then verified on the whole document: shares of the question's and of
-the answer's word runs that occur in it.
+the answer's word runs that occur in it, or of all runs where nothing is asked.
 """
 
 from __future__ import annotations
@@ -70,10 +70,15 @@ def runs_of(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix64(total + _U(k)))
 
 
+def asks(text: str) -> bool:
+    """Whether something follows a '?'; else the two parts are one statement, cut at its last sentence."""
+    return "?" in text.strip()[:-1]
+
+
 def question_and_answer(text: str) -> tuple[str, str]:
     """The answer is what follows the last '?', else the last sentence, else nothing."""
     body = text.strip()
-    if "?" in body[:-1]:
+    if asks(body):
         cut = body.rindex("?", 0, len(body) - 1) + 1
     else:
         ends = [m.end() for m in re.finditer(r"[.!]\s+|\n+", body)]
@@ -102,7 +107,7 @@ class Index:
     post_item: np.ndarray
     post_impact: np.ndarray
     ids: list[int | None]
-    parts: list[tuple[tuple[int, np.ndarray], ...]]  # of each item, for question and answer: the run length and the runs
+    parts: list[tuple[tuple[int, np.ndarray], ...]]  # of each item, for question, answer and, if it does not ask, the whole: the run length and the runs
     filter_bits: np.ndarray
 
 
@@ -150,8 +155,8 @@ def build_index(items: list[tuple[int | None, str]], n_all: int, df_all: dict[in
     bits[(vocabulary >> _U(44)).astype(np.int64)] = True
     parts = []
     for i in range(len(items)):
-        both = (q[qe[i] : qe[i + 1]], a[ae[i] : ae[i + 1]])
-        parts.append(tuple((min(len(w), RUN), runs_of(w, min(len(w), RUN))) for w in both))
+        checked = [q[qe[i] : qe[i + 1]], a[ae[i] : ae[i + 1]], *([] if asks(items[i][1]) else [whole[i]])]
+        parts.append(tuple((min(len(w), RUN), runs_of(w, min(len(w), RUN))) for w in checked))
     return Index(np.array([i for i, _ in items], dtype=object)[item], item, vocabulary, essential, np.array(block_start), np.array(block, dtype=np.int64), np.array(most), np.array(post_start), np.array(post_item, dtype=np.int64), np.array(impact), [i for i, _ in items], parts, bits)
 
 
@@ -226,8 +231,8 @@ def _leaks(index: Index, text: pa.Array, threshold: float, overlap: float) -> li
             best[key] = max(score, best.get(key, 0.0))
         for (i, item), score in best.items():
             own = words[ends[i] : ends[i + 1]]
-            question, answer = (_share(runs, runs_of(own, k)) for k, runs in index.parts[item])
-            if min(question, answer) >= overlap:
+            question, answer, *statement = (_share(runs, runs_of(own, k)) for k, runs in index.parts[item])
+            if max([min(question, answer), *statement]) >= overlap:
                 out[a + i].append({"item_id": index.ids[item], "score": float(score), "question_overlap": question, "answer_overlap": answer})
     return out
 
@@ -279,8 +284,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", thresho
     it lies. Null, empty and blank texts hold nothing. Items without a word
     are left out, as are null texts. Every different text is an item of its
     own: an id with several texts, null too, comes once for each that is found.
-    An answer or question without words counts as found. Without items every
-    array is empty.
+    An answer or question without words counts as found; a question without
+    its answer is no leak. An item that asks nothing is found by a share of all
+    its runs as well. Without items every array is empty.
     """
     found = F.array().cast(LEAK)
     for index in indexes(benchmark, threshold=threshold, most=most):

@@ -244,6 +244,16 @@ def test_every_text_of_a_benchmark_id_counts(spark):
     assert [x["doc_id"] for x in decontaminate.without_leaks(messy(spark, rows), bench).collect()] == [9]
 
 
+def test_a_statement_without_its_last_sentence_is_a_leak(spark):
+    r = random.Random(29)
+    told, asked = f"{prose(r, 30)}. {prose(r, 8)}.", f"{prose(r, 30)}? {prose(r, 8)}."
+    bench = spark.createDataFrame([(1, told), (2, asked), (3, prose(r, 40) + "?")], "item_id long, text string")
+    cut = lambda t, k: " ".join(t.split()[:k])
+    rows = [(k, f"{prose(r, 50)} {t} {prose(r, 50)}", "en", "a", 0) for k, t in enumerate((told, cut(told, 30), cut(told, 15), asked, cut(asked, 30)))]
+    got = decontaminate.contaminated(messy(spark, rows), bench).collect()
+    assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(0, 1), (1, 1), (3, 2)]
+
+
 # 5 mixing
 
 
