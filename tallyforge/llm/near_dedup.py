@@ -3,7 +3,8 @@
 1. Every document becomes its set of word shingles, a 128-bit hash of the
    whole set, and one key for each band of its minima under random
    multiply-shift hashes. Documents with one set are one class; its smallest
-   id stands for it from there on.
+   id stands for it from there on, or a number above all ids where that id
+   stands for another class. Classes with an id in common are linked.
 2. Classes that share a band key are candidates. First each class meets the
    smallest class of its buckets, which joins up most of a bucket at one
    comparison a member. Members of buckets that still hold several components
@@ -59,6 +60,11 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(start, end - start)
 
 
+def _hashes(s: np.ndarray) -> tuple[int, int]:
+    """A set's 128 bits; zeros for the empty set."""
+    return tuple(int(mix64(s ^ _U(x)).sum().view(np.int64)) if len(s) else 0 for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+
+
 def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
@@ -67,8 +73,9 @@ def _sketches(shingle: int):
             for i in range(len(b)):
                 s = shingle_set(words[ends[i] : ends[i + 1]], shingle)
                 size.append(len(s))
-                h1.append(int(mix64(s ^ _U(0x5851F42D4C957F2D)).sum().view(np.int64)) if len(s) else 0)
-                h2.append(int(mix64(s ^ _U(0x14057B7EF767814F)).sum().view(np.int64)) if len(s) else 0)
+                one, two = _hashes(s)
+                h1.append(one)
+                h2.append(two)
                 keys.append(band_keys(s) if len(s) else np.zeros(0, np.int64))
                 counts.append(len(keys[-1]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
@@ -81,8 +88,11 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
             words, ends = texts_words(b.column(1), lower=True)
-            sets = [shingle_set(words[ends[i] : ends[i + 1]], shingle).tobytes() for i in range(len(b))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["id", "members"])
+            sets = [shingle_set(words[ends[i] : ends[i + 1]], shingle) for i in range(len(b))]
+            hashes = [_hashes(s) for s in sets]
+            h1, h2 = (pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1))
+            members = pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(map(len, sets), pa.int64()), h1, h2, members], ["n", "h1", "h2", "members"])
 
     return run
 
@@ -118,7 +128,29 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(n).take(rows), pa.array(flat[i : i + 200_000])], ["rep", "root", "n", "token"])
 
 
-def _prefix_pairs(sets: DataFrame, loose: DataFrame, percent: int) -> DataFrame:
+def _classes(full: DataFrame) -> tuple[DataFrame, str]:
+    """(``rep``, ``id``, ``n``, ``h1``, ``h2``, ``keys``) for each class, and the type of ``rep``.
+
+    ``rep`` is unique and no smaller than ``id``, the class's smallest id.
+    Where one id is that of several classes, one of them has it as ``rep`` and
+    the others have numbers above all ids.
+    """
+    # Partial aggregation leaves one row for each class and task, however many copies there are.
+    classes = stored(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys")), "near-classes")
+    own = F.struct("n", "h1", "h2")
+    first = classes.groupBy("id").agg(F.min(own).alias("first"), F.max(own).alias("last")).filter("first <> last").select("id", "first")
+    others = classes.join(first, "id").filter(own != F.col("first")).select("n", "h1", "h2", F.monotonically_increasing_id().alias("k"))
+    others = stored(others, "near-others")
+    most = others.agg(F.max("k")).first()[0]
+    if most is None:
+        return classes.withColumn("rep", F.col("id")), "bigint"
+    last = full.agg(F.max("id")).first()[0]
+    kind = "bigint" if last + 1 + most < 2**63 else "decimal(20,0)"
+    number = (F.lit(last).cast("decimal(20,0)") + F.col("k") + 1).cast(kind)
+    return classes.join(others, ["n", "h1", "h2"], "left").withColumn("rep", F.coalesce(number, F.col("id").cast(kind))).drop("k"), kind
+
+
+def _prefix_pairs(sets: DataFrame, loose: DataFrame, percent: int, kind: str) -> DataFrame:
     """Pairs (a, b) of ``loose(rep, root)`` with different roots that may be linked; none that is linked is missing.
 
     An exact prefix filter. All shingles have one order, the rarest among
@@ -129,8 +161,8 @@ def _prefix_pairs(sets: DataFrame, loose: DataFrame, percent: int) -> DataFrame:
     meets nothing: a copy with many changes of its own has no other shingle
     among its first and is compared with nobody.
     """
-    rows = sets.join(loose, F.col("id") == F.col("rep")).select("rep", "root", "members")
-    tokens = rows.mapInArrow(_tokens, "rep long, root long, n long, token long")
+    rows = sets.join(loose, "rep").select("rep", "root", "members")
+    tokens = rows.mapInArrow(_tokens, f"rep {kind}, root {kind}, n long, token long")
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     # A shingle that only one document has adds to the places before the others.
     shared = tokens.join(often, "token").groupBy("rep", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"))
@@ -167,35 +199,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(base.mapInArrow(_sketches(shingle), "id long, n long, h1 long, h2 long, keys array<long>"), "near-rows")
 
     full = rows.filter("n > 0 AND id IS NOT NULL")
-    # Partial aggregation leaves one row for each class and task, however many copies there are.
-    classes = full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"))
-    members = stored(classes.select("rep", F.explode("keys").alias("key")), "near-bands")
+    classes, kind = _classes(full)
+    members = classes.select("rep", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("least")).filter("m > 1")
     buckets = stored(members.join(shared, "key").select("key", "rep", "least"), "near-buckets")
 
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
+    wanted = classes.select("rep", "id", "n", "h1", "h2").join(buckets.select("rep").distinct(), "rep")
     texts = base.join(wanted, "id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets(shingle), "id long, members binary").dropDuplicates(["id"]), "near-sets", "lz4")
+    # Rows of a wanted id may be of several classes: a set is known by its class.
+    sets = texts.mapInArrow(_sets(shingle), "n long, h1 long, h2 long, members binary").dropDuplicates(["n", "h1", "h2"])
+    sets = stored(sets.join(wanted.drop("id"), ["n", "h1", "h2"]).select("rep", "members"), "near-sets", "lz4")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
-        b = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
-        return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "near-links")
+        a = sets.select(F.col("rep").alias("a"), F.col("members").alias("x"))
+        b = sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
+        return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "near-links")
+
+    # Repeated ids with different sets: the id links its classes.
+    reps = stored(full.select("id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("id", "rep"), "near-ids")
+    several = reps.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last").select("id", "a")
+    same_id = stored(reps.join(several, "id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "near-same-id")
 
     first = buckets.filter("rep > least").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b"))
-    links = confirmed(first)
+    links = confirmed(first).union(same_id)
     roots = stored(components(links), "near-roots")
     # What is left: members of buckets that hold several components.
     named = buckets.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     loose = stored(named.join(mixed, "key", "left_semi").select("rep", "root").distinct(), "near-open")
-    more = confirmed(_prefix_pairs(sets, loose, percent))
+    more = confirmed(_prefix_pairs(sets, loose, percent, kind))
     links = links.union(more)
     roots = stored(components(links), "near-roots")
 
-    # Repeated ids with different sets: the id links its classes.
-    reps = full.select("id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"])
-    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("root"))
+    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").cast("long").alias("root"))
     least = named.groupBy("id").agg(F.min("root").alias("root"))
     out = rows.select("id", "n").join(least, "id", "left")
     out = out.withColumn("component_id", F.coalesce("root", "id"))
@@ -205,9 +241,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with its id.
 
-    Rows repeated with one id are one document, of which one row stays; rows
-    without an id all stay.
+    Rows repeated with one id are one document, of which one row stays, the
+    one with the least text; rows without an id all stay.
     """
     gone = near_duplicates(docs, id_col, text_col, shingle, percent).filter("NOT kept").select(F.col(id_col).alias("gone")).distinct()
     left = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
-    return left.filter(F.col(id_col).isNull()).union(left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col(text_col), F.lit(""))).alias("one")
+    return left.filter(F.col(id_col).isNull()).union(left.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("group")).agg(one).select("one.*"))

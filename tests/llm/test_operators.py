@@ -442,6 +442,20 @@ def test_near_duplicates_on_messy_rows(spark):
     assert sorted(str(x["doc_id"]) for x in near_dedup.without_near_duplicates(messy(spark, rows)).collect()) == ["2", "6", "8", "9", "None"]
 
 
+@pytest.mark.parametrize("top", [50, 2**63 - 1])
+def test_texts_of_a_repeated_id_keep_their_links(spark, top):
+    r = random.Random(31)
+    a, b, c, d = (prose(r, 120) for _ in range(4))
+    near_to = lambda t: t + " " + prose(r, 1)
+    texts = [(1, a), (1, b), (2, near_to(a)), (3, near_to(b)), (4, b), (5, c), (5, near_to(b)), (6, near_to(c)), (7, d), (top, near_to(d)), (top, d)]
+    rows = [(i, t, "en", "a", 0) for i, t in texts]
+    for part in (rows, rows[::-1]):
+        got = {(x["doc_id"], x["component_id"], x["kept"]) for x in near_dedup.near_duplicates(messy(spark, part)).collect()}
+        assert got == {(i, 1 if i < 7 else 7, i in (1, 7)) for i, _ in texts}
+        left = near_dedup.without_near_duplicates(messy(spark, part))
+        assert sorted((x["doc_id"], x["text"]) for x in left.collect()) == [(1, min(a, b)), (7, d)] and left.columns == messy(spark, part).columns
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(13)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200 + r.randrange(30), 200 + r.randrange(30)) for _ in range(25)]
