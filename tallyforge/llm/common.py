@@ -2,30 +2,56 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of one Arrow batch of the operators that run Python.
+BATCH_BYTES = 4 << 20
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """This application's folder in the one that driver and executors share, ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a local one is made.
+    Where the session names none, a local folder is made on one machine
+    (tests); on a cluster that is an error. All tables of a run lie in its
+    folder, so it can be deleted as a whole when the run's results are read.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        sc = spark.sparkContext
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
         named = sc.getCheckpointDir()
-        if not named:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
-            named = sc.getCheckpointDir()
-    return named.rstrip("/")
+    return f"{named.rstrip('/')}/tallyforge-{sc.applicationId}"
+
+
+def files(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path``, and its Hadoop path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def lean(spark: SparkSession) -> None:
+    """From now on this session hands texts to Python in batches of a few MB, where it does not ask for smaller ones.
+
+    Spark's default of 64 MB is held several times over, in the executor and in each of its workers.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"(\d+)b?$", spark.conf.get(key))
+    if now and int(now[1]) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
@@ -37,7 +63,45 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing that is still to be computed reads it."""
+    for t in tables:
+        fs, at = files(t.sparkSession, t.stored_at)
+        fs.delete(at, True)
+
+
+@contextmanager
+def range_samples(spark: SparkSession, n: int) -> Iterator[None]:
+    """Inside, Spark samples ``n`` keys for each range instead of 100; for long keys, all of which pass through the driver."""
+    key = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and as ``weight`` how many rows of ``left`` have it.
+
+    A key with more than a quarter of a task's fair share of the rows would
+    make one task slow. Such keys are four for each task at most, whatever the
+    data: their rows are joined by broadcast, where they lie. All others are
+    shuffled by key. ``right`` should be a stored table, as it is read several
+    times; keys are not null. ``weight`` is not in the result.
+    """
+    parts = shuffle_parts(left.sparkSession)
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    bar = max(1, total // (4 * parts))
+    hot = F.broadcast(right.filter(F.col(weight) > bar).drop(weight))
+    rest = left.join(F.broadcast(right.filter(F.col(weight) > bar).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(rest.join(right.filter(F.col(weight) <= bar).drop(weight), keys))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # GNU's C library
+except (AttributeError, OSError):
+    _trim = None
 _U = np.uint64
 #: Bytes hashed at once; bounds the working arrays whatever the length of a text.
 CHUNK = 1 << 20
@@ -30,6 +36,25 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C library keep what the largest batch needed."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which the worker, which other tasks use again, holds no more than before."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def raw_texts(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a batch, and where each text starts and ends; null is empty."""
     text = text.fill_null("").cast(pa.large_string())
@@ -42,11 +67,10 @@ def raw_texts(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(text: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Cut a batch into (start, end) of at most ``most`` bytes each; a longer text stands alone."""
-    wide = text.fill_null("").cast(pa.large_string())
-    ends = np.frombuffer(wide.buffers()[1], dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    """Cut a batch of texts or bytes into (start, end) of at most ``most`` bytes each; a longer one stands alone."""
+    ends = np.append(0, np.cumsum(pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64))
     a = 0
-    while a < len(wide):
+    while a < len(text):
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
         yield a, b
         a = b
