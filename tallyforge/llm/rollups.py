@@ -1,34 +1,77 @@
 """Token counts as delta-maintained rollups by source, language and tokenizer version.
 
 A batch of signed changes (inserts, deletes, revised counts) is summed to one
-additive delta for each key and committed under its batch id by one rename.
-A batch id that is there already is left as it is, so a batch may be sent
-again after any failure. Totals are the sums of all committed deltas.
+additive delta for each key, written to a folder of its own, and committed by
+a marker that carries the batch id and names the folder. Markers appear whole
+and never replace one another, so of two writers of one batch one wins and the
+other is told so; a batch may be sent again after any failure. Totals are the
+sums of all committed deltas, or of a compacted one and those since.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import files, lean, shared_dir, stored
+from .texthash import slices
 
 KEYS = ("source", "lang", "tokenizer")
-#: Tokenizer versions of the query: a pattern for each; its matches are tokens.
-TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "letters-2": r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]"}
 SCHEMA = "source string, lang string, tokenizer string, tokens long, docs long"
+#: Bytes of text that a library tokenizer encodes at once.
+CHUNK = 1 << 20
 
 
-def pattern_count(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))).cast("long")
+@dataclass(frozen=True)
+class Library:
+    """A tokenizer of the tokenizers library by its vocabulary file, which every executor can read at this path."""
 
+    path: str
 
-def counted(docs: DataFrame, text: str, into: str, tokenizers: dict[str, str] = TOKENIZERS) -> DataFrame:
-    """One row for each row and tokenizer version, with the number of tokens of ``text``."""
-    each = F.array(*[F.struct(F.lit(name).alias("tokenizer"), pattern_count(F.col(text), p).alias(into)) for name, p in tokenizers.items()])
-    return docs.withColumn("_each", F.explode(each)).select("*", "_each.*").drop("_each")
+
+#: Tokenizer versions of the query: a pattern, whose matches are tokens, or a ``Library`` for each.
+TOKENIZERS: dict[str, str | Library] = {"words-1": r"[^\x20\x09-\x0D]+", "letters-2": r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]"}
+
+
+def _library_count(path: str):
+    """Counts of whole texts; the tokenizer is loaded once for each worker, not for each batch."""
+    loaded: list = []
+
+    def count(text: pa.Array) -> pa.Array:
+        if not loaded:
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(path))
+        out = []
+        for a, b in slices(text, CHUNK):
+            out += [len(e.ids) for e in loaded[0].encode_batch_fast(text.slice(a, b - a).fill_null("").to_pylist(), add_special_tokens=False)]
+        return pa.array(out, pa.int64())
+
+    count.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    return F.arrow_udf(count, "long")
+
+
+def token_count(text: Column, version: str | Library) -> Column:
+    """Tokens of the whole text; 0 for null."""
+    if isinstance(version, Library):
+        return _library_count(version.path)(text)
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(version), F.lit(0))).cast("long")
+
+
+def counts(text: Column, tokenizers: dict[str, str | Library]) -> Column:
+    """One count for each tokenizer version, in their order."""
+    return F.array(*[token_count(text, v) for v in tokenizers.values()])
+
+
+def changes(rows: DataFrame, op: Column, new: Column, old: Column, tokenizers: dict[str, str | Library]) -> DataFrame:
+    """A change for each row of ``rows(source, lang, ...)`` and tokenizer version, from arrays of counts."""
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, tokenizers)).alias("tokenizer"), new.alias("n_tokens"), old.alias("old_tokens")))
+    return rows.select(op.alias("op"), "source", "lang", each.alias("each")).select("op", "source", "lang", "each.*")
 
 
 def delta(changes: DataFrame) -> DataFrame:
@@ -36,8 +79,9 @@ def delta(changes: DataFrame) -> DataFrame:
 
     ``insert`` adds ``n_tokens`` and a document, ``delete`` takes them away,
     ``revise`` adds ``n_tokens - old_tokens``. Null counts are 0; a null op or
-    another one changes nothing; null keys are keys. A document that changes
-    its source or language is a delete and an insert.
+    another one changes nothing; null keys are keys; repeated rows count each;
+    no rows give no rows. A document that changes its source or language is a
+    delete and an insert.
     """
     n, old = F.coalesce("n_tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
     tokens = F.when(F.col("op") == "insert", n).when(F.col("op") == "delete", -n).when(F.col("op") == "revise", n - old).otherwise(0)
@@ -45,66 +89,121 @@ def delta(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEYS).agg(F.sum(tokens).cast("long").alias("tokens"), F.sum(docs).cast("long").alias("docs"))
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, at = files(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    fs, at = files(spark, path)
+    return spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(at), "UTF-8")
+
+
+def _claim(spark: SparkSession, store: str, path: str, text: str) -> bool:
+    """Make ``path`` hold ``text``; False if another writer's file is there already.
+
+    The file is written beside it and moved with a rename that never replaces,
+    so a marker is seen whole or not at all.
+    """
+    fs, staged = files(spark, f"{store}/staged/{uuid.uuid4().hex}")
+    out = fs.create(staged, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    target = files(spark, path)[1]
+    fs.mkdirs(target.getParent())
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    never = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    try:
+        hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(staged, target, never)
+    except Exception:
+        fs.delete(staged, False)
+        if not fs.exists(target):
+            raise
+        return False
+    return True
 
 
 def committed(spark: SparkSession, store: str, batch: str) -> bool:
-    files, at = _files(spark, f"{store}/batches/{batch}")
-    return files.exists(at)
+    fs, at = files(spark, f"{store}/commits/{batch}")
+    return fs.exists(at)
 
 
 def commit_batch(spark: SparkSession, store: str, batch: str, changes: DataFrame) -> bool:
-    """Commit a batch once; False if ``batch`` is committed already. ``batch`` names a folder: no '/'.
+    """Commit a batch once; False if ``batch`` is committed already, also by a writer at the same time.
 
-    The delta is written beside the batches and moved in by a rename, so a
-    reader sees all of it or nothing, whichever writer is first.
+    ``batch`` names a file: no '/'. A reader sees all of a batch or nothing.
     """
     if not batch or "/" in batch or batch[0] in "._":
-        raise ValueError("a batch id must be a plain folder name")
+        raise ValueError("a batch id must be a plain file name")
     if committed(spark, store, batch):
         return False
-    staged = f"{store}/staged/{batch}-{uuid.uuid4().hex}"
-    delta(changes).coalesce(1).write.parquet(staged)
-    files, source = _files(spark, staged)
-    target = _files(spark, f"{store}/batches/{batch}")[1]
-    files.mkdirs(target.getParent())
-    if not files.exists(target) and files.rename(source, target):
-        # Where two writers raced, a rename onto a folder moves into it; only the first one's files are at its top.
+    folder = f"{batch}-{uuid.uuid4().hex}"
+    delta(changes).write.parquet(f"{store}/deltas/{folder}")
+    if _claim(spark, store, f"{store}/commits/{batch}", folder):
         return True
-    files.delete(source, True)
+    fs, at = files(spark, f"{store}/deltas/{folder}")
+    fs.delete(at, True)
     return False
 
 
+def _live(spark: SparkSession, store: str) -> tuple[list[str], list[str]]:
+    """The folders whose sum is the totals, and the batches they hold."""
+    snapshots = _names(spark, f"{store}/compacted")
+    base = json.loads(_text(spark, f"{store}/compacted/{snapshots[-1]}")) if snapshots else {"folder": None, "batches": []}
+    known = set(base["batches"])
+    fresh = [b for b in _names(spark, f"{store}/commits") if b not in known]
+    folders = [_text(spark, f"{store}/commits/{b}") for b in fresh]
+    return [*([base["folder"]] if base["folder"] else []), *folders], [*base["batches"], *fresh]
+
+
+def _summed(spark: SparkSession, store: str, folders: list[str]) -> DataFrame:
+    rows = spark.read.schema(SCHEMA).parquet(*[f"{store}/deltas/{f}" for f in folders]) if folders else spark.createDataFrame([], SCHEMA)
+    return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+
+
+def compact(spark: SparkSession, store: str) -> bool:
+    """Sum all committed deltas to one folder, which totals read from then on; False if another writer was first.
+
+    Markers of the batches stay, so that they are refused when sent again; old
+    folders stay for readers that have begun.
+    """
+    folders, batches = _live(spark, store)
+    if len(folders) < 2:
+        return False
+    folder = f"compacted-{uuid.uuid4().hex}"
+    _summed(spark, store, folders).select("source", "lang", "tokenizer", "tokens", "docs").write.parquet(f"{store}/deltas/{folder}")
+    turn = len(_names(spark, f"{store}/compacted"))
+    return _claim(spark, store, f"{store}/compacted/{turn:09d}", json.dumps({"folder": folder, "batches": batches}))
+
+
 def totals(spark: SparkSession, store: str) -> DataFrame:
     """``source``, ``lang``, ``tokenizer``, ``n_docs``, ``n_tokens`` over all committed batches; keys at zero are left out."""
-    files, at = _files(spark, f"{store}/batches")
-    if not files.exists(at) or not files.listStatus(at):
-        return spark.createDataFrame([], SCHEMA).groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-    rows = spark.read.schema(SCHEMA).parquet(f"{store}/batches/*")
-    return rows.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
+    return _summed(spark, store, _live(spark, store)[0]).select(*KEYS, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
 
 
-def rollup_of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def rollup_of_documents(docs: DataFrame, labels: DataFrame, tokenizers: dict[str, str | Library] = TOKENIZERS) -> DataFrame:
     """All documents inserted; then, sent twice, a batch that deletes the toxic ones and revises those of low quality.
 
     A revised text has its runs of symbols replaced by a space. Rows without
     an id are inserted and never changed; a document that several label rows
-    name changes once; a toxic mark goes before a quality mark.
+    name changes once; a toxic mark goes before a quality mark; rows repeated
+    with one id are changed each. Null, empty and blank texts count as
+    documents without tokens, texts of any length are counted whole. Empty
+    tables give no rows; other columns are not looked at.
+
+    Texts are read in one scan and never shuffled: both batches are made from
+    a stored table of counts.
     """
     spark = docs.sparkSession
+    lean(spark)
     store = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
-    docs = docs.select("doc_id", "source", "lang", "text")
-    commit_batch(spark, store, "0001-load", counted(docs, "text", "n_tokens").select(F.lit("insert").alias("op"), *KEYS, "n_tokens", F.lit(0).alias("old_tokens")))
+    plain = F.regexp_replace("text", r"[^\p{L}\p{N}\x20\x09-\x0D]+", " ")
+    rows = docs.select("doc_id", "source", "lang", counts(F.col("text"), tokenizers).alias("old"), counts(plain, tokenizers).alias("new"))
+    rows = stored(rows, "rollup-counts")
+    commit_batch(spark, store, "0001-load", changes(rows, F.lit("insert"), F.col("old"), F.col("old"), tokenizers))
     marks = labels.groupBy("doc_id").agg(F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"), F.max(F.coalesce(F.col("quality") == 0, F.lit(False))).alias("poor")).filter("toxic OR poor")
-    changed = docs.join(marks, "doc_id").withColumn("new_text", F.regexp_replace("text", r"[^\p{L}\p{N}\x20\x09-\x0D]+", " "))
-    old = counted(changed, "text", "old_tokens")
-    new = F.create_map(*[x for name, p in TOKENIZERS.items() for x in (F.lit(name), pattern_count(F.col("new_text"), p))])
-    changes = old.select(
-        F.when(F.col("toxic"), "delete").otherwise("revise").alias("op"), *KEYS,
-        F.when(F.col("toxic"), F.col("old_tokens")).otherwise(F.element_at(new, F.col("tokenizer"))).alias("n_tokens"), "old_tokens",
-    )
+    changed = rows.join(marks, "doc_id")
+    clean = changes(changed, F.when(F.col("toxic"), "delete").otherwise("revise"), F.when(F.col("toxic"), F.col("old")).otherwise(F.col("new")), F.col("old"), tokenizers)
     for _ in range(2):
-        commit_batch(spark, store, "0002-clean", changes)
+        commit_batch(spark, store, "0002-clean", clean)
     return totals(spark, store)
