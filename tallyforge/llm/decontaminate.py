@@ -4,19 +4,24 @@ The inverted index holds the benchmark's items; every passage of every
 document is a query. A posting's impact is its BM25 weight over the item's
 score against its own text, so one threshold in (0, 1] serves all items.
 Postings lie in blocks of items and each block keeps each term's highest
-impact. A passage is only scored against blocks whose summed maxima reach the
-threshold; a passage with none but terms that cannot reach it together is not
-looked at. Both bounds are exact, so all items above the threshold come back.
-An item longer than a stride is indexed whole and in overlapping parts of one
-stride, each over its own score: a copy of a part lies in one passage, however
-long the item is.
-Each is then verified on the whole document: shares of the question's and of
-the answer's word runs that occur in it, or of all runs where nothing is asked.
+impact. A passage with none but terms that cannot reach the threshold together,
+or without a block whose summed maxima reach it, is not looked at; this is
+tested for a batch of passages at once. The others go through block-max WAND:
+lists ordered by their next entry, a pivot where their maxima reach the
+threshold, the pivot's block tested by its own maxima, and skips past what
+neither can reach. All bounds are exact, so all items above the threshold come
+back. An item longer than a stride is indexed whole and in overlapping parts of
+one stride, each over its own score: a copy of a part lies in one passage,
+however long the item is.
+Each is then verified near where it scored (its passages and a stride on either
+side): shares of the question's and of the answer's word runs that occur there,
+or of all runs where nothing is asked.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +32,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texthash import LOWER, SPACES, mix64, raw_texts, slices, word_hashes, word_starts
+from .common import lean, stored
+from .texthash import LOWER, SPACES, give_back, mix64, raw_texts, slices, word_hashes, word_starts
 
 #: BM25's k1 and b.
 K1, B = 1.2, 0.75
@@ -36,15 +42,21 @@ STRIDE = 64
 #: Words from one part of a long item to the next.
 PART_STEP = STRIDE // 2
 #: Entries (items and parts of long ones) in a posting block, and in one index: more make more indexes.
-BLOCK, INDEX_ITEMS = 8, 20_000
+BLOCK, INDEX_ITEMS = 2, 20_000
+#: Indexes that are broadcast together; a benchmark of more is searched in several scans.
+WAVE = 4
 THRESHOLD, OVERLAP = 0.5, 0.6
 #: Words in a run for the overlap checks.
 RUN = 5
-_BYTES = 1 << 21
+_BYTES = 1 << 20
 _U = np.uint64
 _rng = np.random.default_rng(4)
+_EPS = 1e-9
+#: Cells of a table of bounds.
+_CELLS = 1 << 20
 _STEP = _rng.integers(1, 2**63, RUN, dtype=np.uint64) * _U(2) + _U(1)
 
+_BLANK = " \t\n\x0b\x0c\r"
 #: Words end at ASCII white space and ASCII punctuation.
 GAPS = SPACES.copy()
 GAPS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -59,29 +71,31 @@ def terms(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(raw, starts), np.searchsorted(starts, bounds)
 
 
-def runs_of(words: np.ndarray, k: int) -> np.ndarray:
-    """Distinct hashes of ``k`` words in a row."""
+def runs_of(words: np.ndarray, k: int, looked_at: np.ndarray | None = None) -> np.ndarray:
+    """Distinct hashes of ``k`` words in a row, all of them ``looked_at`` if that is given."""
     n = len(words)
     if n < k or not k:
         return np.zeros(0, dtype=np.uint64)
     total = words[: n - k + 1] * _STEP[0]
     for i in range(1, k):
         total = total + words[i : n - k + 1 + i] * _STEP[i]
+    if looked_at is not None:
+        total = total[np.convolve(looked_at, np.ones(k, dtype=np.int64), "valid") == k]
     return np.unique(mix64(total + _U(k)))
 
 
 def asks(text: str) -> bool:
     """Whether something follows a '?'; else the two parts are one statement, cut at its last sentence."""
-    return "?" in text.strip()[:-1]
+    return "?" in text.strip(_BLANK)[:-1]
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
     """The answer is what follows the last '?', else the last sentence, else nothing."""
-    body = text.strip()
+    body = text.strip(_BLANK)
     if asks(body):
         cut = body.rindex("?", 0, len(body) - 1) + 1
     else:
-        ends = [m.end() for m in re.finditer(r"[.!]\s+|\n+", body)]
+        ends = [m.end() for m in re.finditer(r"[.!][\x20\x09-\x0D]+|\n+", body)]
         cut = ends[-1] if ends else len(body)
     return body[:cut], body[cut:]
 
@@ -147,7 +161,7 @@ def build_index(items: list[tuple[int | None, str]], n_all: int, df_all: dict[in
     for k in by_weight:
         own = slice(block_start[k], block_start[k + 1])
         at = np.array(block[own])
-        if (held[at] + np.array(most[own]) >= threshold - 1e-9).any():
+        if (held[at] + np.array(most[own]) >= threshold - _EPS).any():
             break
         held[at] += np.array(most[own])
         essential[k] = False
@@ -167,12 +181,50 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n), of
 
 
-def retrieve(index: Index, words: np.ndarray, ends: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, entry, score) for every entry that a passage of the text scores at or above the threshold.
-
-    Passages are two strides of words; a score is the best over the text's passages.
+def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+    """(entry, score) for every entry that the passage with these terms scores at or above the threshold: block-max WAND."""
+    items, impacts, blocks, most = [], [], [], []
+    for t in terms:
+        rows = slice(index.block_start[t], index.block_start[t + 1])
+        posts = slice(index.post_start[rows.start], index.post_start[rows.stop])
+        items.append(index.post_item[posts].tolist())
+        impacts.append(index.post_impact[posts].tolist())
+        blocks.append(dict(zip(index.block[rows].tolist(), index.block_most[rows].tolist(), strict=True)))
+        most.append(max(blocks[-1].values()))
+    at, out, need = [0] * len(terms), [], threshold - _EPS
+    while True:
+        ahead = sorted((x[at[i]], i) for i, x in enumerate(items) if at[i] < len(x))
+        bound, pivot = 0.0, None
+        for entry, i in ahead:
+            bound += most[i]
+            if bound >= need:
+                pivot = entry
+                break
+        if pivot is None:
+            return out
+        block = pivot // BLOCK
+        here = [i for entry, i in ahead if entry <= pivot]
+        if sum(blocks[i].get(block, 0.0) for i in here) < need:
+            # Nothing before the block's end can reach it, unless a list that lies ahead joins in.
+            after = ahead[len(here)][0] if len(here) < len(ahead) else len(index.items)
+            to = min((block + 1) * BLOCK, after)
+        elif ahead[0][0] == pivot:
+            score = sum(impacts[i][at[i]] for i in here)
+            if score >= need:
+                out.append((pivot, score))
+            to = pivot + 1
+        else:
+            to = pivot
+        for i in here:
+            at[i] = bisect_left(items[i], to, at[i])
+
+
+def retrieve(index: Index, words: np.ndarray, ends: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, passage, entry, score) for every entry that a passage of a text scores at or above the threshold.
+
+    Passage j of a text is its strides of words j - 1 and j.
     """
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    none = (*[np.zeros(0, np.int64)] * 3, np.zeros(0))
     at = np.flatnonzero(index.filter_bits[(words >> _U(44)).astype(np.int64)])
     if not len(at) or not len(index.vocabulary):
         return none
@@ -184,7 +236,8 @@ def retrieve(index: Index, words: np.ndarray, ends: np.ndarray, threshold: float
     # Passage j of a text begins with its stride j - 1, so a word in stride s is in passages s and s + 1.
     first = np.append(0, np.cumsum(-(-np.diff(ends) // STRIDE) + 1))
     own = first[text] + (at - ends[text]) // STRIDE
-    pairs = np.unique(np.concatenate([own, own + 1]) * len(index.vocabulary) + np.concatenate([term, term]))
+    pairs = np.sort(np.concatenate([own, own + 1]) * len(index.vocabulary) + np.concatenate([term, term]))
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
     passage, term = pairs // len(index.vocabulary), pairs % len(index.vocabulary)
     wanted = np.zeros(first[-1], dtype=bool)
     wanted[passage[index.essential[term]]] = True
@@ -192,26 +245,25 @@ def retrieve(index: Index, words: np.ndarray, ends: np.ndarray, threshold: float
     passage, term = passage[keep], term[keep]
     if not len(passage):
         return none
+    # The passages' bounds by block as a table, for as many passages at once as it has room for.
     n_blocks = len(index.items) // BLOCK + 1
-    row, of = _spread(index.block_start[term], index.block_start[term + 1])
-    cell = passage[of] * n_blocks + index.block[row]
-    cells, inverse = np.unique(cell, return_inverse=True)
-    bound = np.bincount(inverse, weights=index.block_most[row])
-    live = bound[inverse] >= threshold - 1e-9
-    if not live.any():
+    starts = np.append(np.flatnonzero(np.append(True, passage[1:] != passage[:-1])), len(passage))
+    live = []
+    for a in range(0, len(starts) - 1, max(1, _CELLS // n_blocks)):
+        own = starts[a : a + max(1, _CELLS // n_blocks) + 1]
+        row, of = _spread(index.block_start[term[own[0] : own[-1]]], index.block_start[term[own[0] : own[-1]] + 1])
+        nth = np.repeat(np.arange(len(own) - 1), np.diff(own))
+        bound = np.bincount(nth[of] * n_blocks + index.block[row], weights=index.block_most[row], minlength=(len(own) - 1) * n_blocks)
+        live.append(a + np.flatnonzero((bound.reshape(-1, n_blocks) >= threshold - _EPS).any(axis=1)))
+    live = np.concatenate(live)
+    out = []
+    for p, first_term, end in zip(passage[starts[live]].tolist(), starts[live].tolist(), starts[live + 1].tolist(), strict=True):
+        t = int(np.searchsorted(first, p, side="right")) - 1
+        out += [(t, p - int(first[t]), entry, score) for entry, score in wand(index, term[first_term:end].tolist(), threshold)]
+    if not out:
         return none
-    row, of = row[live], of[live]
-    post, back = _spread(index.post_start[row], index.post_start[row + 1])
-    cell = passage[of][back] * len(index.items) + index.post_item[post]
-    cells, inverse = np.unique(cell, return_inverse=True)
-    score = np.bincount(inverse, weights=index.post_impact[post])
-    hit = score >= threshold - 1e-9
-    cells, score = cells[hit], score[hit]
-    text = np.searchsorted(first, cells // len(index.items), side="right") - 1
-    both, of = np.unique(text * len(index.items) + cells % len(index.items), return_inverse=True)
-    best = np.zeros(len(both))
-    np.maximum.at(best, of, score)
-    return both // len(index.items), both % len(index.items), best
+    text, place, entry, score = zip(*out, strict=True)
+    return np.array(text), np.array(place), np.array(entry), np.array(score)
 
 
 def _share(part: np.ndarray, whole: np.ndarray) -> float:
@@ -226,12 +278,19 @@ def _leaks(index: Index, text: pa.Array, threshold: float, overlap: float) -> li
     for a, b in slices(text, _BYTES):
         words, ends = terms(text.slice(a, b - a))
         best: dict[tuple[int, int], float] = {}
-        for i, entry, score in zip(*retrieve(index, words, ends, threshold), strict=True):
+        places: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for i, place, entry, score in zip(*retrieve(index, words, ends, threshold), strict=True):
             key = int(i), int(index.item[entry])
             best[key] = max(score, best.get(key, 0.0))
+            places[key].add(int(place))
         for (i, item), score in best.items():
-            own = words[ends[i] : ends[i + 1]]
-            question, answer, *statement = (_share(runs, runs_of(own, k)) for k, runs in index.parts[item])
+            # The strides of its passages and one on either side.
+            low = max(0, min(places[i, item]) - 2) * STRIDE
+            own = words[ends[i] + low : min(ends[i + 1], ends[i] + (max(places[i, item]) + 2) * STRIDE)]
+            looked_at = np.zeros(len(own), dtype=np.int64)
+            for p in places[i, item]:
+                looked_at[max(0, (p - 2) * STRIDE - low) : (p + 2) * STRIDE - low] = 1
+            question, answer, *statement = (_share(runs, runs_of(own, k, looked_at)) for k, runs in index.parts[item])
             if max([min(question, answer), *statement]) >= overlap:
                 out[a + i].append({"item_id": index.ids[item], "score": float(score), "question_overlap": question, "answer_overlap": answer})
     return out
@@ -244,68 +303,101 @@ def _leak_column(shared: Broadcast, threshold: float, overlap: float):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
     def leaks(text: pa.Array) -> pa.Array:
-        return pa.array(_leaks(shared.value, text, threshold, overlap), kind)
+        found = pa.array(_leaks(shared.value, text, threshold, overlap), kind)
+        give_back()
+        return found
 
     leaks.__annotations__ = {"text": pa.Array, "return": pa.Array}
     return F.arrow_udf(leaks, LEAK)
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = INDEX_ITEMS) -> list[Index]:
+def _item_terms(text: pa.Array) -> pa.Array:
+    """For each text its number of words and its distinct terms."""
+    words, ends = terms(text)
+    own = [words[ends[i] : ends[i + 1]] for i in range(len(text))]
+    return pa.StructArray.from_arrays([pa.array(map(len, own), pa.int64()), pa.array([np.unique(w).view(np.int64).tolist() for w in own], pa.list_(pa.int64()))], ["n", "terms"])
+
+
+_item_terms.__annotations__ = {"text": pa.Array, "return": pa.Array}
+
+
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = INDEX_ITEMS) -> Iterator[Index]:
     """The benchmark's indexes, at most ``most`` entries in each; term statistics are those of all items.
 
-    Test items are few and short beside a corpus; what one index takes is
-    bounded by ``most``, and a larger benchmark makes more indexes, each with
-    a scan of its own. All entries of an item are in one index.
+    Document frequencies are counted by Spark and come with each item's terms;
+    the driver holds one index's items at a time. All entries of an item are
+    in one index; an item of more than ``most`` has its own.
     """
-    rows = [(r[0], r[1]) for r in benchmark.select(F.col(id_col).cast("long"), text_col).filter(F.col(text_col).isNotNull()).distinct().orderBy(id_col, text_col).toLocalIterator()]
-    words, ends = terms(pa.array([t for _, t in rows], pa.string()))
-    rows = [(r, words[ends[i] : ends[i + 1]]) for i, r in enumerate(rows) if ends[i + 1] > ends[i]]
-    if not rows:
-        return []
-    df = Counter(t for _, w in rows for t in set(w.tolist()))
-    mean = sum(len(w) for _, w in rows) / len(rows)
-    packs, room = [], 0
-    for r, w in rows:
-        need = len(entries(len(w)))
-        if need > room:
-            packs.append([])
-            room = most
-        packs[-1].append(r)
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL").distinct()
+    rows = rows.select("item_id", "text", F.arrow_udf(_item_terms, "struct<n:long,terms:array<long>>")("text").alias("x")).select("item_id", "text", "x.*").filter("n > 0")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "bench-items")
+    whole = rows.agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("mean")).first()
+    each = rows.select("row", F.explode("terms").alias("term"))
+    counted = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    found = each.join(counted, "term").groupBy("row").agg(F.collect_list(F.struct("term", "df")).alias("df"))
+    pack, room = [], most
+    df: dict[int, int] = {}
+    for r in rows.join(found, "row").select("item_id", "text", "n", "df").orderBy("item_id", "text").toLocalIterator():
+        need = len(entries(r["n"]))
+        if pack and need > room:
+            yield build_index(pack, whole["items"], df, whole["mean"], threshold)
+            pack, room, df = [], most, {}
+        pack.append((r["item_id"], r["text"]))
+        df.update((x["term"] % 2**64, x["df"]) for x in r["df"])
         room -= need
-    return [build_index(pack, len(rows), df, mean, threshold) for pack in packs]
+    if pack:
+        yield build_index(pack, whole["items"], df, whole["mean"], threshold)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, most: int = INDEX_ITEMS) -> Column:
-    """For rows of ``docs``: the array of benchmark items that a document contains; empty where none.
+def _waves(docs: DataFrame, benchmark: DataFrame, threshold: float, overlap: float, most: int) -> Iterator[Column]:
+    """A function of the text for each wave of indexes: the items of the wave that it contains."""
+    lean(docs.sparkSession)
+    wave: list[Broadcast] = []
 
-    ``score`` is the best that a passage reaches against the item or a part of it.
+    def column(shared: list[Broadcast]):
+        return lambda text: F.concat(F.array().cast(LEAK), *[_leak_column(x, threshold, overlap)(text) for x in shared])
 
-    Nothing is shuffled: each document is split into passages and asked where
-    it lies. Null, empty and blank texts hold nothing. Items without a word
-    are left out, as are null texts. Every different text is an item of its
-    own: an id with several texts, null too, comes once for each that is found.
-    An answer or question without words counts as found; a question without
-    its answer is no leak. An item that asks nothing is found by a share of all
-    its runs as well. Without items every array is empty.
-    """
-    found = F.array().cast(LEAK)
     for index in indexes(benchmark, threshold=threshold, most=most):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        found = F.concat(found, _leak_column(shared, threshold, overlap)(F.col(text_col).cast("string")))
-    return found
+        if len(wave) == WAVE:
+            yield column(wave)
+            wave = []
+        wave.append(docs.sparkSession.sparkContext.broadcast(index))
+    yield column(wave)
+
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, most: int = INDEX_ITEMS) -> DataFrame:
+    """The rows of ``docs`` that contain no benchmark item, all columns as they were.
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, all columns as they were."""
-    return docs.filter(F.size(leaks(docs, benchmark, text_col, **options)) == 0)
+    Nulls, blanks, repeats, long texts and items are as in ``contaminated``; an
+    empty table stays empty. Nothing is shuffled. A benchmark of more than
+    ``WAVE`` indexes is searched wave by wave, each over what the one before kept.
+    """
+    waves = list(_waves(docs, benchmark, threshold, overlap, most))
+    for k, leaks in enumerate(waves):
+        docs = docs.filter(F.size(leaks(F.col(text_col).cast("string"))) == 0)
+        docs = stored(docs, "leak-wave") if k + 1 < len(waves) else docs
+    return docs
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, most: int = INDEX_ITEMS) -> DataFrame:
     """(``id_col``, ``item_id``, ``score``, ``question_overlap``, ``answer_overlap``): one row for each item a document contains.
 
-    Other columns of ``docs`` are not looked at; rows repeated give their
-    items each; a null id is kept; an empty table gives no rows.
+    ``score`` is the best that a passage reaches against the item or a part of it.
+
+    Nothing is shuffled: each document is split into passages and asked where
+    it lies, whole, however long. Null, empty and blank texts hold nothing;
+    rows repeated give their items each; a null id is kept; other columns are
+    not looked at; an empty table or benchmark gives no rows. Items without a
+    word are left out, as are null texts. Every different text is an item of
+    its own: an id with several texts, null too, comes once for each that is
+    found. An answer or question without words counts as found; a question
+    without its answer near it is no leak. An item that asks nothing is found
+    by a share of all its runs as well.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("id", leaks(rows, benchmark, **options).alias("leaks"))
-    return rows.select(F.col("id").alias(id_col), F.inline("leaks"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    waves = list(_waves(docs, benchmark, threshold, overlap, most))
+    found = [rows.select("id", leaks(F.col("text")).alias("leaks")).select(F.col("id").alias(id_col), F.inline("leaks")) for leaks in waves]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
