@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, shuffle_parts, stored
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # role r starts: 2r, goes on: 2r + 1
@@ -42,22 +42,54 @@ def line_features(lines: DataFrame) -> DataFrame:
     return lines.withColumn("code", (((marker * 2 + line.rlike(r"^\s*\p{Lu}").cast("int")) * 4 + length) * 3 + last).cast("int"))
 
 
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In a sorted partition: each turn's place in its conversation, and the lines of it before."""
+    turns = lines = 0
+    last: object = _place  # no conversation's id
+    for b in batches:
+        turn, line = [], []
+        for conv, n in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if conv != last or last is _place:
+                turns, lines, last = 0, 0, conv
+            turn.append(turns)
+            line.append(lines)
+            turns, lines = turns + 1, lines + n
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(turn, pa.int64()), pa.array(line, pa.int64())], [*b.schema.names, "turn", "before"])
+
+
 def transcript_lines(conversations: DataFrame) -> DataFrame:
-    """Each turn as raw transcript lines: ``conv``, ``turn``, ``at`` (in the turn), ``line``, ``role``.
+    """Each turn as raw transcript lines: ``conv``, ``turn``, ``at`` (in the turn), ``number`` (in the conversation), ``line``, ``role``.
 
     A conversation has one of four marker styles by a hash of its id; about
     one later turn in six has no marker, only a blank line before it.
+
+    Turns are range-partitioned by (conversation, turn, role, text hash) and
+    numbered where they lie. Only the conversations that go on from one range
+    into the next, one for each range at most, need what the ranges before
+    hold of them.
     """
-    turns = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    spark = conversations.sparkSession
+    turns = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("given"), "role", F.coalesce("text", F.lit("")).alias("text"))
     style = F.pmod(F.xxhash64("conv"), F.lit(4))
     names = [{"system": "System: ", "user": "User: ", "assistant": "Assistant: "}, {"system": "[system]: ", "user": "Human: ", "assistant": "AI: "}, {"system": "### System:\n", "user": "### User:\n", "assistant": "### Assistant:\n"}, {"system": "SYSTEM: ", "user": "Q: ", "assistant": "A: "}]
     head = F.lit("")
     for s, by_role in enumerate(names):
         for role, text in by_role.items():
             head = F.when((style == s) & (F.col("role") == role), F.lit(text)).otherwise(head)
-    bare = (F.pmod(F.xxhash64("conv", "turn"), F.lit(6)) == 0) & (F.col("turn") > 0)
+    bare = (F.pmod(F.xxhash64("conv", "given"), F.lit(6)) == 0) & F.coalesce(F.col("given") > 0, F.lit(False))
     turns = turns.withColumn("raw", F.concat(F.when(bare, F.lit("\n")).otherwise(head), "text"))
-    return turns.select("conv", "turn", "role", F.posexplode(F.split("raw", "\n", -1)).alias("at", "line"))
+    turns = turns.select("conv", "given", "role", F.size(F.split("raw", "\n", -1)).cast("long").alias("n"), "raw")
+    order = [F.col("conv").asc_nulls_first(), F.col("given").asc_nulls_first(), F.col("role").asc_nulls_first(), F.xxhash64("raw")]
+    dealt = turns.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    kind = turns.schema["conv"].dataType.simpleString()
+    dealt = stored(dealt.mapInArrow(_place, f"conv {kind}, given long, role string, n long, raw string, part int, turn long, before long"), "chat-turns")
+
+    parts = dealt.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("lines"))
+    ahead = W.partitionBy("conv").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    goes_on = parts.select(F.col("conv").alias("c"), F.col("part").alias("p"), F.sum("turns").over(ahead).alias("turns"), F.sum("lines").over(ahead).alias("lines")).filter("turns > 0")
+    rows = dealt.join(F.broadcast(goes_on), F.col("conv").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    rows = rows.select("conv", (F.col("turn") + F.coalesce("turns", F.lit(0))).alias("turn"), "role", (F.col("before") + F.coalesce("lines", F.lit(0))).alias("before"), "raw")
+    return rows.select("conv", "turn", "role", "before", F.posexplode(F.split("raw", "\n", -1)).alias("at", "line")).withColumn("number", F.col("before") + F.col("at")).drop("before")
 
 
 @dataclass(frozen=True)
@@ -138,7 +170,7 @@ def _transfers(model: Hmm):
 
 
 def _fold(model: Hmm):
-    """Along one conversation's blocks: the scores each begins with, and the state each ends in."""
+    """Along one conversation's blocks: the scores each begins with, the state before it (-1 at the start) and the state it ends in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,51 +190,61 @@ def _fold(model: Hmm):
                 for m in reversed(moves[1:]):
                     ends.append(int(m[ends[-1]]))
                 n = len(blocks)
-                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], n), pa.array([x["block"] for x in blocks], pa.int64()), pa.array([v.tolist() for v in begins], pa.list_(pa.float64())), pa.array(ends[::-1], pa.int32())], ["conv", "block", "begin", "last"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], n), pa.array([x["block"] for x in blocks], pa.int64()), pa.array([v.tolist() for v in begins], pa.list_(pa.float64())), pa.array([-1, *ends[:0:-1]], pa.int32()), pa.array(ends[::-1], pa.int32())], ["conv", "block", "begin", "prior", "last"])
 
     return run
 
 
+def opening(states: np.ndarray, prior: int) -> np.ndarray:
+    """Which lines open a turn: where a state says so, the role changes, or nothing is before (``prior`` is -1)."""
+    before = np.append(prior, states[:-1])
+    return (states % 2 == 0) | (before < 0) | (before // 2 != states // 2)
+
+
 def _decode(model: Hmm):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            states = [model.decode(np.array(c, dtype=int), np.array(begin), last).tolist() for c, begin, last in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(states, pa.list_(pa.int32()))], ["conv", "block", "states"])
+            out, opened = [], []
+            for codes, begin, prior, last in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                states = model.decode(np.array(codes, dtype=int), np.array(begin), last)
+                opens = opening(states, prior)
+                turns = np.cumsum(opens)
+                opened.append(int(turns[-1]))
+                out.append([{"state": s, "opens": o, "nth": t} for s, o, t in zip(states.tolist(), opens.tolist(), turns.tolist(), strict=True)])
+            kind = pa.list_(pa.struct([("state", pa.int32()), ("opens", pa.bool_()), ("nth", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(opened, pa.int64()), pa.array(out, kind)], ["conv", "block", "opened", "found"])
 
     return run
 
 
 def recovered_lines(lines: DataFrame, model: Hmm) -> DataFrame:
-    """Add ``state`` to ``lines(conv, number, code, ...)``; ``number`` counts a conversation's lines from 0."""
+    """Add ``state``, ``opens`` and ``turn_no`` to ``lines(conv, number, code, ...)``; ``number`` counts a conversation's lines from 0.
+
+    Turns are counted within blocks and over the blocks' totals, so that no
+    conversation's lines meet in one task.
+    """
     kind = lines.schema["conv"].dataType.simpleString()
     blocks = lines.groupBy("conv", F.expr(f"number div {BLOCK}").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "code"))), lambda x: x["code"]).alias("codes"))
     blocks = stored(blocks, "chat-blocks")
     moves = blocks.mapInArrow(_transfers(model), f"conv {kind}, block long, code int, transfer array<double>")
     # 36 numbers stand for a block of lines here.
     folded = moves.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("block", "code", "transfer"))).alias("blocks"))
-    known = folded.mapInArrow(_fold(model), f"conv {kind}, block long, begin array<double>, last int")
+    known = folded.mapInArrow(_fold(model), f"conv {kind}, block long, begin array<double>, prior int, last int")
     known = known.withColumnsRenamed({"conv": "c", "block": "b"})
-    known = blocks.join(known, blocks["conv"].eqNullSafe(F.col("c")) & (blocks["block"] == F.col("b"))).select("conv", "block", "codes", "begin", "last")
-    states = known.mapInArrow(_decode(model), f"conv {kind}, block long, states array<int>")
-    flat = states.select(F.col("conv").alias("c"), F.posexplode("states").alias("i", "state"), "block").select("c", (F.col("block") * BLOCK + F.col("i")).alias("n"), "state")
+    known = blocks.join(known, blocks["conv"].eqNullSafe(F.col("c")) & (blocks["block"] == F.col("b"))).select("conv", "block", "codes", "begin", "prior", "last")
+    states = stored(known.mapInArrow(_decode(model), f"conv {kind}, block long, opened long, found array<struct<state:int,opens:boolean,nth:long>>"), "chat-states")
+    # One row for each block.
+    ahead = F.coalesce(F.sum("opened").over(W.partitionBy("conv").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    turns = states.select(F.col("conv").alias("c"), F.col("block").alias("b"), ahead.alias("turns"))
+    flat = states.join(turns, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("c", "block", "turns", F.posexplode("found").alias("i", "x"))
+    flat = flat.select("c", (F.col("block") * BLOCK + F.col("i")).alias("n"), "x.state", "x.opens", (F.col("turns") + F.col("x.nth") - 1).alias("turn_no"))
     return lines.join(flat, lines["conv"].eqNullSafe(F.col("c")) & (lines["number"] == F.col("n"))).drop("c", "n")
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """Number a conversation's lines from 0 in order of (turn, at), from counts for each turn."""
-    per_turn = lines.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("conv").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = per_turn.select(F.col("conv").alias("c"), F.col("turn").alias("t"), before.alias("before"))
-    return lines.join(starts, lines["conv"].eqNullSafe(F.col("c")) & lines["turn"].eqNullSafe(F.col("t"))).withColumn("number", F.col("before") + F.col("at")).drop("c", "t", "before")
-
-
 def canonical_turns(lines: DataFrame) -> DataFrame:
-    """``conv``, ``turn_no``, ``role``, ``text``, ``rendered`` from ``lines(conv, number, line, state)``."""
+    """``conv``, ``turn_no``, ``role``, ``text``, ``rendered`` from ``lines(conv, number, line, state, opens, turn_no)``; a turn's own lines meet in one row."""
     role = F.element_at(F.array(*map(F.lit, ROLES)), F.expr("state div 2").cast("int") + 1)
-    by_line = W.partitionBy("conv").orderBy("number")
-    opens = (F.col("state") % 2 == 0) | (F.lag(role).over(by_line) != role)
-    rows = lines.withColumn("role", role).withColumn("opens", opens | (F.col("number") == 0))
-    rows = rows.withColumn("turn_no", F.sum(F.col("opens").cast("long")).over(by_line.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    rows = lines.withColumn("role", role)
     bare = F.coalesce("line", F.lit(""))
     for pattern in MARKERS.values():
         bare = F.when(F.col("opens"), F.regexp_replace(bare, pattern, "")).otherwise(bare)
@@ -216,14 +258,16 @@ def chat_turns(conversations: DataFrame) -> DataFrame:
     """Raw transcripts of ``conversations``, parsed back: ``conv_id``, ``turn_no``, ``role``, ``text``, ``rendered``, ``held_out``.
 
     The model learns from conversations whose crc32 of the id as text is no
-    multiple of 5; ``held_out`` marks the rest. Null text is an empty line; a
-    null or unknown role is not learned from and gets no marker; rows of one
-    conversation and turn stand by their role and text; a null turn comes
-    first, a null id is a conversation of its own. Empty tables give no rows.
+    multiple of 5; ``held_out`` marks the rest. Null text is an empty line,
+    texts of any length are taken whole; a null or unknown role is not learned
+    from and gets no marker; rows of one conversation, turn and role stand by a
+    hash of their text, equal rows are turns of their own; a null turn comes
+    first, a null id is a conversation of its own. Empty tables give no rows;
+    other columns are not looked at.
     """
-    turn = F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")) - 1
-    lines = transcript_lines(conversations.select("conv_id", turn.alias("turn"), "role", "text"))
-    lines = stored(numbered(line_features(lines)), "chat-lines")
+    lean(conversations.sparkSession)
+    lines = transcript_lines(conversations.select("conv_id", "turn", "role", "text"))
+    lines = stored(line_features(lines), "chat-lines")
     held_out = F.coalesce(F.crc32(F.col("conv").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     model = fit(lines, ~held_out)
     turns = canonical_turns(recovered_lines(lines.select("conv", "number", "line", "code"), model))
