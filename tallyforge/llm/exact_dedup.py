@@ -51,24 +51,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null text counts as empty. Null ids sort after all others and are never a
     ``keep_id`` unless the whole group has none. Rows repeated with one id
-    count each in ``group_size``; exactly one row of a group is kept. An empty
-    table gives an empty result. ``ranges`` is 4 for each shuffle partition
+    count each in ``group_size``; exactly one row of a group is kept. Texts of
+    any length are compared whole. An empty table gives an empty result. ``ranges`` is 4 for each shuffle partition
     unless given.
     """
     spark = docs.sparkSession
     ranges = ranges or 4 * shuffle_parts(spark)
-    rows = squashed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "norm").select("id", "norm")
-    rows = rows.withColumn("content", F.concat(F.substring("norm", 1, 24), F.lit(SEP), F.lpad(F.hex(F.xxhash64("norm")), 16, "0")))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def keyed(part: DataFrame) -> DataFrame:
+        part = squashed(part, "text", "norm").select("id", "norm")
+        return part.withColumn("content", F.concat(F.substring("norm", 1, 24), F.lit(SEP), F.lpad(F.hex(F.xxhash64("norm")), 16, "0")))
+
     order_key = F.concat("content", F.lit(SEP), F.lpad(F.hex(F.xxhash64("id")), 16, "0"))
 
     total = docs.count()
     share = min(1.0, SAMPLES_PER_RANGE * ranges / max(total, 1))
-    sample = sorted(r[0] for r in rows.sample(False, share, 11).select(order_key).collect())
+    # Rows are drawn before their texts are normalised.
+    sample = sorted(r[0] for r in keyed(base.sample(False, share, 11)).select(order_key).collect())
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
     at = _last_at_most(F.col("key"), cuts)
     ends = _literal_array(cuts)
-    rows = rows.withColumn("key", order_key).withColumn("bucket", at).drop("key")
+    rows = keyed(base).withColumn("key", order_key).withColumn("bucket", at).drop("key")
     touches = lambda i: F.coalesce(F.startswith(F.get(ends, i), F.col("content")), F.lit(False))
 
     by_content = W.partitionBy("bucket").orderBy("content", "norm", F.col("id").asc_nulls_last())
