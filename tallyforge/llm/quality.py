@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .texthash import CHUNK, raw_texts, slices, word_hashes, word_starts
+from .common import lean, stored
+from .texthash import CHUNK, give_back, raw_texts, slices, tidy, word_hashes, word_starts
 
 FEATURES = ("log_bytes", "upper", "symbols", "bars", "digits", "exclaims", "punct", "mean_word", "blank_share", "line_repeat", "mean_line", "caps_start", "echo")
 #: Share of the pooled diagonal in each class covariance.
 SHRINKAGE = 0.1
 THRESHOLD = 0.3
+#: Labelled rows up to which a filter looks up their documents before it computes vectors; their ids are broadcast.
+FEW_LABELS = 100_000
 
 # Byte classes, one column each: upper, lower and non-ASCII, digit, '!', '|', plain punctuation, other symbols, white space.
 _CLASSES = 8
@@ -88,6 +90,7 @@ def with_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = document_vectors(b.column(1))
@@ -149,16 +152,20 @@ def held_out(id_col: Column) -> Column:
 def _kept_column(model: Model | None, flat: float, threshold: float):
     def kept(text: pa.Array) -> pa.Array:
         x = document_vectors(text)
+        give_back()
         return pa.array(np.full(len(x), flat) >= threshold if model is None else model.score(x) >= threshold, pa.bool_())
 
     kept.__annotations__ = {"text": pa.Array, "return": pa.Array}
     return F.arrow_udf(kept, "boolean")
 
 
-def trained(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, shrinkage: float) -> tuple[Model | None, float]:
-    """The model from ``rows(id, x)`` and the labels of the training fold; and the score where there is none."""
+def training_marks(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     marks = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("label"))
-    marks = marks.filter(~held_out(F.col("lid")) & F.col("label").isin(0, 1))
+    return marks.filter(~held_out(F.col("lid")) & F.col("label").isin(0, 1))
+
+
+def trained(rows: DataFrame, marks: DataFrame, shrinkage: float) -> tuple[Model | None, float]:
+    """The model from ``rows(id, x)`` and ``marks(lid, label)`` of the training fold; and the score where there is none."""
     train = rows.join(marks, F.col("id") == F.col("lid")).select("x", "label")
     model, flat = fit(train, "label", shrinkage), 0.5
     if model is None:
@@ -170,10 +177,16 @@ def trained(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, shr
 def without_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, shrinkage: float = SHRINKAGE) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, all columns as they were.
 
-    Trains like ``quality_scores``; the rows themselves are scored where they
-    lie, without a shuffle.
+    Trains like ``quality_scores``, with the same rules for nulls, blanks, long
+    texts, repeats and ids; the rows themselves are scored where they lie,
+    without a shuffle. An empty table stays empty.
     """
-    model, flat = trained(with_vectors(docs, id_col, text_col), labels, id_col, label_col, shrinkage)
+    lean(docs.sparkSession)
+    marks = training_marks(labels, id_col, label_col)
+    named = docs
+    if marks.count() <= FEW_LABELS:
+        named = docs.join(F.broadcast(marks.select("lid")), docs[id_col] == F.col("lid"), "left_semi")
+    model, flat = trained(with_vectors(named, id_col, text_col), marks, shrinkage)
     return docs.filter(_kept_column(model, flat, threshold)(F.col(text_col).cast("string")))
 
 
@@ -181,16 +194,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Score every row of ``docs``: ``id_col``, ``held_out``, ``score``, ``predicted``.
 
     Labels are learned only from rows outside the held-out fold; all of them
-    are used. Null text is empty and gets a score like any other; null labels
-    and labels of unknown documents are left out. A document that several
+    are used. Null text is empty and gets a score like any other, texts of any
+    length are measured whole; an empty table gives no rows; null labels and
+    labels of unknown documents are left out. A document that several
     label rows name counts once for each. Repeated rows get the same score.
     Without two training rows in either class every score is the share of
     label 1 in training, 0.5 without any. Other columns are not looked at.
     """
+    lean(docs.sparkSession)
     rows = stored(with_vectors(docs, id_col, text_col), "quality-vectors")
-    model, flat = trained(rows, labels, id_col, label_col, shrinkage)
+    model, flat = trained(rows, training_marks(labels, id_col, label_col), shrinkage)
     kind = rows.schema["id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
