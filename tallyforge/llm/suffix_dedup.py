@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, stored
-from .texthash import mix64, raw_texts, slices
+from .common import discard, join_counted, lean, range_samples, shuffle_parts, stored
+from .texthash import mix64, raw_texts, slices, tidy
 
 GRAM = 32
 #: Window starts, and bytes of texts, handled at once; bounds the working arrays.
 CHUNK = 1 << 20
+#: Suffixes of one range, which a task sorts in memory (about 2 KB each), and keys sampled for it (about 400 bytes each).
+RANGE_ROWS, RANGE_SAMPLES = 50_000, 12
 _U = np.uint64
 _rng = np.random.default_rng(99)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -101,6 +103,7 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def _anchor_rows(length: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i, end in slices(whole.column(2), CHUNK):
@@ -116,6 +119,7 @@ def _anchor_rows(length: int):
     return run
 
 
+@tidy
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         press = zstandard.ZstdCompressor(level=3)
@@ -125,6 +129,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _suffixes(length: int):
     """Each wanted anchor with the bytes from it on and the bytes before it, right to left."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {"id": [], "h": [], "spot": [], "gram": [], "edge": [], "right": [], "left": []}
@@ -189,6 +194,7 @@ def _match_rows(length: int, by_left: bool):
     """Sort one range, compare neighbours; the first and last row come back whole for the boundaries."""
     most_left = length - GRAM
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if len(b)]
         if not got:
@@ -238,6 +244,7 @@ def _match_rows(length: int, by_left: bool):
 def _across(length: int):
     """Compare the last row of a range with the first of the next one that has rows."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
@@ -266,6 +273,7 @@ def _across(length: int):
 def _left_over(length: int):
     """The hull of the windows that both bounds allow and no neighbour proves, where there are any."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
@@ -292,6 +300,7 @@ def _left_over(length: int):
 
 
 def _windows(length: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
@@ -310,6 +319,7 @@ def _windows(length: int):
     return run
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         size, spans, kept = [], [], []
@@ -345,17 +355,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 2 * GRAM <= length <= 255:
         raise ValueError("length must be from 64 to 255")
     spark = docs.sparkSession
+    lean(spark)
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    packed = base.mapInArrow(_packed, f"id {kind}, h long, z binary")
+    packed = stored(base.mapInArrow(_packed, f"id {kind}, h long, z binary"), "suffix-texts", "none")
 
     found = stored(base.mapInArrow(_anchor_rows(length), f"id {kind}, h long, spot long, gram long, span long"), "suffix-anchors")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi")).filter("n > 1")
-    again = stored(found.join(grams.select("gram", (F.col("lo") == F.col("hi")).alias("alike")), "gram"), "suffix-repeats")
+    grams = stored(grams.select("gram", (F.col("lo") == F.col("hi")).alias("alike"), "n"), "suffix-grams")
+    # A passage that very many documents share has hot grams.
+    again = stored(join_counted(found, grams, ["gram"], "n"), "suffix-repeats")
+    discard(found, grams)
 
     mixed = again.filter("NOT alike")
     spans = stored(mixed.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "h", "spot")).alias("one")), "suffix-spans")
-    whole = again.filter("alike").select("id", "h", "spot").union(mixed.join(spans.filter("n > 1").select("gram", "span"), ["gram", "span"]).select("id", "h", "spot"))
+    whole = again.filter("alike").select("id", "h", "spot").union(join_counted(mixed, spans.filter("n > 1").select("gram", "span", "n"), ["gram", "span"], "n").select("id", "h", "spot"))
     at, least, most = F.shiftright("spot", 16), F.shiftright("spot", 8).bitwiseAND(255), F.col("spot").bitwiseAND(255)
     pieces = whole.select("id", "h", (at - most).alias("s"), (at - least + length).alias("e"))
 
@@ -365,12 +379,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Rows repeated with one id and text name the same anchors: one of them is enough.
     suffixes = stored(texts.mapInArrow(_suffixes(length), f"id {kind}, h long, spot long, gram long, edge boolean, right binary, left binary"), "suffix-rows")
 
-    parts = shuffle_parts(spark)
+    parts = max(shuffle_parts(spark), suffixes.count() // RANGE_ROWS + 1)
     compared = []
     for by_left in (False, True):
-        lead = [F.substring("right", 1, GRAM), "left", "right"] if by_left else ["right", "left"]
+        lead = [F.substring("right", 1, GRAM), "left", F.substring("right", GRAM + 1, length)] if by_left else ["right", "left"]
         dealt = suffixes.repartitionByRange(parts, *lead).withColumn("pid", F.spark_partition_id())
-        rows = stored(dealt.mapInArrow(_match_rows(length, by_left), _MATCH.format(kind=kind)), "suffix-matches")
+        with range_samples(spark, RANGE_SAMPLES):
+            rows = stored(dealt.mapInArrow(_match_rows(length, by_left), _MATCH.format(kind=kind)), "suffix-matches")
         compared.append(rows.filter("side = 0").select("id", "h", "spot", "gram", "right_most", "left_most", "proven"))
         names = ["id", "h", "spot", "gram", "edge", "right", "left"]
         # Two rows for each range.
@@ -385,10 +400,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rest = edges.mapInArrow(_left_over(length), f"id {kind}, h long, spot long, gram long, lo int, hi int")
     hull = rest.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    windows = suffixes.join(hull, "gram").mapInArrow(_windows(length), f"id {kind}, h long, spot long, edge boolean, back int, win binary")
+    hull = stored(hull.join(suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram"), "suffix-hulls")
+    windows = join_counted(suffixes, hull, ["gram"], "n").select("id", "h", "spot", "edge", "right", "left", "lo", "hi").mapInArrow(_windows(length), f"id {kind}, h long, spot long, edge boolean, back int, win binary")
     windows = stored(windows, "suffix-windows")
-    twice = windows.groupBy("win").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("win")
-    settled = windows.filter("edge").join(twice, "win").select("id", "h", (at - F.col("back")).alias("s"), (at - F.col("back") + length).alias("e"))
+    discard(suffixes)
+    twice = stored(windows.groupBy("win").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-twice")
+    settled = join_counted(windows.filter("edge"), twice, ["win"], "n").select("id", "h", (at - F.col("back")).alias("s"), (at - F.col("back") + length).alias("e"))
     pieces = pieces.union(settled)
 
     cuts = pieces.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
