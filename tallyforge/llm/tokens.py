@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_parts
-from .texthash import slices
+from .common import lean, shared_dir, shuffle_parts
+from .texthash import give_back, slices, tidy
 
 #: Row group bytes, page bytes and most rows in a page of the token files.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 #: Runs of letters kept with their ids in each Python worker, and bytes of text encoded at once.
-MEMO, CHUNK = 500_000, 12 << 20
+MEMO, CHUNK = 150_000, 2 << 20
 
 # A word of Latin-1 letters, with ASCII punctuation behind it or nothing else in it; no apostrophe, as that starts contractions.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
@@ -123,10 +123,17 @@ class WordTokens:
         return flat_ids, totals[bounds]
 
 
+#: Loaded once for each worker, not for each task.
+_loaded: dict[str, WordTokens] = {}
+
+
 def _encoder(path: str, end: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, before, row = WordTokens(path), 0, 0
+        tokens = _loaded.get(path) or _loaded.setdefault(path, WordTokens(path))
+        before = row = 0
         for whole in batches:
+            give_back()
             for a, z in slices(whole.column(1), CHUNK):
                 b = whole.slice(a, z - a)
                 ids, starts = tokens.batch(b.column(1), end)
@@ -148,6 +155,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     table writes no rows. Other columns are not written.
     """
     spark = docs.sparkSession
+    lean(spark)
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(shards or shuffle_parts(spark), *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
