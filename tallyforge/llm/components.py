@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """Each (u, v) with the smallest of u and all its neighbours as ``m``.
 
     The least is a map-side aggregate of one row for each node and task, so a
-    hub costs its task no more than any other node; the join back has one row
-    for each node on its right, which Spark splits where u is skewed.
+    hub costs its task no more than any other node. It is stored, so that the
+    join back is of two plain shuffles, which Spark splits where u is skewed.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return edges.join(stored(least, "cc-least"), "u")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -51,7 +51,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         loose = edges.groupBy("u").count().filter("count > 1").select("u").union(edges.select("u").distinct().join(roots, "u", "left_semi"))
         if loose.isEmpty():
             break
-        edges = stored(small_star(large_star(edges).distinct()), "cc")
+        before = edges
+        edges = stored(small_star(stored(large_star(edges).distinct(), "cc")), "cc")
+        discard(before)
     else:
         raise RuntimeError(f"no star forest after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,21 +1,25 @@
-"""Near-duplicate detection: MinHash, banding, verification on full sets, components.
+"""Near-duplicate detection: MinHash, banding, signature verification, full sets, components.
 
 1. Every document becomes its set of word shingles, a 128-bit hash of the
-   whole set, and one key for each band of its minima under random
-   multiply-shift hashes. Documents with one set are one class; its smallest
-   id stands for it from there on, or a number above all ids where that id
-   stands for another class. Classes with an id in common are linked.
-2. Classes that share a band key are candidates. First each class meets the
-   smallest class of its buckets, which joins up most of a bucket at one
-   comparison a member. Members of buckets that still hold several components
-   go through an exact prefix filter, so that no pair of a bucket is left out
-   and none is made for documents that cannot be linked.
-3. Candidates are confirmed on full sets, links go through large-star and
-   small-star.
+   whole set, a signature of minima under random multiply-shift hashes, and
+   one key for each band of it. Documents with one set are one class; its
+   smallest id stands for it from there on, or a number above all ids where
+   that id stands for another class. Classes with an id in common are linked.
+2. Classes that share a band key are candidates. They are compared in turns:
+   in each bucket one member of every component meets one of the bucket's
+   largest component, and components that link are merged (large-star and
+   small-star) before the next turn, with other members. A family of n near
+   copies so costs about n comparisons, not all its pairs. Turns end when one
+   finds no link.
+3. Members of buckets that still hold several components go through an exact
+   prefix filter, so that no link is left out.
+4. A candidate pair is verified on its signatures first, with a floor that a
+   linked pair misses once in 10^9, and confirmed on the full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, join_counted, lean, stored
 from .components import components
-from .texthash import CHUNK, mix64, shingle_set, slices, texts_words
+from .texthash import CHUNK, mix64, shingle_set, slices, texts_words, tidy
 
 #: A pair at similarity 0.85 shares no band with probability 7e-9, at 0.8 with 3e-6.
 BANDS, ROWS = 32, 5
@@ -47,12 +51,22 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band; the band's number is part of it."""
-    rows = minima(shingles).reshape(BANDS, ROWS).astype(np.uint64)
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of the minima; the band's number is part of it."""
+    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
     return mix64((mix64(rows + _U(1)) * _BAND).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def agreement_floor(percent: int, miss: float = 1e-9) -> int:
+    """How many of the minima must agree: two sets at the similarity ``percent`` agree in fewer with chance ``miss`` at most."""
+    n, p, below = len(_MUL), percent / 100, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > miss:
+            return k
+    return n
+
+
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches of (id, text) in slices of about ``CHUNK`` bytes of text, which bound the working arrays."""
     for b in batches:
@@ -66,25 +80,29 @@ def _hashes(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sketches(shingle: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
             words, ends = texts_words(b.column(1), lower=True)
-            size, h1, h2, keys, counts = [], [], [], [], []
+            size, h1, h2, keys, counts, low = [], [], [], [], [], []
             for i in range(len(b)):
                 s = shingle_set(words[ends[i] : ends[i + 1]], shingle)
                 size.append(len(s))
                 one, two = _hashes(s)
                 h1.append(one)
                 h2.append(two)
-                keys.append(band_keys(s) if len(s) else np.zeros(0, np.int64))
+                least = minima(s) if len(s) else None
+                keys.append(np.zeros(0, np.int64) if least is None else band_keys(least))
+                low.append(None if least is None else least.astype(np.uint8).tobytes())
                 counts.append(len(keys[-1]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["id", "n", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists, pa.array(low, pa.binary())], ["id", "n", "h1", "h2", "keys", "signature"])
 
     return run
 
 
 def _sets(shingle: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
             words, ends = texts_words(b.column(1), lower=True)
@@ -97,46 +115,60 @@ def _sets(shingle: int):
     return run
 
 
+def _agree(floor: int):
+    """Pairs whose signatures agree in ``floor`` places or more."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(len(b), -1) for i in (2, 3))
+            yield b.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= floor, pa.bool_()))
+
+    return run
+
+
 def _confirm(percent: int):
+    """Pairs whose full sets (sorted hashes) are as similar as a link needs."""
+
+    def linked(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        at = np.searchsorted(y, x)
+        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            b = b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            if len(b):
-                yield b
+            keep = [linked(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+@tidy
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shingle of each set, in slices of about ``CHUNK`` bytes."""
     for b in batches:
-        sets = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-        n = np.array([len(x) for x in sets])
-        of = pa.array(np.repeat(np.arange(len(n)), n))
-        flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-        for i in range(0, len(flat), 200_000):
-            rows = of.slice(i, 200_000)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(n).take(rows), pa.array(flat[i : i + 200_000])], ["rep", "root", "n", "token"])
+        for a, z in slices(b.column(1), CHUNK):
+            sets = b.column(1).slice(a, z - a)
+            flat = np.frombuffer(b"".join(sets.to_pylist()), np.int64)
+            n = np.array([len(x.as_buffer()) // 8 for x in sets])
+            of = pa.array(np.repeat(np.arange(a, z), n))
+            for i in range(0, len(flat), CHUNK // 8):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of.slice(i, CHUNK // 8)), pa.array(flat[i : i + CHUNK // 8])], ["rep", "token"])
 
 
 def _classes(full: DataFrame) -> tuple[DataFrame, str]:
-    """(``rep``, ``id``, ``n``, ``h1``, ``h2``, ``keys``) for each class, and the type of ``rep``.
+    """(``rep``, ``id``, ``n``, ``h1``, ``h2``, ``keys``, ``signature``, ``m``) for each class of ``m`` rows, and the type of ``rep``.
 
     ``rep`` is unique and no smaller than ``id``, the class's smallest id.
     Where one id is that of several classes, one of them has it as ``rep`` and
     the others have numbers above all ids.
     """
     # Partial aggregation leaves one row for each class and task, however many copies there are.
-    classes = stored(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys")), "near-classes")
+    one = F.first(F.struct("keys", "signature")).alias("one")
+    classes = full.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), one, F.count(F.lit(1)).alias("m"))
+    classes = stored(classes.select("n", "h1", "h2", "id", "one.*", "m"), "near-classes")
     own = F.struct("n", "h1", "h2")
     first = classes.groupBy("id").agg(F.min(own).alias("first"), F.max(own).alias("last")).filter("first <> last").select("id", "first")
     others = classes.join(first, "id").filter(own != F.col("first")).select("n", "h1", "h2", F.monotonically_increasing_id().alias("k"))
@@ -147,7 +179,8 @@ def _classes(full: DataFrame) -> tuple[DataFrame, str]:
     last = full.agg(F.max("id")).first()[0]
     kind = "bigint" if last + 1 + most < 2**63 else "decimal(20,0)"
     number = (F.lit(last).cast("decimal(20,0)") + F.col("k") + 1).cast(kind)
-    return classes.join(others, ["n", "h1", "h2"], "left").withColumn("rep", F.coalesce(number, F.col("id").cast(kind))).drop("k"), kind
+    classes = classes.join(others, ["n", "h1", "h2"], "left").withColumn("rep", F.coalesce(number, F.col("id").cast(kind))).drop("k")
+    return stored(classes, "near-classes"), kind
 
 
 def _prefix_pairs(sets: DataFrame, loose: DataFrame, percent: int, kind: str) -> DataFrame:
@@ -161,18 +194,21 @@ def _prefix_pairs(sets: DataFrame, loose: DataFrame, percent: int, kind: str) ->
     meets nothing: a copy with many changes of its own has no other shingle
     among its first and is compared with nobody.
     """
-    rows = sets.join(loose, "rep").select("rep", "root", "members")
-    tokens = rows.mapInArrow(_tokens, f"rep {kind}, root {kind}, n long, token long")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    tokens = sets.join(loose.select("rep"), "rep").select("rep", "members").mapInArrow(_tokens, f"rep {kind}, token long")
+    tokens = stored(tokens, "near-tokens")
+    often = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "near-often")
     # A shingle that only one document has adds to the places before the others.
-    shared = tokens.join(often, "token").groupBy("rep", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"))
+    shared = join_counted(tokens, often.withColumn("w", F.col("f")), ["token"], "w").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"))
+    shared = shared.join(sets.select("rep", "n"), "rep").join(loose, "rep")
     places = shared.select("rep", "root", "n", F.posexplode("t").alias("k", "x"), F.size("t").alias("m"))
     places = places.select("rep", "root", "n", F.col("x.token").alias("token"), (F.col("n") - F.col("m") + F.col("k")).alias("place"))
     places = stored(places.filter(F.col("place") * 100 <= (100 - percent) * F.col("n")), "near-prefixes")
 
     each = places.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = each.groupBy("token").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token", "main")
-    many = places.join(main, "token")
+    main = each.groupBy("token").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("w")).filter("roots > 1").select("token", "main", "w")
+    # Stored, so that both sides of the join below are plain shuffles, whose hot keys Spark splits.
+    many = stored(join_counted(places, stored(main, "near-main"), ["token"], "w"), "near-many")
+    discard(tokens, often)
     x = many.filter("root <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("rep", "root", "n", "place")])
     y = many.select(F.col("token").alias("y_token"), *[F.col(c).alias(f"y_{c}") for c in ("rep", "root", "n", "place")])
     left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
@@ -181,6 +217,53 @@ def _prefix_pairs(sets: DataFrame, loose: DataFrame, percent: int, kind: str) ->
     return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """The pairs (a, b) that are linked: sizes, then signatures, then full sets.
+
+    After the size test a partner is of about one's own size, so what is moved
+    for a pair is in proportion to either document.
+    """
+    side = lambda key, *cols: sets.select(F.col("rep").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in cols])
+    close = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    alike = pairs.join(side("b", "n", "signature"), "b").join(side("a", "n", "signature"), "a").filter(close).select("a", "b", "a_signature", "b_signature")
+    alike = stored(alike.mapInArrow(_agree(agreement_floor(percent)), f"a {kind}, b {kind}"), "near-alike")
+    full = alike.join(side("b", "members"), "b").join(side("a", "members"), "a").select("a", "b", "a_members", "b_members")
+    links = stored(full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "near-links")
+    discard(alike)
+    return links
+
+
+def _merged(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``named(rep, root)`` after the links (a, b) between its reps."""
+    ends = links
+    for key in ("a", "b"):
+        ends = ends.join(named.select(F.col("rep").alias(key), F.col("root").alias(f"{key}_root")), key)
+    joined = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    joined = joined.withColumnsRenamed({"root": "new"})
+    return stored(named.join(joined, named["root"] == joined["node"], "left").select("rep", F.coalesce("new", "root").alias("root")), "near-named")
+
+
+def _pairs_of_turn(opened: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in each bucket of ``opened(key, rep, root)`` one member of every root with one of the largest root."""
+    lead = F.min_by("rep", F.when(F.lit(turn == 0), F.col("rep")).otherwise(F.xxhash64("rep", F.lit(turn))))
+    leads = stored(opened.groupBy("key", "root").agg(lead.alias("lead"), F.count(F.lit(1)).alias("c")), "near-leads")
+    tops = leads.groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "root", "lead")).alias("top"), F.count(F.lit(1)).alias("w")).filter("w > 1")
+    pairs = join_counted(leads, stored(tops, "near-tops"), ["key"], "w").filter(F.col("root") != F.col("top.root"))
+    pairs = pairs.select("lead", F.col("top.lead").alias("top"))
+    # At first every member is a root, and one comparison for each joins up most of a bucket.
+    pairs = pairs.groupBy("lead").agg(F.min("top").alias("top")) if turn == 0 else pairs
+    return pairs.select(F.least("lead", "top").alias("a"), F.greatest("lead", "top").alias("b")).distinct()
+
+
+def _still_open(opened: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``opened`` under their roots now, of keys that still hold several."""
+    rows = stored(opened.select("key", "rep").join(named, "rep"), "near-rooted")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("w")).filter("lo < hi").select("key", "w")
+    out = stored(join_counted(rows, stored(mixed, "near-mixed"), ["key"], "w"), "near-open")
+    discard(rows)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row with an id: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -193,47 +276,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with a null id come back with a null component and are kept; rows
     repeated with one id are one document if their texts' sets agree, and
     linked by that id if not. An empty table gives an empty result; other
-    columns are not looked at. Ids must be whole numbers.
+    columns are not looked at. Texts of any length are taken whole. Ids must
+    be whole numbers.
     """
+    lean(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(base.mapInArrow(_sketches(shingle), "id long, n long, h1 long, h2 long, keys array<long>"), "near-rows")
+    rows = stored(base.mapInArrow(_sketches(shingle), "id long, n long, h1 long, h2 long, keys array<long>, signature binary"), "near-rows")
 
     full = rows.filter("n > 0 AND id IS NOT NULL")
     classes, kind = _classes(full)
-    members = classes.select("rep", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("least")).filter("m > 1")
-    buckets = stored(members.join(shared, "key").select("key", "rep", "least"), "near-buckets")
-
-    wanted = classes.select("rep", "id", "n", "h1", "h2").join(buckets.select("rep").distinct(), "rep")
-    texts = base.join(wanted, "id", "left_semi")
-    # Rows of a wanted id may be of several classes: a set is known by its class.
-    sets = texts.mapInArrow(_sets(shingle), "n long, h1 long, h2 long, members binary").dropDuplicates(["n", "h1", "h2"])
-    sets = stored(sets.join(wanted.drop("id"), ["n", "h1", "h2"]).select("rep", "members"), "near-sets", "lz4")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("rep").alias("a"), F.col("members").alias("x"))
-        b = sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
-        return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "near-links")
-
+    # Copies of one text are one hot key here.
+    reps = stored(join_counted(full.select("id", "n", "h1", "h2"), classes.select("n", "h1", "h2", "rep", "m"), ["n", "h1", "h2"], "m").select("id", "rep"), "near-ids")
     # Repeated ids with different sets: the id links its classes.
-    reps = stored(full.select("id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("id", "rep"), "near-ids")
     several = reps.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last").select("id", "a")
     same_id = stored(reps.join(several, "id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "near-same-id")
 
-    first = buckets.filter("rep > least").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b"))
-    links = confirmed(first).union(same_id)
-    roots = stored(components(links), "near-roots")
-    # What is left: members of buckets that hold several components.
-    named = buckets.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    loose = stored(named.join(mixed, "key", "left_semi").select("rep", "root").distinct(), "near-open")
-    more = confirmed(_prefix_pairs(sets, loose, percent, kind))
-    links = links.union(more)
-    roots = stored(components(links), "near-roots")
-
-    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").cast("long").alias("root"))
-    least = named.groupBy("id").agg(F.min("root").alias("root"))
-    out = rows.select("id", "n").join(least, "id", "left")
+    members = classes.select("rep", F.explode("keys").alias("key"))
+    shared = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("w")).filter("w > 1"), "near-shared")
+    buckets = stored(join_counted(members, shared, ["key"], "w"), "near-buckets")
+
+    wanted = classes.select("rep", "id", "n", "h1", "h2", "signature").join(buckets.select("rep").distinct(), "rep")
+    texts = base.join(wanted.select("id"), "id", "left_semi")
+    # Rows of a wanted id may be of several classes: a set is known by its class.
+    sets = texts.mapInArrow(_sets(shingle), "n long, h1 long, h2 long, members binary").dropDuplicates(["n", "h1", "h2"])
+    sets = stored(sets.join(wanted.drop("id"), ["n", "h1", "h2"]).select("rep", "n", "signature", "members"), "near-sets", "lz4")
+
+    ends = same_id.select(F.col("a").alias("rep")).union(same_id.select(F.col("b").alias("rep")))
+    named = buckets.select("rep").union(ends).distinct().withColumn("root", F.col("rep"))
+    named = _merged(stored(named, "near-named"), same_id)
+    opened = _still_open(buckets, named)
+    turn = 0
+    while not opened.isEmpty():
+        links = _confirmed(_pairs_of_turn(opened, turn), sets, percent, kind)
+        if links.isEmpty():
+            break
+        turn += 1
+        named = _merged(named, links)
+        before, opened = opened, _still_open(opened, named)
+        discard(before, links)
+    if not opened.isEmpty():
+        loose = stored(opened.select("rep", "root").distinct(), "near-loose")
+        named = _merged(named, _confirmed(_prefix_pairs(sets, loose, percent, kind), sets, percent, kind))
+    discard(sets, buckets)
+
+    roots = reps.join(named, "rep", "left").select("id", F.coalesce("root", "rep").cast("long").alias("root"))
+    out = rows.select("id", "n").join(roots.groupBy("id").agg(F.min("root").alias("root")), "id", "left")
     out = out.withColumn("component_id", F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
