@@ -34,7 +34,8 @@ def op3_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    found = contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +93,57 @@ WITH m AS (
 SELECT source, lang, x.tokenizer AS tokenizer, count(*) AS n_docs, sum(x.n)::BIGINT AS n_tokens FROM t GROUP BY ALL
 """
 
+OP4_SQL = r"""
+WITH i AS (
+  SELECT row_number() OVER (ORDER BY item_id, text) AS item, item_id, text,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+') AS w,
+         regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), b AS (SELECT *, len(w) AS n FROM i WHERE len(w) > 0),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT item, unnest(w) AS term FROM b) GROUP BY term),
+e AS (
+  SELECT row_number() OVER () AS entry, item, slice AS w, len(slice) AS n FROM (
+    SELECT item, w AS slice FROM b
+    UNION ALL SELECT item, w[a + 1 : a + 64] FROM (SELECT item, w, unnest(list_append(range(0, n - 64, 32), n - 64)) AS a FROM b WHERE n > 64))
+), tf AS (SELECT entry, item, n, term, count(*) AS c FROM (SELECT entry, item, n, unnest(w) AS term FROM e) GROUP BY ALL),
+wt AS (
+  SELECT entry, item, term, ln(1 + ((SELECT count(*) FROM b) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * c * 2.2::DOUBLE
+         / (c + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / (SELECT avg(n) FROM b))) AS weight FROM tf JOIN df USING (term)
+), im AS (SELECT entry, item, term, weight / sum(weight) OVER (PARTITION BY entry) AS impact FROM wt),
+d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+') AS w FROM documents WHERE text IS NOT NULL
+), t AS (SELECT row, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM d),
+p AS (SELECT DISTINCT row, pos // 64 + o AS passage, term FROM t, (VALUES (0), (1)) AS x(o) WHERE term IN (SELECT term FROM df)),
+hit AS (SELECT row, passage, entry, item, sum(impact) AS score FROM p JOIN im USING (term) GROUP BY ALL HAVING sum(impact) >= 0.5::DOUBLE - 1e-9),
+found AS (SELECT row, item, max(score) AS score FROM hit GROUP BY ALL),
+near AS (
+  SELECT DISTINCT h.row, h.item, t.pos FROM (SELECT DISTINCT row, item, passage FROM hit) h JOIN t ON t.row = h.row AND t.pos >= (h.passage - 2) * 64 AND t.pos < (h.passage + 2) * 64
+), cut AS (
+  SELECT item, body, contains(left(body, len(body) - 1), '?') AS asks,
+         CASE WHEN contains(left(body, len(body) - 1), '?') THEN len(regexp_extract(left(body, len(body) - 1), '(?s)^.*\?'))
+              WHEN regexp_matches(body, '(?s)^.*([.!][\x20\x09-\x0D]+|\n+)') THEN len(regexp_extract(body, '(?s)^.*([.!][\x20\x09-\x0D]+|\n+)')) ELSE len(body) END AS upto FROM b
+), part AS (
+  SELECT item, 'q' AS part, left(body, upto) AS text FROM cut UNION ALL SELECT item, 'a', substr(body, upto + 1) FROM cut UNION ALL SELECT item, 's', body FROM cut WHERE NOT asks
+), pw AS (
+  SELECT item, part, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+') AS w FROM part
+), run AS (
+  SELECT DISTINCT item, part, k, array_to_string(w[a : a + k - 1], ' ') AS run FROM (SELECT item, part, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS a FROM pw WHERE len(w) > 0)
+), own AS (
+  SELECT DISTINCT n.row, n.item, k, array_to_string(d.w[n.pos + 1 : n.pos + k], ' ') AS run
+  FROM near n JOIN d USING (row) JOIN (SELECT DISTINCT item, k FROM run) USING (item) JOIN near z ON z.row = n.row AND z.item = n.item AND z.pos = n.pos + k - 1
+  WHERE (SELECT count(*) FROM near m WHERE m.row = n.row AND m.item = n.item AND m.pos BETWEEN n.pos AND n.pos + k - 1) = k
+), share AS (
+  SELECT f.row, f.item, r.part, count(o.run)::DOUBLE / count(*) AS share
+  FROM found f JOIN run r ON r.item = f.item LEFT JOIN own o ON o.row = f.row AND o.item = f.item AND o.k = r.k AND o.run = r.run GROUP BY ALL
+), v AS (
+  SELECT f.row, f.item, f.score, coalesce(max(s.share) FILTER (WHERE part = 'q'), 1) AS question_overlap, coalesce(max(s.share) FILTER (WHERE part = 'a'), 1) AS answer_overlap, max(s.share) FILTER (WHERE part = 's') AS told
+  FROM found f LEFT JOIN share s USING (row, item) GROUP BY ALL
+)
+SELECT d.doc_id, b.item_id, round(v.score, 6) AS score, question_overlap, answer_overlap
+FROM v JOIN d USING (row) JOIN b USING (item) WHERE greatest(least(question_overlap, answer_overlap), coalesce(told, 0)) >= 0.6::DOUBLE
+"""
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -128,25 +180,59 @@ FROM n JOIN g USING (norm)
 """
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM d),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, md5(coalesce(text, '')) AS body, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT row, doc_id, body, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM d),
 w AS (
-  SELECT doc_id, pos, line || chr(10) || lead(line, 1) OVER p || chr(10) || lead(line, 2) OVER p AS win
-  FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, body, pos, line || chr(10) || lead(line, 1) OVER p || chr(10) || lead(line, 2) OVER p AS win
+  FROM l WINDOW p AS (PARTITION BY doc_id, body ORDER BY pos)
 ), v AS (SELECT * FROM w WHERE win IS NOT NULL AND trim(replace(win, chr(10), ' ')) <> ''),
-r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM v),
-x AS (SELECT DISTINCT doc_id, pos + o AS pos FROM r, (VALUES (0), (1), (2)) AS t(o) WHERE k > 1),
+r AS (SELECT doc_id, body, pos, rank() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, body, pos) AS k FROM v),
+x AS (SELECT DISTINCT doc_id, body, pos + o AS pos FROM r, (VALUES (0), (1), (2)) AS t(o) WHERE k > 1),
 j AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_removed,
+  SELECT l.row, l.doc_id, count(*) AS n_lines, count(x.pos) AS n_removed,
          coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE x.pos IS NULL), '') AS clean
-  FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.pos = x.pos GROUP BY l.doc_id
+  FROM l LEFT JOIN x ON l.doc_id IS NOT DISTINCT FROM x.doc_id AND l.body = x.body AND l.pos = x.pos GROUP BY l.row, l.doc_id
 )
 SELECT doc_id, n_lines, n_removed, sha256(clean) AS clean_sha256 FROM j
 """
 
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT row, base, h[2 * base + 1 : 2 * (base + 1199)] AS piece FROM (SELECT row, h, unnest(range(0, len(h) // 2, 1000)) AS base FROM d)),
+w AS (SELECT row, base + s AS s, md5(piece[2 * s + 1 : 2 * s + 400]) AS k FROM (SELECT *, unnest(range(0, least(1000, len(piece) // 2 - 199))) AS s FROM c)),
+r AS (SELECT DISTINCT row, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT row, s, sum(opens) OVER (PARTITION BY row ORDER BY s) AS span FROM (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY row ORDER BY s) + 200 THEN 0 ELSE 1 END AS opens FROM r)),
+x AS (SELECT row, min(s) AS a, max(s) + 200 AS z FROM g GROUP BY row, span),
+y AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) AS last FROM x),
+t AS (
+  SELECT row, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS behind, string_agg(h[2 * last + 1 : 2 * a], '' ORDER BY a) AS kept FROM y JOIN d USING (row) GROUP BY row
+)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN t.row IS NULL THEN d.h ELSE t.kept || substr(d.h, 2 * behind + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (row)
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, y AS other FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x),
+m AS (SELECT doc_id, min(other) AS least FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) AS component_id, least(w.doc_id, coalesce(m.least, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_token_rollups": OP2_SQL,
+    "op4_decontaminate": OP4_SQL,
     "op5_source_mixing": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op9_suffix_dedup": OP9_SQL,
+    "op10_near_dedup": OP10_SQL,
 }

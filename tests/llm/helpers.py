@@ -1,10 +1,17 @@
 """Small corpora and brute-force versions for the tests."""
 
 import hashlib
+import math
 import random
 import re
+import struct
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import regex
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -129,3 +136,117 @@ def lines_left(rows):
                 gone[i] |= {j, j + 1, j + 2}
             seen.add(win)
     return {i: ("\n".join(p for j, p in enumerate((t or "").split("\n")) if j not in gone[i]), len(gone[i])) for i, t in rows}
+
+
+def quality_vector(t):
+    """The classifier's statistics of one text, byte by byte."""
+    b = (t or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", b)
+    n, w, lines = max(len(b), 1), max(len(words), 1), b.split(b"\n")
+    count = lambda f: sum(1 for x in b if f(chr(x)))
+    space = count(lambda c: c in " \t\n\x0b\x0c\r")
+    punct = ".,;:?'\"()-"
+    symbols = count(lambda c: c.isascii() and not c.isalnum() and c not in "!|" + punct + " \t\n\x0b\x0c\r")
+    return [
+        math.log1p(len(b)), (count(lambda c: "A" <= c <= "Z") / n) ** 0.5, (symbols / n) ** 0.5, (b.count(b"|") / w) ** 0.5, (count(lambda c: "0" <= c <= "9") / n) ** 0.5, (b.count(b"!") / w) ** 0.5,
+        (count(lambda c: c in punct) / w) ** 0.5, math.log1p((len(b) - space) / w), space / n, 1 - len(set(lines)) / len(lines), math.log1p(len(b) / len(lines)),
+        (sum(1 for x in words if 65 <= x[0] <= 90) / w) ** 0.5, (sum(1 for x, y in zip(words, words[1:]) if x == y) / w) ** 0.5,
+    ]
+
+
+def held_out(i):
+    return i is None or zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def quality(rows, labels, shrink=0.1):
+    """[(id, score)] of ``rows(id, text)``: class densities with numpy, from ``labels(id, label)`` outside the held-out fold."""
+    x = [np.array(quality_vector(t)) for _, t in rows]
+    by_id = defaultdict(list)
+    for (i, _), v in zip(rows, x, strict=True):
+        by_id[i].append(v)
+    train = [np.array([v for i, y in labels if y == c and not held_out(i) for v in by_id[i]]) for c in (0, 1)]
+    covs = [np.cov(v.T, bias=True) for v in train]
+    pooled = np.maximum(sum(len(v) * np.diag(c) for v, c in zip(train, covs, strict=True)) / sum(map(len, train)), 1e-6)
+    covs = [(1 - shrink) * c + shrink * np.diag(pooled) for c in covs]
+
+    def density(v, c):
+        d = v - train[c].mean(axis=0)
+        return -0.5 * d @ np.linalg.solve(covs[c], d) - 0.5 * np.linalg.slogdet(covs[c])[1] + math.log(len(train[c]))
+
+    return [(i, 1 / (1 + math.exp(-max(-40, min(40, density(v, 1) - density(v, 0)))))) for (i, _), v in zip(rows, x, strict=True)]
+
+
+def hash64(*values):
+    """Spark's xxhash64 of long values, signed."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+CHAT_MARKERS = [re.compile(p) for p in (r"(?i)^\s*(?:#+\s*|\[)?system(?:\])?\s*:\s?", r"(?i)^\s*(?:#+\s*|\[)?(?:user|human|customer|q)(?:\])?\s*:\s?", r"(?i)^\s*(?:#+\s*|\[)?(?:assistant|ai|bot|a)(?:\])?\s*:\s?")]
+CHAT_HEADS = [("System: ", "User: ", "Assistant: "), ("[system]: ", "Human: ", "AI: "), ("### System:\n", "### User:\n", "### Assistant:\n"), ("SYSTEM: ", "Q: ", "A: ")]
+
+
+def chat_turns(rows, roles):
+    """[(conv, turn_no, role, text)] from ``rows(conv, turn, role, text)`` of known roles and distinct turns: transcripts, counts and one Viterbi for each conversation."""
+    convs = defaultdict(list)
+    for conv, turn, role, text in sorted(rows):
+        bare = turn > 0 and hash64(conv, turn) % 6 == 0
+        raw = ("\n" if bare else CHAT_HEADS[hash64(conv) % 4][roles.index(role)]) + text
+        convs[conv].append([(line, 2 * roles.index(role) + (at > 0)) for at, line in enumerate(raw.split("\n"))])
+
+    def seen(line):
+        marker = next((k + 1 for k, p in enumerate(CHAT_MARKERS) if p.search(line)), 0)
+        size, end = len(line.strip(" ")), line.rstrip(" ")[-1:]
+        return marker, int(bool(regex.search(r"^\s*\p{Lu}", line))), (size > 0) + (size >= 40) + (size >= 160), {"?": 2, ".": 1}.get(end, 0)
+
+    start, step = np.full(6, 1e-3), np.full((6, 6), 1e-3)
+    shown = [np.ones((6, n)) for n in (4, 2, 4, 3)]
+    for r in range(3):
+        step[2 * r, 2 * r + 1] += 1
+        step[2 * r + 1, 2 * r + 1] += 1
+        step[2 * r : 2 * r + 2, ::2] += 0.1
+    pairs = set()
+    for conv, turns in convs.items():
+        if held_out(conv):
+            continue
+        start[turns[0][0][1]] += 1
+        flat = [x for t in turns for x in t]
+        for line, s in flat:
+            for table, v in zip(shown, seen(line), strict=True):
+                table[s, v] += 1
+        for (_, a), (_, b) in zip(flat, flat[1:]):
+            step[a, b] += 1
+            if b % 2 == 0:
+                pairs.add((a, b))
+    for a, b in pairs:  # a step that is seen counts one more
+        step[a, b] += 1
+    start, step, shown = np.log(start / start.sum()), np.log(step / step.sum(axis=1, keepdims=True)), [np.log(t / t.sum(axis=1, keepdims=True)) for t in shown]
+    out = []
+    for conv, turns in convs.items():
+        lines = [line for t in turns for line, _ in t]
+        best, back = None, []
+        for line in lines:
+            show = sum(t[:, v] for t, v in zip(shown, seen(line), strict=True))
+            if best is None:
+                best = start + show
+            else:
+                way = best[:, None] + step
+                back.append(way.argmax(axis=0))
+                best = way.max(axis=0) + show
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        path.reverse()
+        made = []
+        for k, (line, s) in enumerate(zip(lines, path, strict=True)):
+            if not k or s % 2 == 0 or s // 2 != path[k - 1] // 2:
+                made.append((roles[s // 2], []))
+                for p in CHAT_MARKERS:
+                    line = p.sub("", line)
+                if not line.strip(" "):
+                    continue
+            made[-1][1].append(line)
+        out += [(conv, k, role, "\n".join(text)) for k, (role, text) in enumerate(made)]
+    return out

@@ -1,14 +1,18 @@
 """Operators against brute-force versions, and on nulls, blanks, repeats, ties, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -110,6 +114,35 @@ def test_rollup_of_messy_documents(spark):
     assert rollups.rollup_of_documents(empty(spark), labels).count() == 0
 
 
+def test_one_of_two_writers_commits(spark, tmp_path):
+    store, cols = str(tmp_path / "store"), "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
+    rows = spark.createDataFrame([("insert", "a", "en", "t", 3, None)], cols)
+    with ThreadPoolExecutor(4) as pool:
+        for batch in ("b1", "b2"):
+            assert sorted(pool.map(lambda _: rollups.commit_batch(spark, store, batch, rows), range(4))) == [False, False, False, True]  # noqa: B023
+    assert [tuple(r) for r in rollups.totals(spark, store).collect()] == [("a", "en", "t", 2, 6)]
+    assert not rollups._claim(spark, store, f"{store}/commits/b1", "other") and rollups._text(spark, f"{store}/commits/b1") != "other"
+    assert rollups.compact(spark, store) and not rollups.compact(spark, store)
+    assert not rollups.commit_batch(spark, store, "b2", rows) and rollups.commit_batch(spark, store, "b3", rows)
+    assert [tuple(r) for r in rollups.totals(spark, store).collect()] == [("a", "en", "t", 3, 9)]
+    assert rollups.compact(spark, store)
+    assert [tuple(r) for r in rollups.totals(spark, store).collect()] == [("a", "en", "t", 3, 9)]
+
+
+def test_rollup_with_library_tokenizers(spark):
+    paths = {n: public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k")}
+    rows = [*corpus(3, 30), (900, "x*** " * 40000, "en", "a", 0)]
+    labels = [(i, i % 2, int(i % 5 == 0)) for i, *_ in rows]
+    got = {tuple(r) for r in rollups.rollup_of_documents(messy(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {n: rollups.Library(p) for n, p in paths.items()}).collect()}
+    want = Counter()
+    for (_, t, lang, source, _), (_, good, toxic) in zip(rows, labels, strict=True):
+        text = t or "" if good else regex.sub(r"[^\p{L}\p{N}\x20\x09-\x0D]+", " ", t or "")
+        for n, p in () if toxic else paths.items():
+            want[source, lang, n, "docs"] += 1
+            want[source, lang, n, "tokens"] += len(Tokenizer.from_file(p).encode(text, add_special_tokens=False).ids)
+    assert got == {(s, la, n, c, want[s, la, n, "tokens"]) for (s, la, n, k), c in want.items() if k == "docs"}
+
+
 # 3 chat
 
 
@@ -146,8 +179,35 @@ def test_chat_blocks_equal_one_run(spark):
     codes = r.integers(0, 96, 5001)
     want = m.decode(codes, m.start)
     lines = spark.createDataFrame([(1, i, int(c)) for i, c in enumerate(codes)], "conv long, number long, code int")
-    got = [x["state"] for x in chat.recovered_lines(lines, m).orderBy("number").collect()]
-    assert chat.BLOCK * 2 < len(codes) and got == want.tolist()
+    got = chat.recovered_lines(lines, m).orderBy("number").collect()
+    assert chat.BLOCK * 2 < len(codes) and [x["state"] for x in got] == want.tolist()
+    opens = chat.opening(want, -1)
+    assert [x["opens"] for x in got] == opens.tolist() and [x["turn_no"] for x in got] == (np.cumsum(opens) - 1).tolist()
+
+
+def test_viterbi_equals_trying_every_path():
+    r = np.random.default_rng(1)
+    n = chat.STATES
+    for size in (1, 2, 5):
+        m = chat.Hmm(np.log(r.dirichlet(np.ones(n))), np.log(r.dirichlet(np.ones(n), n)), np.log(r.dirichlet(np.ones(96), n)).T)
+        codes = r.integers(0, 96, size)
+
+        def chance(path):
+            return m.start[path[0]] + sum(m.step[a, b] for a, b in itertools.pairwise(path)) + sum(m.show[c, s] for c, s in zip(codes, path, strict=True))  # noqa: B023
+
+        assert tuple(m.decode(codes, m.start)) == max(itertools.product(range(n), repeat=size), key=chance)
+
+
+def test_lines_of_one_long_conversation_are_numbered_over_ranges(spark):
+    r = random.Random(7)
+    rows = [(1, k, ("user", "assistant")[k % 2], "\n".join("x" * r.randint(0, 9) for _ in range(r.randint(1, 5)))) for k in range(3000)] + [(None, 0, "user", "a"), (None, 1, "user", "b\nc"), (0, 0, "user", "z")]
+    r.shuffle(rows)
+    got = chat.transcript_lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for conv in (None, 0, 1):
+        own = sorted((x for x in got if x["conv"] == conv), key=lambda x: x["number"])
+        assert [x["number"] for x in own] == list(range(len(own)))
+        assert [(x["turn"], x["at"]) for x in own] == sorted((x["turn"], x["at"]) for x in own)
+        assert sorted({x["turn"] for x in own}) == list(range(sum(c == conv for c, *_ in rows)))
 
 
 def test_chat_on_messy_rows(spark):
@@ -193,8 +253,8 @@ def test_retrieval_equals_scoring_everything(spark):
         found = {}
         for index in decontaminate.indexes(df, threshold=0.3, most=most):
             words, ends = decontaminate.terms(pa.array(texts, pa.string()))
-            for t, i, s in zip(*decontaminate.retrieve(index, words, ends, 0.3), strict=True):
-                found[int(t), int(index.items[i])] = s
+            for t, _, i, s in zip(*decontaminate.retrieve(index, words, ends, 0.3), strict=True):
+                found[int(t), int(index.items[i])] = max(s, found.get((int(t), int(index.items[i])), 0))
         want = {}
         for t, text in enumerate(texts):
             own, n = decontaminate_words(text), decontaminate.STRIDE
@@ -233,6 +293,25 @@ def test_long_items_are_found_at_every_offset(spark):
         assert all(x["score"] == pytest.approx(1) and x["question_overlap"] == x["answer_overlap"] == 1 for x in got)
 
 
+def test_an_answer_far_from_its_question_is_no_leak(spark):
+    r = random.Random(41)
+    asked = f"{prose(r, 30)}? yes."
+    question, answer = asked.split("? ")
+    bench = spark.createDataFrame([(1, asked)], "item_id long, text string")
+    rows = [(k, f"{prose(r, 100)} {question} {prose(r, gap)} {answer} {prose(r, 100)}", "en", "a", 0) for k, gap in enumerate((1, 20, 400, 5000))]
+    assert sorted(x["doc_id"] for x in decontaminate.contaminated(messy(spark, rows), bench).collect()) == [0, 1]
+
+
+def test_a_benchmark_of_many_indexes_is_searched_in_waves(spark):
+    r = random.Random(43)
+    items = [(i, f"{prose(r, 15)}? {prose(r, 4)}.") for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"{prose(r, 50)} {t} {prose(r, 50)}", "en", "a", 0) for i, t in items] + [(99, prose(r, 100), "en", "a", 0)]
+    assert len(list(decontaminate.indexes(bench, most=2))) > decontaminate.WAVE
+    assert sorted((x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(messy(spark, rows), bench, most=2).collect()) == [(i, i) for i in range(12)]
+    assert [x["doc_id"] for x in decontaminate.without_leaks(messy(spark, rows), bench, most=2).collect()] == [99]
+
+
 def test_every_text_of_a_benchmark_id_counts(spark):
     r = random.Random(23)
     items = [(1, prose(r, 20) + "."), (1, prose(r, 20) + "."), (None, prose(r, 20) + "."), (None, prose(r, 20) + "."), (2, prose(r, 20) + ".")]
@@ -358,6 +437,10 @@ def test_line_dedup(spark):
     want = lines_left([(i, t) for i, t, *_ in rows])
     got = {x["doc_id"]: (x["clean_text"], x["n_removed"]) for x in line_dedup.line_dedup(messy(spark, rows)).collect()}
     assert got == want and sum(n for _, n in want.values()) > 10
+    texts = [(5, "a\nb\nc\nx"), (5, "a\nb\nc\ny"), (6, "a\nb\nc")]
+    first = min((t for i, t in texts if i == 5), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    apart = line_dedup.line_dedup(messy(spark, [(i, t, "en", "a", 0) for i, t in texts])).collect()
+    assert sorted((x["doc_id"], x["clean_text"]) for x in apart) == sorted((i, t if t == first else t[6:]) for i, t in texts)
     again = line_dedup.line_dedup(messy(spark, [rows[-5]] * 2 + [(None, "a\nb\nc\nd", "en", "a", 0)])).collect()
     assert sorted((str(x["doc_id"]), x["n_removed"]) for x in again) == [("300", 4), ("300", 4), ("None", 0)]
     assert line_dedup.line_dedup(empty(spark)).count() == 0
@@ -434,6 +517,33 @@ def test_near_group_with_many_changes(spark):
     assert got == want and 1 < len({c for _, c in want.values()}) < 80
 
 
+@pytest.mark.parametrize("own", [14, 28])
+def test_near_family_of_one_template(spark, monkeypatch, own):
+    """Pages of one template, their similarity round the threshold: comparisons grow with the pages, not their pairs."""
+    r = random.Random(own)
+    base, some = prose(r, 300).split(" "), prose(r, 2000).split(" ")
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(own // 3):
+            words[r.randrange(len(words))] = r.choice(some)
+        rows.append((i, " ".join(words), "en", "a", 0))
+    compared = []
+    plain = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *a: compared.append(pairs.count()) or plain(pairs, *a))
+    want = near([(i, t) for i, t, *_ in rows], 3, 85)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=3, percent=85).collect()}
+    assert got == want
+    print(compared, len({c for _, c in want.values()}))
+    assert sum(compared) < 10 * len(rows)
+
+
+def test_signature_floor():
+    floor = near_dedup.agreement_floor(85)
+    assert 100 < floor < 125 and near_dedup.agreement_floor(80) < floor
+    assert near_dedup.agreement_floor(100) == 160
+
+
 def test_near_duplicates_on_messy_rows(spark):
     rows = [(4, "a b c d e f", "en", "a", 0), (4, "a b c d e f", "en", "a", 0), (None, "a b c d e f", "en", "a", 0), (2, "A b C d\ne f", "en", "a", 0), (9, "", "en", "a", 0), (8, None, "en", "a", 0), (7, "x", "en", "a", 0), (6, "X", "en", "a", 0)]
     got = sorted((str(x["doc_id"]), x["n_shingles"], x["component_id"], x["kept"]) for x in near_dedup.near_duplicates(messy(spark, rows)).collect())

@@ -13,9 +13,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyforge.llm import decontaminate, queries
+from tallyforge.llm import chat, decontaminate, queries
 
-from .helpers import WORD, near, repeats
+from .helpers import WORD, chat_turns, held_out, near, quality, repeats
 from .test_operators import bm25, decontaminate_words
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +54,22 @@ def test_quality_on_held_out_labels(scores):
     assert np.mean([s["predicted"] == q for s, q in held]) > 0.9
 
 
+def test_quality_query_equals_brute_force(spark, documents):
+    labels = [(r["doc_id"], r["quality"]) for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()]
+    want = dict(quality([(i, t) for i, t, _ in documents], labels))
+    got = queries.op1_quality(spark, SF).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, abs=1e-7)
+    assert all(r["held_out"] == held_out(r["doc_id"]) and r["predicted"] == (r["score"] >= 0.3) for r in got) and len(got) == len(documents)
+
+
+def test_chat_query_equals_brute_force(spark):
+    rows = [(r["conv_id"], r["turn"], r["role"], r["text"] or "") for r in pq.read_table(f"{SF}/conversations.parquet").to_pylist()]
+    assert len({r[:2] for r in rows}) == len(rows) and {r[2] for r in rows} <= set(chat.ROLES)
+    got = queries.op3_chat_turns(spark, SF).collect()
+    assert sorted((r["conv_id"], r["turn_no"], r["role"], r["text"]) for r in got) == sorted(chat_turns(rows, list(chat.ROLES)))
+    assert all(r["held_out"] == held_out(r["conv_id"]) and r["rendered"] == f"<|{r['role']}|>\n{r['text']}\n<|end|>\n" for r in got)
+
+
 def test_every_whole_benchmark_item_is_found(spark):
     documents = pq.read_table(f"{LARGER}/documents.parquet").to_pylist()
     items = pq.read_table(f"{LARGER}/benchmark.parquet").to_pylist()
@@ -84,20 +100,27 @@ def test_near_query_equals_brute_force(spark, documents):
 
 
 def leaking(text, items, threshold=decontaminate.THRESHOLD, overlap=decontaminate.OVERLAP):
-    """Whether every check of some item passes: all passages scored against all items, word runs as tuples."""
+    """Whether every check of some item passes: all passages scored against all items, word runs near them as tuples."""
     words, n = decontaminate_words(text), decontaminate.STRIDE
-    best = defaultdict(float)
-    for a in range(-n, len(words), n):
+    found = defaultdict(set)
+    for p, a in enumerate(range(-n, len(words), n)):
         for i, s in bm25(items, set(words[max(a, 0) : a + 2 * n])).items():
-            best[i] = max(best[i], s)
+            if s >= threshold - 1e-9:
+                found[i].update(range(max(0, (p - 2) * n), min(len(words), (p + 2) * n)))
 
-    def share(part):
+    def share(part, near):
         own = decontaminate_words(part)
         k = min(len(own), decontaminate.RUN)
-        runs = lambda w: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
-        return len(runs(own) & runs(words)) / len(runs(own)) if k else 1.0
-
-    return any(best[i] >= threshold - 1e-9 and min(map(share, decontaminate.question_and_answer(t))) >= overlap for i, t in items)
+        runs = {tuple(own[j : j + k]) for j in range(len(own) - k + 1)}
+        there = {tuple(words[j : j + k]) for j in near if near.issuperset(range(j, j + k))}
+        return len(runs & there) / len(runs) if k else 1.0
+
+    for i, t in items:
+        if i in found:
+            asked = min(share(part, found[i]) for part in decontaminate.question_and_answer(t))
+            if max(asked, 0.0 if decontaminate.asks(t) else share(t, found[i])) >= overlap:
+                return True
+    return False
 
 
 def copies(rows):
