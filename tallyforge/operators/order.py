@@ -7,30 +7,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.ingress import materialised
-from .scan import prefix_sum
 
 
 def sorted_ranks(vec: DataFrame, descending: bool = False, parts: int | None = None) -> DataFrame:
     """``idx, v, rank`` from 1; equal values by index. NaN is the greatest.
 
-    Rows are range-partitioned by (v, idx); a row's rank is its place in its
-    range plus the sizes of the ranges before.
+    One shuffle: rows are range-partitioned and sorted by (v, idx); a row's rank
+    is its place in its range, which is the low half of its
+    ``monotonically_increasing_id``, plus the sizes of the ranges before, of
+    which there is one row for each range.
     """
     spark = vec.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = F.col("v").desc() if descending else F.col("v").asc()
-    dealt = vec.select("idx", "v").repartitionByRange(parts, first, F.col("idx").asc()).withColumn("part", F.spark_partition_id())
-    dealt = materialised(dealt)  # sampled again, the ranges could differ between the two uses
-    place = F.row_number().over(W.partitionBy("part").orderBy(first, F.col("idx").asc()))
-    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(F.col("part").cast("long").alias("idx"), F.col("n").alias("v"))
-    starts = prefix_sum(sizes, inclusive=False).select(F.col("idx").cast("int").alias("part"), F.col("total").alias("start"))
-    return dealt.withColumn("place", place).join(starts, "part").select("idx", "v", (F.col("start") + F.col("place")).alias("rank"))
+    order = [F.col("v").desc() if descending else F.col("v").asc(), F.col("idx").asc()]
+    placed = vec.select("idx", "v").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = materialised(placed.select("idx", "v", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place")))
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "part").select("idx", "v", (F.col("start") + F.col("place") + 1).alias("rank"))
 
 
 def sort_values(vec: DataFrame, descending: bool = False) -> DataFrame:
     return vec.orderBy(F.col("v").desc() if descending else F.col("v").asc(), F.col("idx").asc())
 
 
+def strided(vec: DataFrame, stride: int) -> DataFrame:
+    """Every ``stride``-th element of a vector, by its index."""
+    return vec.filter(F.pmod("idx", F.lit(stride)) == 0)
+
+
 def topk(df: DataFrame, value: str, k: int, *payload: str, largest: bool = True) -> DataFrame:
     """The k largest (or least) rows in order, duplicates kept, ties by ``payload``; all rows where there are fewer."""
     first = F.col(value).desc() if largest else F.col(value).asc()
@@ -47,23 +52,6 @@ def kth_largest(df: DataFrame, value: str, k: int) -> DataFrame:
     return topk(df, value, k).agg(F.min(value).alias("kth"))
 
 
-def kth_by_histogram(keys: DataFrame, key: str, k: int, bits: int = 32) -> int:
-    """The k-th largest of unsigned ``bits``-bit keys: one 256-bin histogram for each byte, from the top."""
-    prefix = mask = 0
-    for shift in range(bits - 8, -1, -8):
-        held = keys.filter(F.col(key).bitwiseAND(F.lit(mask).cast("long")) == F.lit(prefix).cast("long"))
-        counts = {r["bin"]: r["count"] for r in held.groupBy(F.shiftrightunsigned(key, shift).bitwiseAND(255).alias("bin")).count().collect()}
-        for digit in sorted(counts, reverse=True):
-            if k <= counts[digit]:
-                prefix |= digit << shift
-                mask |= 255 << shift
-                break
-            k -= counts[digit]
-        else:
-            raise ValueError("fewer than k keys")
-    return prefix
-
-
 def survivors(df: DataFrame, value: str, k: int) -> DataFrame:
     """``n, kth``: how many values are above the k-th largest, and that value; in one plan, no value passes through the driver."""
     kth = kth_largest(df, value, k)

@@ -228,17 +228,16 @@ def survivor_count(spark, sf_dir):
     return order.survivors(ingress.table(spark, sf_dir, "events"), "value", 50)
 
 
-@query("WITH k AS (SELECT abs(round(value * 100)::BIGINT) AS key FROM events) SELECT key AS kth FROM k ORDER BY key DESC LIMIT 1 OFFSET 99")
-def kth_by_histogram(spark, sf_dir):
-    keys = cents(spark, sf_dir).select(F.abs("v").alias("key"))
-    return spark.range(1).select(F.lit(order.kth_by_histogram(keys, "key", 100)).cast("long").alias("kth"))
-
-
 @query("SELECT event_id AS idx, value::DOUBLE AS v FROM events WHERE value > 100")
 def threshold_select(spark, sf_dir):
     return values(spark, sf_dir).filter(F.col("v") > 100)
 
 
+@query("SELECT event_id AS idx, value::DOUBLE AS v FROM events WHERE event_id % 97 = 0")
+def strided_sample(spark, sf_dir):
+    return order.strided(values(spark, sf_dir), 97)
+
+
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 100")
 def streaming_topk(spark, sf_dir):
     """The events as a stream of files, merged batch by batch into k rows."""

@@ -90,15 +90,6 @@ def test_topk_cases(spark, name):
     assert order.survivors(df, "v", k).first()["n"] == sum(v > want[-1] for v in values)
 
 
-def test_kth_by_histogram(spark):
-    values = [random.Random(3).randrange(2**32) for _ in range(500)] + [7] * 50
-    keys = spark.createDataFrame([(v,) for v in values], "key long")
-    for k in (1, 100, 520):
-        assert order.kth_by_histogram(keys, "key", k) == sorted(values, reverse=True)[k - 1]
-    with pytest.raises(ValueError):
-        order.kth_by_histogram(keys, "key", 551)
-
-
 def test_prefix_sum(spark):
     ones = ingress.constant(spark, 5000)
     assert all(r["total"] == r["idx"] + 1 for r in scan.prefix_sum(ones, block=64).collect())
@@ -241,3 +232,13 @@ def test_streaming_topk_over_batches(spark, tmp_path):
     stream = spark.readStream.schema("id long, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     got = StreamingTopK(spark, str(tmp_path / "out"), "v", 7, "id").run(stream).collect()
     assert [(r["v"], r["id"]) for r in got] == sorted(((v, i) for i, v in rows), key=lambda x: (-x[0], x[1]))[:7]
+
+
+def test_streaming_topk_goes_on_after_a_restart(spark, tmp_path):
+    schema = "id long, v double"
+    for day, rows in enumerate(([(1, 5.0), (2, 9.0), (3, 1.0)], [(4, 7.0), (5, 0.0)], [])):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={day}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+        got = StreamingTopK(spark, str(tmp_path / "out"), "v", 2, "id").run(stream).collect()
+        assert [r["id"] for r in got] == ([2, 1] if not day else [2, 4])
