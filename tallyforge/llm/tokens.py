@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import lean, shared_dir, shuffle_parts
-from .texthash import give_back, slices, tidy
+from .texthash import slices, tidy
 
 #: Row group bytes, page bytes and most rows in a page of the token files.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
@@ -72,8 +72,9 @@ class WordTokens:
         if not form.isascii():
             form = "".join(map(self.letters.__getitem__, form.encode()))
         ids = array("i", [t.id for t in self.whole.model.tokenize(form)]).tobytes() if form else b""
-        if len(self.memo) < MEMO:
-            self.memo[piece] = ids
+        if len(self.memo) >= MEMO:
+            self.memo.clear()  # frequent words are soon back, rare ones would stay for all later tasks
+        self.memo[piece] = ids
         return ids
 
     def _plain(self, word: str) -> bytes:
@@ -133,7 +134,6 @@ def _encoder(path: str, end: int):
         tokens = _loaded.get(path) or _loaded.setdefault(path, WordTokens(path))
         before = row = 0
         for whole in batches:
-            give_back()
             for a, z in slices(whole.column(1), CHUNK):
                 b = whole.slice(a, z - a)
                 ids, starts = tokens.batch(b.column(1), end)
