@@ -45,7 +45,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return tokens_round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+    return tokens_round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, chunk=4 << 20)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

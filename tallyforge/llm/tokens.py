@@ -128,13 +128,13 @@ class WordTokens:
 _loaded: dict[str, WordTokens] = {}
 
 
-def _encoder(path: str, end: int):
+def _encoder(path: str, end: int, chunk: int = CHUNK):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _loaded.get(path) or _loaded.setdefault(path, WordTokens(path))
         before = row = 0
         for whole in batches:
-            for a, z in slices(whole.column(1), CHUNK):
+            for a, z in slices(whole.column(1), chunk):
                 b = whole.slice(a, z - a)
                 ids, starts = tokens.batch(b.column(1), end)
                 n = np.diff(starts)
@@ -145,14 +145,16 @@ def _encoder(path: str, end: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, chunk: int = CHUNK) -> None:
     """Encode every row of ``docs`` and write the token files to ``path``.
 
     Columns of the files: ``doc_id``, ``shard``, ``row`` (in the shard),
     ``before`` (ids before it in the shard), ``n_tokens``, ``token_ids``.
     Shards and rows ascend by id, nulls last; rows of one id stand by a hash
     of their text. Null text is empty: its only id is ``end_id``. An empty
-    table writes no rows. Other columns are not written.
+    table writes no rows. Other columns are not written. ``chunk`` bytes of text
+    are encoded at once (a longer text alone): more take less time, as a word
+    is looked up once for each chunk, and more memory.
     """
     spark = docs.sparkSession
     lean(spark)
@@ -160,7 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(shards or shuffle_parts(spark), *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    coded = rows.mapInArrow(_encoder(tokenizer_path, end_id), f"doc_id {kind}, shard int, row long, before long, n_tokens long, token_ids array<int>")
+    coded = rows.mapInArrow(_encoder(tokenizer_path, end_id, chunk), f"doc_id {kind}, shard int, row long, before long, n_tokens long, token_ids array<int>")
     writer = coded.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS)
     for name in ("doc_id", "row", "before", "n_tokens"):
         writer = writer.option(f"parquet.enable.dictionary#{name}", "false")
