@@ -13,19 +13,24 @@ def nearest_neighbour(points: DataFrame) -> DataFrame:
 
     Points that share a place are settled by one aggregate. The others look
     into the 27 cells around theirs; a neighbour found within a cell's width is
-    the nearest. The rest look again in cells of twice the width, until all
-    points fit in one neighbourhood. Points with a null or NaN coordinate get -1
-    and are nobody's neighbour.
+    the nearest. The rest look again in wider cells, until all points fit in one
+    neighbourhood. The first width follows the span of the middle nine tenths on
+    the widest axis, so far outliers do not make cells crowded. Cells grow by
+    two; once no more points are left than the square root of all, by a factor
+    that doubles too, as these few may meet crowded cells. Points with a null or
+    NaN coordinate get -1 and are nobody's neighbour.
     """
     good = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz")
     valid = points.filter(good)
     places = valid.groupBy("x", "y", "z").agg(F.min("idx").alias("idx"), F.max("idx").alias("last"))
     places = materialised(places)
-    box = places.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    box = places.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max), ("mid", lambda c: F.percentile_approx(c, [0.05, 0.95], 10000)))]).first()
     n = box["n"]
     spans = [box[f"hi{c}"] - box[f"lo{c}"] for c in "xyz"] if n else [0.0]
     widest = max(spans) or 1.0
-    width = widest / max(1, round(n ** (1 / 3)))
+    middle = max(box[f"mid{c}"][1] - box[f"mid{c}"][0] for c in "xyz") if n else 0.0
+    width = max((middle or widest) / max(1, round(n ** (1 / 3))), widest / 2**40)  # cell numbers stay far from the limit of a long
+    growth = 2
     found = None
     left = places.select("idx", "x", "y", "z") if n > 1 else None
     while left is not None:
@@ -40,9 +45,11 @@ def nearest_neighbour(points: DataFrame) -> DataFrame:
         done = tried.filter(sure).select("idx", F.col("o").alias("nn"))
         found = done if found is None else found.union(done)
         left = None if width >= widest else tried.filter(~sure).select("idx", "x", "y", "z")
-        if left is not None and left.isEmpty():
-            left = None
-        width *= 2
+        width *= growth
+        if left is not None:
+            few = left.count()
+            left = left if few else None
+            growth *= 2 if few * few <= n else 1
     twins = valid.join(places.filter("idx <> last").select("x", "y", "z", F.col("idx").alias("first")), ["x", "y", "z"])
     second = twins.filter("idx <> first").groupBy("x", "y", "z").agg(F.min("idx").alias("second"))
     twins = twins.join(second, ["x", "y", "z"]).select("idx", F.when(F.col("idx") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("twin"))

@@ -182,11 +182,13 @@ def brute_nn(points):
     return out
 
 
-@pytest.mark.parametrize("kind", ["spread", "clumps", "one", "two", "line"])
+@pytest.mark.parametrize("kind", ["spread", "far", "clumps", "one", "two", "line"])
 def test_nearest_neighbour(spark, kind):
     r = random.Random(kind)
-    if kind == "spread":
+    if kind in ("spread", "far"):
         pts = {i: (r.random(), r.random(), r.random()) for i in range(200)}
+        if kind == "far":
+            pts |= {7: (1e6, 1e6, 1e6), 8: (-1e15, 0.0, 0.0)}
     elif kind == "clumps":
         pts = {i: (round(r.gauss(0, 1e-3), 3) + (i % 3) * 50, round(r.random(), 1), 0.0) for i in range(150)}
     elif kind == "line":
