@@ -3,7 +3,8 @@
 A batch of signed changes (inserts, deletes, revised counts) is summed to one
 additive delta for each key, written to a folder of its own, and committed by
 a marker that carries the batch id and names the folder. Markers appear whole
-and never replace one another, so of two writers of one batch one wins and the
+and never replace one another (a hard link on disks, an atomic rename on HDFS;
+other stores are refused), so of two writers of one batch one wins and the
 other is told so; a batch may be sent again after any failure. Totals are the
 sums of all committed deltas, or of a compacted one and those since.
 """
@@ -91,36 +92,64 @@ def delta(changes: DataFrame) -> DataFrame:
 
 def _names(spark: SparkSession, path: str) -> list[str]:
     fs, at = files(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+    found = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in found if n[0] != ".")  # others are being written
 
 
 def _text(spark: SparkSession, path: str) -> str:
     fs, at = files(spark, path)
-    return spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(at), "UTF-8")
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
 
+def _link(spark: SparkSession, target, text: str) -> None:
+    """On a local or mounted disk: a file written beside ``target`` gets its name by a hard link, which fails if there is one."""
+    nio = spark._jvm.java.nio.file.Files
+    at = spark._jvm.java.io.File(target.toUri().getPath()).toPath()
+    staged = at.resolveSibling(f".{uuid.uuid4().hex}")
+    nio.write(staged, bytearray(text.encode()), spark.sparkContext._gateway.new_array(spark._jvm.java.nio.file.OpenOption, 0))
+    try:
+        nio.createLink(at, staged)
+    finally:
+        nio.delete(staged)
 
-def _claim(spark: SparkSession, store: str, path: str, text: str) -> bool:
-    """Make ``path`` hold ``text``; False if another writer's file is there already.
 
-    The file is written beside it and moved with a rename that never replaces,
-    so a marker is seen whole or not at all.
-    """
-    fs, staged = files(spark, f"{store}/staged/{uuid.uuid4().hex}")
+def _rename(spark: SparkSession, fs, target, text: str) -> None:
+    """On HDFS: a file written beside ``target`` is moved by a rename that never replaces, one step of its name server."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    staged = hadoop.Path(target.getParent(), f".{uuid.uuid4().hex}")
     out = fs.create(staged, False)
     out.write(bytearray(text.encode()))
     out.close()
-    target = files(spark, path)[1]
-    fs.mkdirs(target.getParent())
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    never = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
     try:
+        never = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
         hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(staged, target, never)
-    except Exception:
+    finally:
         fs.delete(staged, False)
+
+
+def _claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Make ``path`` hold ``text``, which no other writer uses; False if another writer's file is there.
+
+    The file appears whole, in one step that fails where there is one already,
+    and who has won is read from it. Stores without such a step are refused.
+    """
+    fs, named = files(spark, path)
+    fs.mkdirs(named.getParent())
+    parent = fs.resolvePath(named.getParent())
+    target, fs = spark._jvm.org.apache.hadoop.fs.Path(parent, named.getName()), parent.getFileSystem(spark._jsc.hadoopConfiguration())
+    kind = fs.getUri().getScheme()
+    if kind not in ("file", "hdfs"):
+        raise ValueError(f"a commit needs a file system with an atomic form of create, not {kind}")
+    try:
+        _link(spark, target, text) if kind == "file" else _rename(spark, fs, target, text)
+    except Exception:
         if not fs.exists(target):
             raise
-        return False
-    return True
+    return _text(spark, path) == text
 
 
 def committed(spark: SparkSession, store: str, batch: str) -> bool:
@@ -139,7 +168,7 @@ def commit_batch(spark: SparkSession, store: str, batch: str, changes: DataFrame
         return False
     folder = f"{batch}-{uuid.uuid4().hex}"
     delta(changes).write.parquet(f"{store}/deltas/{folder}")
-    if _claim(spark, store, f"{store}/commits/{batch}", folder):
+    if _claim(spark, f"{store}/commits/{batch}", folder):
         return True
     fs, at = files(spark, f"{store}/deltas/{folder}")
     fs.delete(at, True)
@@ -173,7 +202,7 @@ def compact(spark: SparkSession, store: str) -> bool:
     folder = f"compacted-{uuid.uuid4().hex}"
     _summed(spark, store, folders).select("source", "lang", "tokenizer", "tokens", "docs").write.parquet(f"{store}/deltas/{folder}")
     turn = len(_names(spark, f"{store}/compacted"))
-    return _claim(spark, store, f"{store}/compacted/{turn:09d}", json.dumps({"folder": folder, "batches": batches}))
+    return _claim(spark, f"{store}/compacted/{turn:09d}", json.dumps({"folder": folder, "batches": batches}))
 
 
 def totals(spark: SparkSession, store: str) -> DataFrame:

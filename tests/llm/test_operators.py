@@ -121,7 +121,7 @@ def test_one_of_two_writers_commits(spark, tmp_path):
         for batch in ("b1", "b2"):
             assert sorted(pool.map(lambda _: rollups.commit_batch(spark, store, batch, rows), range(4))) == [False, False, False, True]  # noqa: B023
     assert [tuple(r) for r in rollups.totals(spark, store).collect()] == [("a", "en", "t", 2, 6)]
-    assert not rollups._claim(spark, store, f"{store}/commits/b1", "other") and rollups._text(spark, f"{store}/commits/b1") != "other"
+    assert not rollups._claim(spark, f"{store}/commits/b1", "other") and rollups._text(spark, f"{store}/commits/b1") != "other"
     assert rollups.compact(spark, store) and not rollups.compact(spark, store)
     assert not rollups.commit_batch(spark, store, "b2", rows) and rollups.commit_batch(spark, store, "b3", rows)
     assert [tuple(r) for r in rollups.totals(spark, store).collect()] == [("a", "en", "t", 3, 9)]
@@ -129,6 +129,15 @@ def test_one_of_two_writers_commits(spark, tmp_path):
     assert [tuple(r) for r in rollups.totals(spark, store).collect()] == [("a", "en", "t", 3, 9)]
 
 
+def test_markers_have_one_writer_and_are_whole(spark, tmp_path):
+    with ThreadPoolExecutor(4) as pool:
+        for batch in range(300):
+            path = f"{tmp_path}/store/commits/{batch}"
+            won = list(pool.map(lambda w: rollups._claim(spark, path, f"writer-{w}"), range(4)))  # noqa: B023
+            assert won.count(True) == 1 and rollups._text(spark, path) == f"writer-{won.index(True)}"
+    assert rollups._names(spark, f"{tmp_path}/store/commits") == sorted(map(str, range(300)))
+
+
 def test_rollup_with_library_tokenizers(spark):
     paths = {n: public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k")}
     rows = [*corpus(3, 30), (900, "x*** " * 40000, "en", "a", 0)]
