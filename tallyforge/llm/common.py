@@ -68,6 +68,14 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as files in the shared folder, with its partitions and their order, which ``stored`` does not keep."""
+    sc, at = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
+    return df.checkpoint()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing that is still to be computed reads it."""
     for t in tables:

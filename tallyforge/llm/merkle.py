@@ -73,7 +73,7 @@ def _cut(start: int, end: int, n: int) -> Iterator[tuple[int, int, int, int]]:
         start = stop
 
 
-def _subtrees(edges: dict[int, tuple[int, str, int]], schema: pa.Schema):
+def _subtrees(edges: dict[int, tuple[int, str, int]]):
     """Sorted leaves of a range (``part, g, leaf, row``) to its subtrees; ``edges``: first place, last group and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +85,9 @@ def _subtrees(edges: dict[int, tuple[int, str, int]], schema: pa.Schema):
             leaves, rows = (pa.concat_arrays([b.column(i) for b in held]) for i in (2, 3))
             for level, node, a, z in _cut(at - count, at, n):
                 a, z = a - (at - count), z - (at - count)
-                own = leaves.slice(a, z - a)
-                bounds = pa.array([0, z - a], pa.int32())
-                top = _grown(own.to_pylist(), level)[-1][0]
-                lists = [pa.ListArray.from_arrays(bounds, pa.concat_arrays([x.slice(a, z - a)])) for x in (leaves, rows)]
-                yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([level], pa.int32()), pa.array([node], pa.int64()), pa.array([top]), *lists], schema=pa.schema([*zip(schema.names[:4], (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True), *zip(schema.names[4:], [x.type for x in lists], strict=True)]))
+                top = _grown(leaves.slice(a, z - a).to_pylist(), level)[-1][0]
+                lists = [pa.ListArray.from_arrays(pa.array([0, z - a], pa.int32()), pa.concat_arrays([x.slice(a, z - a)])) for x in (leaves, rows)]
+                yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([level], pa.int32()), pa.array([node], pa.int64()), pa.array([top]), *lists], ["g", "level", "node", "hash", "leaves", "rows"])
 
         for b in batches:
             if not len(b):
@@ -189,35 +187,26 @@ def _forest(leaves: DataFrame, order: list[Column], label: str) -> tuple[DataFra
 
     row = leaves.schema["row"].dataType
     kind = T.StructType([T.StructField("g", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("hash", T.StringType()), T.StructField("leaves", T.ArrayType(T.StringType())), T.StructField("rows", T.ArrayType(row))])
-    names = pa.schema([(f.name, pa.null()) for f in kind])
-    subtrees = stored(placed.mapInArrow(_subtrees(edges, names), kind), f"{label}-subtrees")
-
-    nodes = subtrees.select("g", "level", "node", "hash").join(sizes, "g")
-    most = max((e[2] for e in edges.values()), default=1)
-    most = max(most, sizes.agg(F.max("n")).first()[0] or 1)
-    ways = None
-    roots = nodes
+    subtrees = stored(placed.mapInArrow(_subtrees(edges), kind), f"{label}-subtrees")
+
+    most = sizes.agg(F.max("n")).first()[0] or 1
+    tops, risen = subtrees.select("g", "level", "node", "hash").join(sizes, "g"), []
     for bound in range(STEP, height(most) + STEP, STEP):
-        up = F.least(F.lit(bound), F.ceil(F.log2(F.col("n").cast("double")))) if False else F.lit(bound)
-        rising = roots.filter((F.col("level") < up) & (F.expr("shiftleft(1L, level)") < F.col("n")))
+        rises = (F.col("level") < bound) & (F.expr("shiftleft(1L, level)") < F.col("n"))
         block = F.expr(f"shiftright(node, {bound} - level)")
-        risen = stored(rising.withColumn("block", block).groupBy("g", "block").applyInArrow(_risen(bound), _RISEN), f"{label}-ways")
-        tops = risen.select("g", F.col("up_level").alias("level"), F.col("up_node").alias("node"), F.col("up_hash").alias("hash"), "n").distinct()
-        stay = roots.filter((F.col("level") >= up) | (F.expr("shiftleft(1L, level)") >= F.col("n")))
-        roots = stay.unionByName(tops)
-        ways = [*(ways or []), risen]
-    whole = None
-    for risen in reversed(ways or []):
-        own = risen.select("g", "level", "node", "way", "up_level", "up_node")
-        if whole is None:
-            whole = own.select("g", "level", "node", "way")
-            continue
-        above = whole.select("g", F.col("level").alias("up_level"), F.col("node").alias("up_node"), F.col("way").alias("above"))
-        joined = own.join(above, ["g", "up_level", "up_node"], "left")
-        whole = whole.union(joined.select("g", "level", "node", F.concat("way", F.coalesce("above", F.array().cast("array<string>"))).alias("way")))
-    if whole is None:
-        whole = spark.createDataFrame([], "g string, level int, node long, way array<string>")
-    return subtrees, whole, stored(roots.select("g", "hash"), f"{label}-roots")
+        risen.append(stored(tops.filter(rises).groupBy("g", block.alias("block")).applyInArrow(_risen(bound), _RISEN), f"{label}-ways"))
+        up = risen[-1].select("g", F.col("up_level").alias("level"), F.col("up_node").alias("node"), F.col("up_hash").alias("hash"), "n")
+        tops = tops.filter(~rises).unionByName(up.distinct())
+    ways = spark.createDataFrame([], "g string, level int, node long, way array<string>")
+    for r in reversed(risen):
+        above = ways.select("g", F.col("level").alias("up_level"), F.col("node").alias("up_node"), F.col("way").alias("above"))
+        whole = r.join(above, ["g", "up_level", "up_node"], "left").select("g", "level", "node", F.concat("way", F.coalesce("above", _none())).alias("way"))
+        ways = ways.union(whole)
+    return subtrees, ways, stored(tops.select("g", "hash"), f"{label}-roots")
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", columns: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), carry: dict[str, Column] | None = None) -> DataFrame:
@@ -245,7 +234,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", c
     subtrees, ways, subroots = _forest(leaves, [F.col("row.id").asc_nulls_first()], "merkle")
     top = subroots.select(F.lit("").alias("g"), F.col("hash").alias("leaf"), F.struct(F.col("g").alias("id")).alias("row"))
     upper, upper_ways, root = _forest(top, [F.col("row.id")], "merkle-top")
-    tops = _proofs(upper, upper_ways, root.select("g", F.col("hash").alias("subroot")), root.select("g", F.col("hash").alias("root"), F.array().cast("array<string>").alias("above")))
+    tops = _proofs(upper, upper_ways, root.select("g", F.col("hash").alias("subroot")), root.select("g", F.col("hash").alias("root"), _none().alias("above")))
     tops = stored(tops.select(F.col("row.id").alias("g"), "root", F.col("proof").alias("above")), "merkle-tops")
     out = _proofs(subtrees, ways, subroots.select("g", F.col("hash").alias("subroot")), tops)
     return out.select(F.col("row.id").alias(id_col), "leaf", "subroot", "root", "proof", *[F.col(f"row.more.`{name}`").alias(name) for name in carry])
@@ -255,8 +244,7 @@ def _proofs(subtrees: DataFrame, ways: DataFrame, subroots: DataFrame, tops: Dat
     """``row, leaf, subroot, root, proof`` of all leaves; ``tops(g, root, above)`` stand above the subroots."""
     above = tops.join(subroots, "g")
     met = subtrees.join(ways, ["g", "level", "node"], "left").join(above, "g")
-    none = F.array().cast("array<string>")
-    met = met.select("level", "leaves", "rows", F.concat(F.coalesce("way", none), "above").alias("above"), "subroot", "root")
+    met = met.select("level", "leaves", "rows", F.concat(F.coalesce("way", _none()), "above").alias("above"), "subroot", "root")
     row = subtrees.schema["rows"].dataType.elementType
     kind = T.StructType([T.StructField("row", row), *[T.StructField(n, T.StringType()) for n in ("leaf", "subroot", "root")], T.StructField("proof", T.ArrayType(T.StringType()))])
     return met.mapInArrow(_expanded, kind)

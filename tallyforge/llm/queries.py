@@ -11,6 +11,7 @@ from .common import load
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .line_dedup import line_dedup
+from .merkle import folded, leaf_of, manifest, proof_digest
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import quality_scores
@@ -66,6 +67,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and what the original proofs say of rows some of which are tampered with."""
+    docs = load(spark, sf_dir, "documents")
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    shown = F.when(touched, leaf_of([F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text")]))
+    rows = manifest(docs, carry={"shown": shown})
+    rows = rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), folded(F.coalesce("shown", "leaf"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_rollups": op2_token_rollups,
@@ -77,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 OP2_SQL = r"""
@@ -227,6 +240,35 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.leas
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
+#: The unsigned crc32 of a list of bytes, bit by bit.
+CRC_SQL = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
+
+def _merkle_sql(levels: int = 20, groups: int = 6) -> str:
+    """All levels of the trees one after the other, for up to 2^levels rows of a language and 2^groups languages."""
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+    leaf = lambda n: "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", n, "text"))) + ")"
+    crc = CRC_SQL.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")
+    cut = lambda a, g: f"SELECT {g} i // 2 AS i, (max(n) + 1) // 2 AS n, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {a} GROUP BY {g} i // 2"
+    climb = lambda f, a, on: (
+        f"SELECT f.* EXCLUDE (i, n, shown, proof), f.i // 2 AS i, (f.n + 1) // 2 AS n, f.proof || coalesce(o.h, '') AS proof, "
+        f"CASE WHEN f.n = 1 THEN f.shown WHEN o.h IS NULL THEN sha256(f.shown) WHEN f.i % 2 = 1 THEN sha256(o.h || f.shown) ELSE sha256(f.shown || o.h) END AS shown "
+        f"FROM {f} f LEFT JOIN {a} o ON {on} o.i = xor(f.i, 1) AND f.n > 1"
+    )
+    ctes = [
+        f"d AS (SELECT doc_id, lang, {leaf('n_chars')} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {leaf('(n_chars + 1)')} ELSE {leaf('n_chars')} END AS shown FROM documents)",
+        "f0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, '' AS proof FROM d)",
+        "n0 AS (SELECT lang, i, n, leaf AS h FROM f0)",
+        *[f"n{k + 1} AS ({cut(f'n{k}', 'lang,')})" for k in range(levels)],
+        *[f"f{k + 1} AS ({climb(f'f{k}', f'n{k}', 'o.lang IS NOT DISTINCT FROM f.lang AND')})" for k in range(levels)],
+        f"u0 AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM n{levels})",
+        *[f"u{k + 1} AS ({cut(f'u{k}', '')})" for k in range(groups)],
+        f"g0 AS (SELECT f.doc_id, f.leaf, u.h AS subroot, f.shown, f.proof, u.i, u.n FROM f{levels} f JOIN u0 u ON f.lang IS NOT DISTINCT FROM u.lang)",
+        *[f"g{k + 1} AS ({climb(f'g{k}', f'u{k}', '')})" for k in range(groups)],
+    ]
+    return f"WITH {', '.join(ctes)} SELECT g.doc_id, g.leaf, g.subroot, u.h AS root, sha256(g.proof) AS proof_sha256, g.shown AS folded_root, g.shown = u.h AS verified FROM g{groups} g, u{groups} u"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_token_rollups": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
@@ -235,4 +277,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": OP8_SQL,
     "op9_suffix_dedup": OP9_SQL,
     "op10_near_dedup": OP10_SQL,
+    "op11_merkle_manifest": _merkle_sql(),
 }
