@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from .chat import chat_turns
 from .common import load
@@ -16,6 +16,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import quality_scores
 from .rollups import rollup_of_documents
+from .spelling import variants, word_counts
 from .suffix_dedup import repeated_spans
 from .tokens import tokens_round_trip
 
@@ -78,6 +79,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _misspelled(doc: Column, run: Column) -> Column:
+    """One letter is missing where 199 divides the checksum of the document's id and the run."""
+    h = F.crc32(F.concat(doc.cast("string"), F.lit(":"), run).cast("binary"))
+    k = (h % F.char_length(run)).cast("int")
+    return F.when(h % 199 == 0, F.concat(F.substring(run, F.lit(1), k), F.substr(run, k + 2))).otherwise(run)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(word_counts(load(spark, sf_dir, "documents"), spelled=_misspelled), ratio=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_rollups": op2_token_rollups,
@@ -90,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_dedup": op10_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 OP2_SQL = r"""
@@ -269,6 +282,25 @@ def _merkle_sql(levels: int = 20, groups: int = 6) -> str:
     return f"WITH {', '.join(ctes)} SELECT g.doc_id, g.leaf, g.subroot, u.h AS root, sha256(g.proof) AS proof_sha256, g.shown AS folded_root, g.shown = u.h AS verified FROM g{groups} g, u{groups} u"
 
 
+_POINTS = "flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END))"
+OP12_SQL = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{6,}}')) AS run FROM documents
+), h AS (SELECT run, c, {CRC_SQL.format(bytes=_POINTS)} AS h FROM (SELECT doc_id, run, count(*) AS c FROM r GROUP BY ALL)),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+k AS (SELECT word, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM w)),
+l AS (SELECT DISTINCT k.word, w.word AS other FROM k JOIN w ON w.word = k.rest),
+e AS (
+  SELECT a.word, b.word AS other FROM k a JOIN k b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT word, other FROM l UNION ALL SELECT other, word FROM l
+), o AS (SELECT e.word, e.other, w.n AS m, row_number() OVER (PARTITION BY e.word ORDER BY w.n DESC, e.other) AS k, count(*) OVER (PARTITION BY e.word) AS n_near FROM e JOIN w ON w.word = e.other),
+f AS (SELECT w.word, w.n, coalesce(o.n_near, 0) AS n_near, CASE WHEN o.m >= 5 * w.n THEN o.other END AS form, CASE WHEN o.m >= 5 * w.n THEN o.m END AS form_n FROM w LEFT JOIN o ON o.word = w.word AND o.k = 1),
+t AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.next)
+SELECT f.word, f.form, t.at AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word AND t.next IS NULL
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_token_rollups": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
@@ -278,4 +310,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_suffix_dedup": OP9_SQL,
     "op10_near_dedup": OP10_SQL,
     "op11_merkle_manifest": _merkle_sql(),
+    "op12_spelling_variants": OP12_SQL,
 }
