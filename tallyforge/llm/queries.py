@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from .chat import chat_turns
 from .common import load
 from .decontaminate import contaminated
+from .embedding_dedup import embedding_duplicates
 from .exact_dedup import exact_groups
 from .line_dedup import line_dedup
 from .merkle import folded, leaf_of, manifest, proof_digest
@@ -90,6 +91,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(word_counts(load(spark, sf_dir, "documents"), spelled=_misspelled), ratio=5)
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(load(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_rollups": op2_token_rollups,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 OP2_SQL = r"""
@@ -301,6 +307,18 @@ SELECT f.word, f.form, t.at AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.
 """
 
 
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings
+), l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95::DOUBLE),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+m AS (SELECT x, min(y) AS least FROM r GROUP BY x),
+c AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(c.n, 0) AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept
+FROM v LEFT JOIN m ON m.x = vec_id LEFT JOIN c ON c.x = vec_id
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_token_rollups": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
@@ -311,4 +329,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_near_dedup": OP10_SQL,
     "op11_merkle_manifest": _merkle_sql(),
     "op12_spelling_variants": OP12_SQL,
+    "op13_embedding_dedup": OP13_SQL,
 }

@@ -20,7 +20,7 @@ from .test_operators import bm25, decontaminate_words
 
 SF = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
-TABLES = ("documents", "labels", "benchmark", "conversations")
+TABLES = ("documents", "labels", "benchmark", "conversations", "embeddings")
 
 
 @pytest.fixture(scope="module")
