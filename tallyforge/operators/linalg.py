@@ -1,12 +1,14 @@
-"""Matrices as cells ``i, j, v``: products are equi-joins on the shared index and partial sums."""
+"""Matrices as cells ``i, j, v``: dense products by tiles, sparse ones by joins on the shared index."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ingress import rows
+from . import tiles as T
+from .attention import attention_rows
+
 
 def transpose(cells: DataFrame) -> DataFrame:
     """A renaming: nothing moves."""
@@ -14,20 +16,17 @@ def transpose(cells: DataFrame) -> DataFrame:
 
 
 def matmul(a: DataFrame, b: DataFrame, scale: float = 1.0) -> DataFrame:
-    """``scale * a * b``; cells that no product reaches are absent."""
-    x = a.select(F.col("i").alias("i"), F.col("j").alias("k"), F.col("v").alias("x"))
-    y = b.select(F.col("i").alias("k"), F.col("j").alias("j"), F.col("v").alias("y"))
-    cell = F.sum(F.col("x") * F.col("y"))
-    return x.join(y, "k").groupBy("i", "j").agg((cell if scale == 1.0 else cell * scale).alias("v"))
+    """``scale * a * b`` for every row of ``a`` and column of ``b`` whose tiles meet; absent cells are zeros."""
+    product = T.cells_of(T.scaled(T.multiply(T.tiles(a), T.tiles(b)), scale))
+    return product.select(F.col("i").cast(a.schema["i"].dataType).alias("i"), F.col("j").cast(b.schema["j"].dataType).alias("j"), "v")
 
 
 def gemm(a: DataFrame, b: DataFrame, c: DataFrame, alpha: float, beta: float) -> DataFrame:
-    """``alpha * a * b + beta * c``; ``c`` is not read where beta is 0."""
-    product = matmul(a, b)
+    """``alpha * a * b + beta * c``; ``c`` is not read where beta is 0. Tiles of ``c`` are summed with those of the product."""
     if beta == 0:
-        return product.select("i", "j", (F.col("v") * alpha).alias("v"))
-    old = c.select("i", "j", F.col("v").alias("c"))
-    return product.join(old, ["i", "j"], "full").select("i", "j", (F.coalesce("v", F.lit(0.0)) * alpha + F.coalesce("c", F.lit(0.0)) * beta).alias("v"))
+        return matmul(a, b, alpha)
+    both = T.scaled(T.multiply(T.tiles(a), T.tiles(b)), alpha).union(T.scaled(T.tiles(c), beta))
+    return T.cells_of(T.summed(both)).select(F.col("i").cast(a.schema["i"].dataType).alias("i"), F.col("j").cast(b.schema["j"].dataType).alias("j"), "v")
 
 
 def spmv(cells: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
@@ -46,13 +45,7 @@ def interleave(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def attention(q: DataFrame, k: DataFrame, v: DataFrame, width: int) -> DataFrame:
-    """softmax(q kT / sqrt(width)) v, for every row of ``q`` against all rows of ``k`` and ``v``.
-
-    The softmax is folded into the last product: rows of scores are never
-    gathered, only their maxima and sums.
-    """
-    scores = matmul(q, transpose(k), 1.0 / math.sqrt(width))
-    top = scores.groupBy("i").agg(F.max("v").alias("top"))
-    weights = scores.join(top, "i").select("i", "j", F.exp(F.col("v") - F.col("top")).alias("v"))
-    norm = weights.groupBy("i").agg(F.sum("v").alias("norm"))
-    return matmul(weights, v).join(norm, "i").select("i", "j", (F.col("v") / F.col("norm")).alias("v"))
+    """softmax(q kT / sqrt(width)) v, for every row of ``q`` against all rows of ``k`` and ``v``, as cells; rows are dense."""
+    pairs = rows(k).select("i", F.col("vals").alias("k")).join(rows(v).select("i", F.col("vals").alias("v")), "i")
+    out = attention_rows(rows(q).select("i", F.col("vals").alias("q")), pairs, width)
+    return out.select("i", F.posexplode("vals").alias("j", "v"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import image, linalg, neighbors, neural, order, reduce, scan
+from ..operators import image, linalg, neighbors, neural, order, reduce, scan, tiles
+from ..operators.attention import attention_rows
 from ..sources import ingress
 from ..streaming.topk import StreamingTopK
 
@@ -309,8 +310,9 @@ def transpose(spark, sf_dir):
 @query(f"WITH {E_SQL} SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM e a JOIN e b ON a.i = b.i GROUP BY ALL")
 def matmul(spark, sf_dir):
     """The product of the embeddings' transpose and the embeddings."""
-    e = cells(spark, sf_dir)
-    return linalg.matmul(linalg.transpose(e), e).select("i", "j", rounded("v", 5).alias("v"))
+    e = tiles.row_tiles(ingress.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    product = tiles.cells_of(tiles.multiply(tiles.transposed(e), e))
+    return product.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), rounded("v", 5).alias("v"))
 
 
 @query(f"WITH {E_SQL}, {W_SQL}, p AS (SELECT e.i, w.j, sum(e.v * w.v) AS v FROM e JOIN w ON e.j = w.i GROUP BY ALL) SELECT p.i, p.j::INT AS j, round(1.5 * p.v + 0.5 * e.v, 5) + 0.0 AS v FROM p JOIN e ON p.i = e.i AND p.j = e.j")
@@ -358,8 +360,9 @@ n AS (SELECT i, sum(w) AS n FROM w GROUP BY i), o AS (SELECT w.i, e.j, sum(w.w *
 SELECT o.i, j, round(v / n, 6) + 0.0 AS v FROM o JOIN n ON o.i = n.i""")
 def attention(spark, sf_dir):
     """Every twentieth embedding asks all of them."""
-    e = cells(spark, sf_dir)
-    return linalg.attention(e.filter("i % 20 = 0"), e, e, 64).select("i", "j", rounded("v").alias("v"))
+    e = ingress.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("k"))
+    out = attention_rows(e.filter("i % 20 = 0").withColumnRenamed("k", "q"), e.withColumn("v", F.col("k")), 64)
+    return out.select("i", F.posexplode("vals").alias("j", "v")).select("i", "j", rounded("v").alias("v"))
 
 
 @query("""
