@@ -17,7 +17,9 @@ LEAF, OVER = 512, 4
 DRAWN = 1 << 16
 #: Leaves that a point asks first, nearest ones before all others within reach.
 FIRST = 8
-_ASK = "idx long, x double, y double, z double, d double, o long, leaf int, tried int"
+#: Pairs of points and leaves looked at together.
+PAIRS = 1 << 20
+_ASK = "idx long, x double, y double, z double, leaf int"
 
 
 class Tree:
@@ -87,27 +89,27 @@ class Tree:
 
 
 def away(p: np.ndarray, box: np.ndarray) -> np.ndarray:
-    """The least squared distance of each point to a box, rounded down; infinite for an empty box."""
+    """The least squared distance of each point to a box, rounded down; NaN for an empty box."""
     if not (box[0] <= box[1]).all():
-        return np.full(len(p), np.inf)
+        return np.full(len(p), np.nan)
     with np.errstate(over="ignore", invalid="ignore"):
         gap = np.maximum(0.0, np.maximum(box[0] - p, p - box[1]))
-        return np.nan_to_num((gap * gap).sum(axis=1), nan=0.0, posinf=np.inf) * (1 - 1e-12)
+        return (gap * gap).sum(axis=1) * (1 - 1e-12)
 
 
 def nearest(asks: np.ndarray, ids: np.ndarray, points: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distance and number of the nearest of ``points`` (numbers ``others``, ascending) for each of ``asks``, itself left out; -1 where there is none."""
     d, o = np.full(len(asks), np.inf), np.full(len(asks), -1, np.int64)
-    step = max(1, (1 << 20) // max(1, len(points)))
+    step = (1 << 20) // len(points) + 1
     for a in range(0, len(asks), step):
         with np.errstate(over="ignore", invalid="ignore"):
             far = [asks[a : a + step, c, None] - points[None, :, c] for c in range(3)]
             far = far[0] * far[0] + far[1] * far[1] + far[2] * far[2]
-        far = np.where(np.isnan(far), np.inf, far)
         own = ids[a : a + step, None] == others[None]
-        # A distance too large for a double is infinite, and still one.
-        at = np.argmin(np.where(own, np.nan, far) if not own.any() else np.ma.masked_array(far, own), axis=1)
-        rows = np.arange(len(far))
+        far[own | np.isnan(far)] = np.inf
+        at, rows = far.argmin(axis=1), np.arange(len(far))
+        # A distance may be too large for a double: then the first other one.
+        at = np.where(np.isinf(far[rows, at]), own.argmin(axis=1), at)
         there = ~own[rows, at]
         d[a : a + step], o[a : a + step] = np.where(there, far[rows, at], np.inf), np.where(there, others[at], -1)
     return d, o
@@ -118,7 +120,7 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(**columns: np.ndarray) -> pa.RecordBatch:
-    kinds = {"idx": pa.int64(), "o": pa.int64(), "leaf": pa.int32(), "tried": pa.int32()}
+    kinds = {"idx": pa.int64(), "o": pa.int64(), "leaf": pa.int32()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.float64())) for n, v in columns.items()], list(columns))
 
 
@@ -139,25 +141,30 @@ def _inside(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(idx=ids, x=p[:, 0], y=p[:, 1], z=p[:, 2], d=d, o=o, leaf=table.column("leaf").to_numpy())])
 
 
-def _asking(tree: Tree, first: bool):
-    """Points (``idx, x, y, z, d, o, leaf``) and further leaves they must ask: the nearest few, or all others within reach."""
+def _asked(tree: Tree, p: np.ndarray, d: np.ndarray, own: np.ndarray, first: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place of a point, leaf) of what points ask: the nearest few leaves, or all others within reach."""
+    todo = [np.argsort(d, kind="stable")[a : a + 1024] for a in range(0, len(p), 1024)]
+    while todo:
+        s = todo.pop()
+        near = tree.reached(p[s], d[s])
+        if len(near) * len(s) > PAIRS and len(s) > 1:  # far points among others
+            todo += [s[: len(s) // 2], s[len(s) // 2 :]]
+        elif len(near):
+            dist = np.stack([away(p[s], tree.box[n]) for n in near], axis=1)
+            dist[(near[None] == own[s, None]) | ~(dist <= d[s, None])] = np.nan
+            # What is within reach has all nearer leaves within reach, so places are the same in both turns.
+            place = dist.argsort(axis=1, kind="stable").argsort(axis=1)
+            i, j = np.nonzero(~np.isnan(dist) & ((place < FIRST) if first else (place >= FIRST)))
+            yield s[i], near[j]
+
 
+def _asking(tree: Tree, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, p = _columns(b)
-            d, o, own = (b.column(n).to_numpy() for n in ("d", "o", "leaf"))
-            for a in range(0, len(ids), 1024):
-                s = slice(a, a + 1024)
-                near = tree.reached(p[s], d[s])
-                for k in range(0, len(near), 4096) if not first else [0]:
-                    part = near if first else near[k : k + 4096]
-                    dist = np.stack([away(p[s], tree.box[n]) for n in part], axis=1) if len(part) else np.zeros((len(ids[s]), 0))
-                    asked = (dist <= d[s, None]) & (part[None] != own[s, None])
-                    if len(near) > FIRST:
-                        place = np.argsort(np.argsort(np.where(asked, dist, np.inf), axis=1, kind="stable"), axis=1) if first else None
-                        asked &= (place < FIRST) if first else True
-                    i, j = np.nonzero(asked)
-                    yield _rows(idx=ids[s][i], x=p[s][i, 0], y=p[s][i, 1], z=p[s][i, 2], d=d[s][i], o=o[s][i], leaf=part[j], tried=np.zeros(len(i)))
+            d, own = (b.column(n).to_numpy() for n in ("d", "leaf"))
+            for i, leaf in _asked(tree, p, d, own, first):
+                yield _rows(idx=ids[i], x=p[i, 0], y=p[i, 1], z=p[i, 2], leaf=leaf)
 
     return run
 
@@ -166,6 +173,8 @@ def _answers(asks: pa.Table, holds: pa.Table) -> pa.Table:
     """What a leaf's points say to those that ask it."""
     ids, p = _columns(asks)
     others, points = _columns(holds)
+    if not len(ids) or not len(others):
+        return pa.Table.from_batches([_rows(idx=ids[:0], d=np.zeros(0), o=ids[:0])])
     order = np.argsort(others)
     d, o = nearest(p, ids, points[order], others[order])
     return pa.Table.from_batches([_rows(idx=ids, d=d, o=o)])
@@ -174,14 +183,17 @@ def _answers(asks: pa.Table, holds: pa.Table) -> pa.Table:
 def _tree(places: DataFrame, n: int) -> tuple[Tree, DataFrame]:
     """A tree over ``places(idx, x, y, z)`` whose leaves have at most ``OVER * LEAF`` points, and the points with their leaf.
 
-    Each round draws a bounded sample from the leaves that hold too many, by
-    counts over all points, and cuts these again.
+    Each round draws a sample (``DRAWN``, or 32 for each of them if that is
+    more) from the leaves that hold too many, by counts over all points, and
+    cuts these again.
     """
     tree, crowded, dealt = Tree(), {0: n}, None
     while True:
         wanted = sum(crowded.values())
-        source = places if dealt is None else dealt.filter(F.col("leaf").isin(list(crowded)))
-        drawn = source.sample(False, min(1.0, DRAWN / wanted), 5).select("x", "y", "z").toPandas().to_numpy(np.float64)
+        source = places
+        if dealt is not None:
+            source = dealt.join(F.broadcast(places.sparkSession.createDataFrame([(k,) for k in crowded], "leaf int")), "leaf")
+        drawn = source.sample(False, min(1.0, max(DRAWN, 32 * len(crowded)) / wanted), 5).select("x", "y", "z").toPandas().to_numpy(np.float64)
         leaf = tree.leaves(drawn)
         for node, count in crowded.items():
             tree.split(node, drawn[leaf == node], min(-(-count // LEAF), max(1, int((leaf == node).sum()) // 8)))

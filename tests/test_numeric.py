@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,25 @@ def test_nearest_neighbour(spark, kind):
     assert dict(neighbors.nearest_neighbour(df).collect()) == brute_nn(pts)
 
 
+@pytest.mark.parametrize("kind", ["even", "two clumps", "a fifth far"])
+def test_nearest_neighbour_over_many_leaves(spark, monkeypatch, kind):
+    monkeypatch.setattr(neighbors, "LEAF", 16)
+    monkeypatch.setattr(neighbors, "DRAWN", 1500)
+    r = np.random.default_rng(len(kind))
+    p = r.random((3000, 3))
+    if kind == "two clumps":
+        p[:2000] = p[:2000] * 1e-6 + 5
+    elif kind == "a fifth far":
+        p[::5] = r.normal(size=(600, 3)) * 10.0 ** r.integers(2, 9, (600, 1))
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "idx long, x double, y double, z double")
+    tree, dealt = neighbors._tree(df, len(p))
+    loads = [x["count"] for x in dealt.groupBy("leaf").count().collect()]
+    assert sum(loads) == len(p) and max(loads) <= 16 * neighbors.OVER and len(loads) > 50
+    d = sum((p[:, None, c] - p[None, :, c]) ** 2 for c in range(3))
+    np.fill_diagonal(d, np.inf)
+    assert dict(neighbors.nearest_neighbour(df).collect()) == dict(enumerate(d.argmin(axis=1)))
+
+
 def test_nearest_neighbour_leaves_nan_out(spark):
     df = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, float("nan"), 0.0, 0.0), (2, 5.0, 0.0, 0.0), (3, None, 0.0, 0.0)], "idx long, x double, y double, z double")
     assert dict(neighbors.nearest_neighbour(df).collect()) == {0: 2, 1: -1, 2: 0, 3: -1}
