@@ -68,10 +68,30 @@ def column_moments(cells: DataFrame) -> DataFrame:
     return cells.groupBy("j").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("variance"))
 
 
+def _exp_terms(cells: DataFrame, *more: Column) -> DataFrame:
+    """``i, top, total`` and the maxima of ``more`` in one pass over cells.
+
+    Values are summed as exp(v - 512 b) within steps b of 512, which neither
+    overflows nor loses them, by partial aggregation; a row's few steps are
+    then brought to its maximum.
+    """
+    step = F.floor(F.col("v") / 512.0)
+    names = [f"m{k}" for k in range(len(more))]
+    parts = cells.groupBy("i", step.alias("b")).agg(F.max("v").alias("top"), F.sum(F.exp(F.col("v") - step * 512.0)).alias("s"), *[F.max(m).alias(n) for n, m in zip(names, more, strict=True)])
+    rows = parts.groupBy("i").agg(F.max("top").alias("top"), F.collect_list(F.struct("b", "s")).alias("parts"), *[F.max(n).alias(n) for n in names])
+    total = F.aggregate("parts", F.lit(0.0), lambda t, p: t + p["s"] * F.exp(p["b"] * 512.0 - F.col("top")))
+    return rows.select("i", "top", total.alias("total"), *names)
+
+
 def row_softmax_terms(cells: DataFrame) -> DataFrame:
     """``i, top, total``: each row's maximum and its sum of exp(v - top)."""
-    top = cells.groupBy("i").agg(F.max("v").alias("top"))
-    return cells.join(top, "i").groupBy("i").agg(F.max("top").alias("top"), F.sum(F.exp(F.col("v") - F.col("top"))).alias("total"))
+    return _exp_terms(cells)
+
+
+def cross_entropy_cells(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same loss where classes are rows: ``cells(i, j, v)`` and ``labels(i, label)``; cells are read once."""
+    rows = _exp_terms(cells.join(labels, "i"), F.when(F.col("j") == F.col("label"), F.col("v")))
+    return rows.select((F.ln("total") + F.col("top") - F.col("m0")).alias("loss")).agg(F.avg("loss").alias("loss"))
 
 
 def argmin_rows(cells: DataFrame) -> DataFrame:

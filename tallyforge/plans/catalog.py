@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import random as R
 from ..functions import scalar as S
 from ..operators import image, linalg, neighbors, neural, order, reduce, scan, tiles
 from ..operators.attention import attention_rows
@@ -59,6 +60,39 @@ CENTS_SQL = "c AS (SELECT event_id AS idx, round(value * 100)::BIGINT AS v FROM
 ERF_SQL = "CASE WHEN abs({z}) >= 4 THEN sign({z}) ELSE 1.1283791670955126 * list_sum(list_transform(range(0, 60), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * exp(CASE WHEN {z} = 0 THEN -700 ELSE (2 * n + 1) * ln(abs({z})) END - lgamma(n + 1)) / (2 * n + 1))) * sign({z}) END"
 
 
+def _hashed(idx: str, table: str, seed: int = 7) -> str:
+    """``h(idx, u0, u1)``: the numbers of ``random.unit_at`` for two streams, by xxHash64 in 128-bit arithmetic."""
+    # The primes of xxHash64.
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    full = 1 << 64
+
+    def turned(x: int, n: int) -> int:
+        return ((x << n) | (x >> (64 - n))) % full
+
+    def hashed(x: int, start: int) -> int:
+        h = turned((start + p5 + 8) % full ^ (turned(x * p2 % full, 31) * p1 % full), 27) * p1 + p4
+        h %= full
+        h = (h ^ (h >> 33)) * p2 % full
+        h = (h ^ (h >> 29)) * p3 % full
+        return h ^ (h >> 32)
+
+    big = lambda n: f"{n}::UHUGEINT"
+    turn = lambda x, n: f"(({x} % {big(1 << (64 - n))}) * {big(1 << n)} + {x} // {big(1 << (64 - n))})"
+    times = lambda x, p: f"(({x} * {big(p)}) % {big(full)})"
+    parts = []
+    for k in (0, 1):
+        start = (hashed(k, hashed(seed, 42)) + p5 + 8) % full
+        parts += [
+            f"a{k} AS (SELECT {idx} AS idx, {times(f'{idx}::UHUGEINT', p2)} AS x FROM {table})",
+            f"b{k} AS (SELECT idx, xor({times(turn('x', 31), p1)}, {big(start)}) AS x FROM a{k})",
+            f"c{k} AS (SELECT idx, ({times(turn('x', 27), p1)} + {big(p4)}) % {big(full)} AS x FROM b{k})",
+            f"d{k} AS (SELECT idx, {times(f'xor(x, x // {big(1 << 33)})', p2)} AS x FROM c{k})",
+            f"e{k} AS (SELECT idx, {times(f'xor(x, x // {big(1 << 29)})', p3)} AS x FROM d{k})",
+            f"g{k} AS (SELECT idx, ((xor(x, x // {big(1 << 32)}) // {big(1 << 12)})::DOUBLE + 0.5::DOUBLE) * pow(2::DOUBLE, -52) AS u FROM e{k})",
+        ]
+    return f"WITH {', '.join(parts)}, h AS (SELECT idx, g0.u AS u0, g1.u AS u1 FROM g0 JOIN g1 USING (idx))"
+
+
 # Reductions
 
 
@@ -135,6 +169,15 @@ def cross_entropy(spark, sf_dir):
     return reduce.cross_entropy(rows, F.col("z"), F.col("label")).select(F.round("loss", 6).alias("loss"))
 
 
+@query(f"""
+WITH {E_SQL}, m AS (SELECT i, max(v) AS top FROM e GROUP BY i), s AS (SELECT i, any_value(top) AS top, ln(sum(exp(v * 9 - top * 9))) AS total FROM e JOIN m USING (i) GROUP BY i)
+SELECT round(avg(total + top * 9 - v * 9), 6) AS loss FROM s JOIN embeddings ON vec_id = s.i JOIN e ON e.i = s.i AND e.j = label""")
+def cross_entropy_cells(spark, sf_dir):
+    """All 64 numbers of an embedding, times nine, as logits."""
+    labels = ingress.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), "label")
+    return reduce.cross_entropy_cells(cells(spark, sf_dir).withColumn("v", F.col("v") * 9.0), labels).select(F.round("loss", 6).alias("loss"))
+
+
 @query(f"WITH {E_SQL} SELECT j, round(avg(v), 6) + 0.0 AS mean, round(var_pop(v), 6) + 0.0 AS variance FROM e GROUP BY j")
 def column_moments(spark, sf_dir):
     return reduce.column_moments(cells(spark, sf_dir)).select("j", rounded("mean").alias("mean"), rounded("variance").alias("variance"))
@@ -247,6 +290,49 @@ def streaming_topk(spark, sf_dir):
     return StreamingTopK(spark, f"{ingress.shared_dir(spark)}/topk-{uuid.uuid4().hex}", "value", 100, "event_id").run(stream)
 
 
+@query("""
+WITH r AS (SELECT value, row_number() OVER (ORDER BY value DESC) AS rank, count(*) OVER () AS n FROM events)
+SELECT x.rank, r.value FROM (SELECT unnest([1, 50, 10000, count(*) // 2, count(*)]) AS rank FROM events) x JOIN r ON r.rank = least(x.rank, r.n)""")
+def order_statistics(spark, sf_dir):
+    """Several ranks at once, the median and the least among them; beyond the last one it is the last."""
+    events = ingress.table(spark, sf_dir, "events")
+    n = events.count()
+    return order.order_statistics(events, "value", [1, 50, 10000, n // 2, n])
+
+
+@query("SELECT event_id, value FROM events QUALIFY row_number() OVER (ORDER BY value DESC, event_id) <= (SELECT count(*) // 2 FROM events)")
+def topk_half(spark, sf_dir):
+    """The larger half of all rows."""
+    events = ingress.table(spark, sf_dir, "events")
+    return order.topk(events, "value", events.count() // 2, "event_id")
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM events) SELECT event_id AS idx, value::DOUBLE AS v FROM events WHERE event_id IN (SELECT i.range * n // 137 FROM range(137) i, n)")
+def strided_exactly(spark, sf_dir):
+    v = values(spark, sf_dir)
+    return order.strided_exactly(v, v.count(), 137)
+
+
+# Random numbers by counter
+
+
+@query(f"{_hashed('event_id', 'events')} SELECT idx, round(v + (u0 * 2 - 1), 6) + 0.0 AS v FROM (SELECT event_id AS idx, value::DOUBLE AS v FROM events) JOIN h USING (idx)")
+def uniform_noise(spark, sf_dir):
+    """The events' values with noise from -1 to 1, the same for each event however the table lies."""
+    return values(spark, sf_dir).select("idx", rounded(F.col("v") + R.uniform_at(F.col("idx"), 7, -1.0, 1.0)).alias("v"))
+
+
+@query(f"{_hashed('event_id', 'events')} SELECT idx, round(v + sqrt(-2 * ln(u0)) * cos(u1 * 2 * pi()), 6) + 0.0 AS v FROM (SELECT event_id AS idx, value::DOUBLE AS v FROM events) JOIN h USING (idx)")
+def normal_noise(spark, sf_dir):
+    return values(spark, sf_dir).select("idx", rounded(F.col("v") + R.normal_at(F.col("idx"), 7)).alias("v"))
+
+
+@query(f"{_hashed('event_id', 'events')} SELECT [1.0, 2.5, 7.0][floor(u0 * 3)::INT + 1]::DOUBLE AS arm, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events JOIN h ON idx = event_id GROUP BY ALL")
+def choice_arms(spark, sf_dir):
+    """Events dealt to three arms at random, and what each has."""
+    return cents(spark, sf_dir).withColumn("arm", R.choice_at(F.col("idx"), 7, [1.0, 2.5, 7.0])).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+
+
 # Element-wise
 
 
@@ -294,9 +380,11 @@ def block_shapes(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("idx"), S.ceil_div(F.col("p_size"), F.lit(7)).alias("blocks"), S.next_pow2(F.col("p_size")).alias("padded"))
 
 
-@query("SELECT range AS idx, range::DOUBLE AS v FROM range(65536)")
+@query("SELECT event_id AS idx, event_id::DOUBLE AS v, value > event_id AS above FROM events")
 def iota(spark, sf_dir):
-    return ingress.iota(spark, 65536)
+    """As many whole numbers as there are events, held against the events' values."""
+    v = values(spark, sf_dir).withColumnRenamed("v", "value")
+    return ingress.iota(spark, v.count()).join(v, "idx").select("idx", "v", (F.col("value") > F.col("v")).alias("above"))
 
 
 # Matrices

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import random as R
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,17 +47,17 @@ def constant(spark: SparkSession, n: int, value: float = 1.0) -> DataFrame:
 
 
 def uniform(spark: SparkSession, n: int, low: float, high: float, seed: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("idx"), (F.rand(seed) * (high - low) + low).alias("v"))
+    """The same values for a seed at any partitioning, as of the two below."""
+    return spark.range(n).select(F.col("id").alias("idx"), R.uniform_at(F.col("id"), seed, low, high).alias("v"))
 
 
 def normal(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("idx"), F.randn(seed).alias("v"))
+    return spark.range(n).select(F.col("id").alias("idx"), R.normal_at(F.col("id"), seed).alias("v"))
 
 
 def choice(spark: SparkSession, n: int, values: list[float], seed: int) -> DataFrame:
     """Each element one of ``values``, all equally likely."""
-    at = F.floor(F.rand(seed) * len(values)).cast("int")
-    return spark.range(n).select(F.col("id").alias("idx"), F.get(F.array(*[F.lit(float(v)) for v in values]), at).alias("v"))
+    return spark.range(n).select(F.col("id").alias("idx"), R.choice_at(F.col("id"), seed, values).alias("v"))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.functions import random as R
 from tallyforge.functions import scalar as S
 from tallyforge.operators import image, linalg, neighbors, neural, order, reduce, scan
 from tallyforge.sources import ingress
@@ -243,10 +244,72 @@ def test_identities(spark):
 def test_generators(spark):
     u = ingress.uniform(spark, 5000, -100, 100, 1).agg(F.min("v"), F.max("v")).first()
     assert -100 <= u[0] < -90 and 90 < u[1] < 100
-    assert abs(ingress.normal(spark, 5000, 2).agg(F.avg("v")).first()[0]) < 0.1
+    n = ingress.normal(spark, 20000, 2).agg(F.avg("v"), F.stddev("v"), F.kurtosis("v")).first()
+    assert abs(n[0]) < 0.03 and abs(n[1] - 1) < 0.03 and abs(n[2]) < 0.2
     assert {r["v"] for r in ingress.choice(spark, 500, [1, 2, 3], 3).collect()} == {1.0, 2.0, 3.0}
 
 
+def test_generators_do_not_depend_on_partitions(spark):
+    for column in (R.uniform_at(F.col("id"), 5, -3.0, 8.0), R.normal_at(F.col("id"), 5), R.choice_at(F.col("id"), 5, [1.0, 4.0])):
+        one, other = (dict(spark.range(0, 3000, 1, parts).select("id", column.alias("v")).collect()) for parts in (1, 7))
+        assert one == other
+        assert dict(spark.range(2990, 3000).select("id", column.alias("v")).collect()).items() <= one.items()
+    a, b = (np.array([r["v"] for r in ingress.uniform(spark, 4000, 0, 1, seed).orderBy("idx").collect()]) for seed in (1, 2))
+    assert abs(np.corrcoef(a, b)[0, 1]) < 0.06 and abs(np.corrcoef(a[1:], a[:-1])[0, 1]) < 0.06
+    assert np.histogram(a, 10, (0, 1))[0].min() > 320
+
+
+def test_erf_in_plain_arithmetic(spark):
+    x = [*np.linspace(-7, 7, 4001).tolist(), *[s * e for s in (1, -1) for e in (0.0, 1e-300, 1e-9, 0.46875, 0.468750001, 4.0, 4.0000001, 6.0, 30.0, math.inf)]]
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", S.erf(F.col("x")).alias("y"))
+    assert max(abs(math.erf(r["x"]) - r["y"]) for r in df.collect()) < 2e-15
+    assert spark.createDataFrame([(None,)], "x double").select(S.erf(F.col("x"))).first()[0] is None
+    assert math.isnan(spark.createDataFrame([(math.nan,)], "x double").select(S.erf(F.col("x"))).first()[0])
+    assert "reflect" not in df._jdf.queryExecution().toString().lower()
+
+
+@pytest.mark.parametrize("kind", ["even", "ties", "normal", "sorted", "longs", "far"])
+def test_order_statistics(spark, monkeypatch, kind):
+    monkeypatch.setattr(order, "FEW", 40)
+    monkeypatch.setattr(order, "ACCURACY", 100)
+    r = np.random.default_rng(len(kind))
+    x = {"even": r.uniform(-1000, 1000, 9000), "ties": r.choice([-10.0, 3.14, 5.0, 42.0], 9000), "normal": r.normal(size=9000), "sorted": np.arange(9000.0), "longs": r.integers(2**62, 2**62 + 5000, 9000), "far": np.append(r.normal(size=8990), 10.0 ** np.arange(290, 300))}[kind]
+    plain = sorted(x.tolist(), reverse=True)
+    ranks = [1, 2, 50, 4500, 8999, 9000, 20000]
+    rows = [(int(v),) if kind == "longs" else (float(v),) for v in x] + [(None,)] * 3
+    df = spark.createDataFrame(rows, f"v {'long' if kind == 'longs' else 'double'}").repartition(5)
+    assert [tuple(r) for r in order.order_statistics(df, "v", ranks).orderBy("rank").collect()] == [(k, plain[min(k, 9000) - 1]) for k in ranks]
+    assert [r["value"] for r in order.order_statistics(df, "v", [1, 70], largest=False).orderBy("rank").collect()] == [plain[-1], plain[-70]]
+
+
+def test_order_statistics_of_nan_and_nothing(spark):
+    df = spark.createDataFrame([(math.nan,), (2.0,), (None,), (1.0,), (math.nan,)], "v double")
+    got = [r["value"] for r in order.order_statistics(df, "v", [1, 2, 3, 4, 9]).orderBy("rank").collect()]
+    assert math.isnan(got[0]) and math.isnan(got[1]) and got[2:] == [2.0, 1.0, 1.0]
+    assert order.order_statistics(df.limit(0), "v", [1]).first()["value"] is None
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_topk_of_many_rows(spark, monkeypatch, largest):
+    monkeypatch.setattr(order, "MANY", 10)
+    monkeypatch.setattr(order, "FEW", 30)
+    rows = [(i, float(i * 37 % 50)) for i in range(2000)] + [(5000, None), (5001, None)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    key = lambda x: ((x[1] is None) if largest else (x[1] is not None), (-(x[1] or 0) if largest else (x[1] or 0)), x[0])
+    for k in (11, 1000, 2001, 5000):
+        assert [(r["id"], r["v"]) for r in order.topk(df, "v", k, "id", largest=largest).collect()] == sorted(rows, key=key)[:k]
+    assert order.kth_largest(df, "v", 1000).first()["kth"] == sorted((v for _, v in rows if v is not None), reverse=True)[999]
+
+
+def test_softmax_terms_of_any_size(spark):
+    x = [[1000.0, 1000.5, -2000.0], [-1e5, -1e5 - 1, -1e6], [1e8, 3.0, -1e8], [511.9999, 512.0, 512.0001], [0.0, -800.0, 600.0]]
+    got = {r["i"]: (r["top"], r["total"]) for r in reduce.row_softmax_terms(matrix(spark, x)).collect()}
+    for i, row in enumerate(x):
+        assert got[i][0] == max(row) and got[i][1] == pytest.approx(sum(math.exp(v - max(row)) for v in row), rel=1e-12)
+    plan = neural.softmax(matrix(spark, x))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2  # once for the terms, once for the result
+
+
 def test_streaming_topk_over_batches(spark, tmp_path):
     rows = [(i, float((i * 37) % 101)) for i in range(300)]
     for k in range(3):
