@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.ingress import rows
+from ..sources.ingress import materialised, rows
 from . import tiles as T
 from .attention import attention_rows
 
@@ -29,10 +29,23 @@ def gemm(a: DataFrame, b: DataFrame, c: DataFrame, alpha: float, beta: float) ->
     return T.cells_of(T.summed(both)).select(F.col("i").cast(a.schema["i"].dataType).alias("i"), F.col("j").cast(b.schema["j"].dataType).alias("j"), "v")
 
 
-def spmv(cells: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
-    """``i, y`` for each of ``rows(i)``: zeros of ``cells`` take no part, rows without cells give 0. ``x(j, x)``."""
-    y = cells.filter("v <> 0").join(x, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
-    return rows.select("i").join(y, "i", "left").select("i", F.coalesce("y", F.lit(0.0)).alias("y"))
+def spmv(cells: DataFrame, x: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``i, y`` for each of ``wanted(i)``: zeros of ``cells`` take no part, rows without cells give 0. ``x(j, x)``.
+
+    Cells of a hub column (more than a quarter of a task's share) stay where
+    they lie and get their number of ``x`` by broadcast: four columns for each
+    task at most, whatever the matrix. The other cells are dealt by column. Of
+    a hub row each task sends one partial sum.
+    """
+    held = materialised(cells.filter("v <> 0").select("i", "j", "v"))
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    loads = materialised(held.groupBy("j").agg(F.count(F.lit(1)).alias("w")))
+    bar = max(1, (loads.agg(F.sum("w")).first()[0] or 0) // (4 * parts))
+    hubs = loads.filter(F.col("w") > bar).select("j")
+    near = held.join(F.broadcast(x.join(F.broadcast(hubs), "j")), "j")
+    far = held.join(F.broadcast(hubs), "j", "left_anti").join(x, "j")
+    y = near.unionByName(far).groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+    return wanted.select("i").join(y, "i", "left").select("i", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
 def matrix_add(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import image, linalg, neighbors, neural, order, reduce, scan, t
 from ..operators.attention import attention_rows
 from ..sources import ingress
 from ..streaming.topk import StreamingTopK
+from ..streaming.windows import drained, windowed_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -313,6 +314,17 @@ def strided_exactly(spark, sf_dir):
     return order.strided_exactly(v, v.count(), 137)
 
 
+@query("""
+WITH e AS (SELECT event_type AS key, epoch(ts)::BIGINT // 86400 * 86400 AS start, value, event_id AS tie, max(epoch(ts)::BIGINT) OVER () AS seen FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)
+SELECT coalesce(key, '') AS key, start, row_number() OVER (PARTITION BY key, start ORDER BY value DESC, tie)::INT AS rank, value::DOUBLE AS value, tie FROM e WHERE start + 86400 < seen - 3600 QUALIFY rank <= 3""")
+def streaming_windows(spark, sf_dir):
+    """The three largest values of each type of event and day, as days close behind the watermark."""
+    source = ingress.table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")
+    rows = windowed_topk(stream, "event_type", "ts", "value", "event_id", 3, 86400, 3600)
+    return drained(spark, rows, f"{ingress.shared_dir(spark)}/windows-{uuid.uuid4().hex}")
+
+
 # Random numbers by counter
 
 

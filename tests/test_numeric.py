@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime, timezone
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from tallyforge.functions import scalar as S
 from tallyforge.operators import image, linalg, neighbors, neural, order, reduce, scan
 from tallyforge.sources import ingress
 from tallyforge.streaming.topk import StreamingTopK
+from tallyforge.streaming.windows import drained, windowed_topk
 
 
 def matrix(spark, rows):
@@ -235,6 +237,80 @@ def test_correlate(spark):
         image.correlate(pixels, [[1, 1]], 3, 3)
 
 
+@pytest.mark.parametrize(("rows", "cols", "k", "side"), [(13, 9, (3, 5), 4), (30, 41, (21, 21), 8), (5, 5, (1, 1), 2), (40, 40, (7, 3), 256)])
+def test_correlate_over_tiles(spark, rows, cols, k, side):
+    r = np.random.default_rng(rows)
+    images, kernel = r.normal(size=(3, rows, cols)), r.normal(size=k)
+    pixels = spark.createDataFrame([(i, y, x, float(v)) for i, im in enumerate(images) for y, row in enumerate(im) for x, v in enumerate(row)], "img int, r int, c int, v double").repartition(3)
+    got = np.full(images.shape, np.nan)
+    for p in image.correlate(pixels, kernel.tolist(), rows, cols, side).collect():
+        assert np.isnan(got[p["img"], p["r"], p["c"]])
+        got[p["img"], p["r"], p["c"]] = p["v"]
+    wide = np.pad(images, ((0, 0), (k[0] // 2,) * 2, (k[1] // 2,) * 2))
+    want = sum(kernel[m, n] * wide[:, m : m + rows, n : n + cols] for m in range(k[0]) for n in range(k[1]))
+    assert np.allclose(got, want, atol=1e-12)
+
+
+def test_correlate_of_few_pixels(spark):
+    pixels = spark.createDataFrame([("a", 3, 4, 2.0), (None, 0, 0, None), ("a", 90, 1, 1.0)], "img string, r long, c long, v double")
+    got = {(x["img"], x["r"], x["c"]): x["v"] for x in image.correlate(pixels, [[1, 2, 3]] * 3, 20, 20, 4).collect()}
+    assert got == {("a", r, c): 2.0 * (5 - c + 1) for r in (2, 3, 4) for c in (3, 4, 5)} | {(None, r, c): 0.0 for r in (0, 1) for c in (0, 1)}
+
+
+def test_correlate_moves_a_pixel_once(spark):
+    pixels = spark.range(300 * 300).select(F.lit(0).alias("img"), F.expr("int(id div 300)").alias("r"), (F.col("id") % 300).cast("int").alias("c"), F.lit(1.0).alias("v"))
+    out = image.correlate(pixels, [[1.0] * 21] * 21, 300, 300)
+    out.write.format("noop").mode("overwrite").save()
+    assert out.agg(F.count(F.lit(1)), F.max("v"), F.min("v")).first()[:] == (90000, 441.0, 121.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "SortMergeJoin" not in plan
+
+
+def test_spmv_with_a_hub(spark):
+    r = np.random.default_rng(2)
+    i, j = r.integers(0, 400, 3000), r.integers(0, 300, 3000)
+    j[::3], i[1::3] = 7, 11
+    v = r.normal(size=3000)
+    v[::50] = 0
+    x = r.normal(size=300)
+    cells = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(i, j, v, strict=True)], "i long, j int, v double").repartition(4)
+    xs = spark.createDataFrame([(k, float(t)) for k, t in enumerate(x)], "j int, x double")
+    want = np.bincount(i, v * x[j], 401)
+    got = dict(linalg.spmv(cells, xs, spark.range(401).withColumnRenamed("id", "i")).collect())
+    assert sorted(got) == list(range(401)) and np.allclose([got[k] for k in range(401)], want, atol=1e-12)
+    assert linalg.spmv(cells.limit(0), xs, spark.range(2).withColumnRenamed("id", "i")).collect() == [(0, 0.0), (1, 0.0)]
+
+
+def test_sample_of_exactly_so_many(spark):
+    for n, s in ((10, 3), (1000, 137), (7, 7), (12, 5)):
+        got = [r["idx"] for r in order.strided_exactly(ingress.iota(spark, n), n, s).orderBy("idx").collect()]
+        assert got == [i * n // s for i in range(s)]
+
+
+def test_windows_of_a_stream_with_late_rows_and_a_restart(spark, tmp_path):
+    schema = "kind string, at timestamp_ntz, v double, id long"
+    day = lambda *rows: [(kind, datetime(2024, 1, d, h), v, i) for kind, d, h, v, i in rows]
+    days = [
+        day(("a", 1, 1, 5.0, 1), ("a", 1, 2, 9.0, 2), ("a", 1, 3, 9.0, 3), ("b", 1, 4, 1.0, 4), (None, 1, 4, 1.0, 5)) + [("a", None, 99.0, 90), ("a", datetime(2024, 1, 1), None, 91)],
+        day(("a", 2, 0, 7.0, 6), ("a", 1, 23, 11.0, 7)),  # in time: the first day is open
+        day(("a", 3, 5, 2.0, 8)),  # closes the first and the second day
+        day(("a", 1, 5, 100.0, 9), ("b", 3, 6, 4.0, 10)),  # too late for the first day
+        day(("b", 5, 0, 0.0, 11)),
+    ]
+
+    def run(n):
+        spark.createDataFrame(days[n], schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={n}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+        rows = windowed_topk(stream, "kind", "at", "v", "id", 2, 86400, 3600)
+        first = int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp())
+        return sorted((r["key"], (r["start"] - first) // 86400, r["rank"], r["value"], r["tie"]) for r in drained(spark, rows, str(tmp_path / "out")).collect())
+
+    assert run(0) == [] and run(1) == []
+    closed = [("", 0, 1, 1.0, 5), ("a", 0, 1, 11.0, 7), ("a", 0, 2, 9.0, 2), ("a", 1, 1, 7.0, 6), ("b", 0, 1, 1.0, 4)]
+    assert run(2) == closed and run(3) == closed
+    assert run(4) == sorted([*closed, ("a", 2, 1, 2.0, 8), ("b", 2, 1, 4.0, 10)])
+
+
 def test_identities(spark):
     e = matrix(spark, [[1, 2, 3], [4, 5, 6]])
     assert dense(linalg.transpose(linalg.transpose(e))) == dense(e)
