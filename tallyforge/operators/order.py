@@ -9,8 +9,10 @@ from pyspark.sql import types as T
 
 from ..sources.ingress import materialised
 
-#: Rows of a top-k that may be merged in one task, values of a bracket that may be sorted in one, and 1 / the sketch's error.
-MANY, FEW, ACCURACY = 4096, 1 << 16, 10000
+#: Rows of a top-k that may be merged in one task, and values of a bracket that may be sorted in one.
+MANY, FEW = 10000, 1 << 16
+#: Quantiles taken from the first sketch, and 1 / the error of every sketch.
+STEPS, ACCURACY = 1000, 10000
 
 
 def sorted_ranks(vec: DataFrame, descending: bool = False, parts: int | None = None) -> DataFrame:
@@ -79,9 +81,9 @@ def topk_grouped(df: DataFrame, key: str, value: str, k: int, tie: str) -> DataF
 def order_statistics(df: DataFrame, value: str, ranks: list[int], largest: bool = True) -> DataFrame:
     """``rank, value``: the values at several ranks from 1 of a number column; exact, and no task holds more than ``FEW`` of them.
 
-    One pass makes a mergeable quantile sketch that gives each rank a bracket,
-    one counts what lies below and in it, and again inside until a bracket
-    holds one value or at most ``FEW``, which are sorted. A bracket that misses
+    One pass makes a mergeable quantile sketch that gives every rank a bracket,
+    one counts what lies below and in each, and both go on inside a bracket
+    until it holds one value or at most ``FEW``, which are sorted. A bracket that misses
     its rank is moved by the counts. Nulls take no part, NaN is the greatest;
     a rank beyond the number of values gives the last one, no values null.
     """
@@ -89,19 +91,23 @@ def order_statistics(df: DataFrame, value: str, ranks: list[int], largest: bool
     v = F.col("v")
     known = df.select(F.col(value).alias("v")).filter(v.isNotNull())
     sound = ~F.isnan(v) if kind.typeName() in ("double", "float") else F.lit(True)
-    head = known.agg(F.count(F.lit(1)).alias("all"), F.count_if(sound).alias("n"), F.min(F.when(sound, v)).alias("lo"), F.max(F.when(sound, v)).alias("hi")).first()
+    head = known.agg(F.count(F.lit(1)).alias("all"), F.count_if(sound).alias("n"), F.min(F.when(sound, v)).alias("lo"), F.max(F.when(sound, v)).alias("hi"), F.percentile_approx(F.when(sound, v), [i / STEPS for i in range(STEPS + 1)], ACCURACY).alias("q")).first()
     known = known.filter(sound)
     wanted = {r: (lambda at: head["all"] - at + 1 if largest else at)(min(max(r, 1), head["all"])) for r in ranks}
     # For each place from below: bracket, values under it, values in it.
     at = {a: (head["lo"], head["hi"], 0, head["n"]) for a in wanted.values() if 0 < a <= head["n"]}
+    place = {a: int((a - 0.5) / head["n"] * STEPS) for a in at}
+    cuts = {a: (head["q"][max(i - 1, 0)], head["q"][min(i + 2, STEPS)]) for a, i in place.items()}
     while wide := {a: x for a, x in at.items() if x[0] != x[1] and x[3] > FEW}:
         within = {a: v.between(F.lit(x[0]), F.lit(x[1])) for a, x in wide.items()}
-        share = {a: (a - x[2] - 0.5) / x[3] for a, x in wide.items()}
-        cuts = known.agg(*[F.percentile_approx(F.when(within[a], v), [max(0.0, s - 2 / ACCURACY), min(1.0, s + 2 / ACCURACY)], ACCURACY).alias(str(a)) for a, s in share.items()]).first()
-        sums = [F.count_if(within[a] & c).alias(f"{a} {n}") for a in wide for n, c in enumerate((v < F.lit(cuts[str(a)][0]), v <= F.lit(cuts[str(a)][0]), v < F.lit(cuts[str(a)][1]), v <= F.lit(cuts[str(a)][1])))]
+        if cuts is None:
+            share = {a: (a - x[2] - 0.5) / x[3] for a, x in wide.items()}
+            row = known.agg(*[F.percentile_approx(F.when(within[a], v), [max(0.0, s - 2 / ACCURACY), min(1.0, s + 2 / ACCURACY)], ACCURACY).alias(str(a)) for a, s in share.items()]).first()
+            cuts = {a: tuple(row[str(a)]) for a in wide}
+        sums = [F.count_if(within[a] & c).alias(f"{a} {n}") for a in wide for n, c in enumerate(c for x in cuts[a] for c in (v < F.lit(x), v <= F.lit(x)))]
         counts = known.agg(*sums).first()
         for a, (lo, hi, below, n) in wide.items():
-            (x, y), (lt_x, le_x, lt_y, le_y), r = cuts[str(a)], [counts[f"{a} {c}"] for c in range(4)], a - below
+            (x, y), (lt_x, le_x, lt_y, le_y), r = cuts[a], [counts[f"{a} {c}"] for c in range(4)], a - below
             if r <= lt_x:
                 at[a] = lo, x, below, le_x
             elif r <= le_x:
@@ -112,6 +118,7 @@ def order_statistics(df: DataFrame, value: str, ranks: list[int], largest: bool
                 at[a] = y, y, below + lt_y, le_y - lt_y
             else:
                 at[a] = y, hi, below + lt_y, n - lt_y
+        cuts = None
         if all(at[a] == x for a, x in wide.items()):
             break  # values that the sketch cannot tell apart
     found = {}

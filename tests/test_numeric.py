@@ -348,6 +348,7 @@ def test_erf_in_plain_arithmetic(spark):
 def test_order_statistics(spark, monkeypatch, kind):
     monkeypatch.setattr(order, "FEW", 40)
     monkeypatch.setattr(order, "ACCURACY", 100)
+    monkeypatch.setattr(order, "STEPS", 20)
     r = np.random.default_rng(len(kind))
     x = {"even": r.uniform(-1000, 1000, 9000), "ties": r.choice([-10.0, 3.14, 5.0, 42.0], 9000), "normal": r.normal(size=9000), "sorted": np.arange(9000.0), "longs": r.integers(2**62, 2**62 + 5000, 9000), "far": np.append(r.normal(size=8990), 10.0 ** np.arange(290, 300))}[kind]
     plain = sorted(x.tolist(), reverse=True)
