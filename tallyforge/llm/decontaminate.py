@@ -3,14 +3,20 @@
 The inverted index holds the benchmark's items; every passage of every
 document is a query. A posting's impact is its BM25 weight over the item's
 score against its own text, so one threshold in (0, 1] serves all items.
-Postings lie in blocks of items and each block keeps each term's highest
-impact. A passage with none but terms that cannot reach the threshold together,
-or without a block whose summed maxima reach it, is not looked at; this is
-tested for a batch of passages at once. The others go through block-max WAND:
-lists ordered by their next entry, a pivot where their maxima reach the
-threshold, the pivot's block tested by its own maxima, and skips past what
-neither can reach. All bounds are exact, so all items above the threshold come
-back. An item longer than a stride is indexed whole and in overlapping parts of
+
+An entry's commonest terms, as many as together stay under half the threshold,
+are not essential to it: an entry that reaches the threshold has the rest of it
+from its other, rarer terms. Only these have postings to walk. They lie in
+blocks of entries and each block keeps each term's highest impact; for many
+passages at once, blocks whose summed maxima cannot give what some entry of
+theirs needs are skipped, and in the others each entry's own sum is held
+against what it needs. What is left of a passage's entries goes through WAND
+over all their terms: lists ordered by their next entry, a pivot where their
+maxima reach the threshold, the pivot's block tested by its own maxima, and
+skips past what neither can reach. All bounds are exact, so all items above the
+threshold come back, and the work follows the rarer terms of a passage, not the
+words that it shares with every item.
+An item longer than a stride is indexed whole and in overlapping parts of
 one stride, each over its own score: a copy of a part lies in one passage,
 however long the item is.
 Each is then verified near where it scored (its passages and a stride on either
@@ -22,7 +28,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,8 +48,10 @@ STRIDE = 64
 #: Words from one part of a long item to the next.
 PART_STEP = STRIDE // 2
 #: Entries (items and parts of long ones) in a posting block, and in one index: more make more indexes.
-BLOCK, INDEX_ITEMS = 2, 20_000
-#: Indexes that are broadcast together; a benchmark of more is searched in several scans.
+BLOCK, INDEX_ITEMS = 8, 20_000
+#: Share of the threshold that terms which are not essential may give.
+COMMON = 0.5
+#: Indexes that are broadcast together; a benchmark of more is searched in several scans, each built, used and freed before the next.
 WAVE = 4
 THRESHOLD, OVERLAP = 0.5, 0.6
 #: Words in a run for the overlap checks.
@@ -108,18 +116,22 @@ def entries(n: int) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Index:
-    """Entries, each an item or a part of one, and their postings by term (rows of ``vocabulary``, sorted hashes)."""
+    """Entries, each an item or a part of one, with their terms (rows of ``vocabulary``, sorted hashes) and postings of essential ones."""
 
     items: np.ndarray  # of each entry: the item's id, null too
     item: np.ndarray  # of each entry: the row of ``parts``
     vocabulary: np.ndarray
-    essential: np.ndarray  # of each term: whether a passage needs one such term to reach the threshold
+    need: np.ndarray  # of each entry: what essential terms must give
+    block_need: np.ndarray  # the least of it in each block
     block_start: np.ndarray  # CSR by term
     block: np.ndarray
     block_most: np.ndarray
     post_start: np.ndarray  # CSR by row of ``block``
     post_item: np.ndarray
     post_impact: np.ndarray
+    entry_start: np.ndarray  # CSR by entry: all its terms
+    entry_term: np.ndarray
+    entry_impact: np.ndarray
     ids: list[int | None]
     parts: list[tuple[tuple[int, np.ndarray], ...]]  # of each item, for question, answer and, if it does not ask, the whole: the run length and the runs
     filter_bits: np.ndarray
@@ -130,48 +142,41 @@ def build_index(items: list[tuple[int | None, str]], n_all: int, df_all: dict[in
     words, ends = terms(pa.array([t for _, t in items], pa.string()))
     whole = [words[ends[i] : ends[i + 1]] for i in range(len(items))]
     bounds = [(i, a, b) for i, w in enumerate(whole) for a, b in entries(len(w))]
-    docs = [whole[i][a:b] for i, a, b in bounds]
     item = np.array([i for i, _, _ in bounds], dtype=np.int64)
-    q, qe = terms(pa.array([s[0] for s in split], pa.string()))
-    a, ae = terms(pa.array([s[1] for s in split], pa.string()))
-    postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-    for i, d in enumerate(docs):
-        counts = Counter(d.tolist())
-        weights = {t: np.log(1 + (n_all - df_all[t] + 0.5) / (df_all[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(d) / mean_len)) for t, c in counts.items()}
-        own = sum(weights.values())
-        for t, w in weights.items():
-            postings[t].append((i, w / own))
-    vocabulary = np.array(sorted(postings), dtype=np.uint64)
-    block_start, block, most, post_start, post_item, impact = [0], [], [], [], [], []
-    for t in vocabulary.tolist():
-        for i, w in postings[t]:
-            if len(block) == block_start[-1] or block[-1] != i // BLOCK:
-                block.append(i // BLOCK)
-                most.append(w)
-                post_start.append(len(post_item))
-            most[-1] = max(most[-1], w)
-            post_item.append(i)
-            impact.append(w)
-        block_start.append(len(block))
-    post_start.append(len(post_item))
-    # Terms from the weakest on, for as long as all of them together stay under the threshold in every block.
-    essential = np.ones(len(vocabulary), dtype=bool)
-    held = np.zeros(len(docs) // BLOCK + 1)
-    by_weight = sorted(range(len(vocabulary)), key=lambda k: (-(block_start[k + 1] - block_start[k]), k))
-    for k in by_weight:
-        own = slice(block_start[k], block_start[k + 1])
-        at = np.array(block[own])
-        if (held[at] + np.array(most[own]) >= threshold - _EPS).any():
-            break
-        held[at] += np.array(most[own])
-        essential[k] = False
+    vocabulary = np.unique(words)
+    df = np.array([df_all[t] for t in vocabulary.tolist()], dtype=np.float64)
+    idf = np.log(1 + (n_all - df + 0.5) / (df + 0.5))
+    entry_terms, entry_impacts, needs, post = [], [], [], []
+    for e, (i, a, b) in enumerate(bounds):
+        t, c = np.unique(whole[i][a:b], return_counts=True)
+        t = np.searchsorted(vocabulary, t)
+        w = idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * (b - a) / mean_len))
+        w = w / w.sum()
+        common = np.lexsort((t, -df[t]))
+        held = np.cumsum(w[common])
+        n = int(np.searchsorted(held, COMMON * threshold, side="right"))
+        needs.append(threshold - (held[n - 1] if n else 0.0) - _EPS)
+        post += [(k, e, w[x]) for x, k in zip(common[n:].tolist(), t[common[n:]].tolist(), strict=True)]
+        entry_terms.append(t)
+        entry_impacts.append(w)
+    term, entry, impact = (np.array(x) for x in zip(*sorted(post), strict=True))
+    opens = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (entry[1:] // BLOCK != entry[:-1] // BLOCK)))
+    need = np.array(needs)
+    padded = np.append(need, np.full(-len(need) % BLOCK, np.inf))
     bits = np.zeros(1 << 20, dtype=bool)
     bits[(vocabulary >> _U(44)).astype(np.int64)] = True
+    q, qe = terms(pa.array([s[0] for s in split], pa.string()))
+    a, ae = terms(pa.array([s[1] for s in split], pa.string()))
     parts = []
     for i in range(len(items)):
         checked = [q[qe[i] : qe[i + 1]], a[ae[i] : ae[i + 1]], *([] if asks(items[i][1]) else [whole[i]])]
         parts.append(tuple((min(len(w), RUN), runs_of(w, min(len(w), RUN))) for w in checked))
-    return Index(np.array([i for i, _ in items], dtype=object)[item], item, vocabulary, essential, np.array(block_start), np.array(block, dtype=np.int64), np.array(most), np.array(post_start), np.array(post_item, dtype=np.int64), np.array(impact), [i for i, _ in items], parts, bits)
+    return Index(
+        np.array([i for i, _ in items], dtype=object)[item], item, vocabulary, need, padded.reshape(-1, BLOCK).min(axis=1),
+        np.searchsorted(term[opens], np.arange(len(vocabulary) + 1)), entry[opens] // BLOCK, np.maximum.reduceat(impact, opens),
+        np.append(opens, len(term)), entry, impact,
+        np.append(0, np.cumsum([len(t) for t in entry_terms])), np.concatenate(entry_terms), np.concatenate(entry_impacts), [i for i, _ in items], parts, bits,
+    )
 
 
 def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,17 +186,16 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n), of
 
 
-def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-    """(entry, score) for every entry that the passage with these terms scores at or above the threshold: block-max WAND."""
-    items, impacts, blocks, most = [], [], [], []
-    for t in terms:
-        rows = slice(index.block_start[t], index.block_start[t + 1])
-        posts = slice(index.post_start[rows.start], index.post_start[rows.stop])
-        items.append(index.post_item[posts].tolist())
-        impacts.append(index.post_impact[posts].tolist())
-        blocks.append(dict(zip(index.block[rows].tolist(), index.block_most[rows].tolist(), strict=True)))
-        most.append(max(blocks[-1].values()))
-    at, out, need = [0] * len(terms), [], threshold - _EPS
+def wand(lists: list[list[tuple[int, float]]], threshold: float) -> list[tuple[int, float]]:
+    """(entry, score) for every entry whose postings (entry, impact) in ``lists``, one for each term, reach the threshold: block-max WAND."""
+    items, impacts = [[e for e, _ in x] for x in lists], [[w for _, w in x] for x in lists]
+    blocks: list[dict[int, float]] = []
+    for x in lists:
+        blocks.append({})
+        for e, w in x:
+            blocks[-1][e // BLOCK] = max(w, blocks[-1].get(e // BLOCK, 0.0))
+    most = [max(b.values()) for b in blocks]
+    at, out, need = [0] * len(lists), [], threshold - _EPS
     while True:
         ahead = sorted((x[at[i]], i) for i, x in enumerate(items) if at[i] < len(x))
         bound, pivot = 0.0, None
@@ -206,8 +210,7 @@ def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, fl
         here = [i for entry, i in ahead if entry <= pivot]
         if sum(blocks[i].get(block, 0.0) for i in here) < need:
             # Nothing before the block's end can reach it, unless a list that lies ahead joins in.
-            after = ahead[len(here)][0] if len(here) < len(ahead) else len(index.items)
-            to = min((block + 1) * BLOCK, after)
+            to = min((block + 1) * BLOCK, ahead[len(here)][0]) if len(here) < len(ahead) else (block + 1) * BLOCK
         elif ahead[0][0] == pivot:
             score = sum(impacts[i][at[i]] for i in here)
             if score >= need:
@@ -219,6 +222,31 @@ def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, fl
             at[i] = bisect_left(items[i], to, at[i])
 
 
+def candidates(index: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nth passage, entry) that may reach the threshold, by essential terms; ``passage`` ascends and its terms are distinct."""
+    n_blocks = len(index.block_need)
+    nth = np.cumsum(np.append(False, passage[1:] != passage[:-1]))
+    out_p, out_e = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    size = max(1, _CELLS // n_blocks)
+    cuts = np.searchsorted(nth, np.arange(0, nth[-1] + 1 + size, size))
+    for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        row, of = _spread(index.block_start[term[a:z]], index.block_start[term[a:z] + 1])
+        cell = (nth[a:z] - k * size)[of] * n_blocks + index.block[row]
+        bound = np.bincount(cell, weights=index.block_most[row], minlength=size * n_blocks)
+        live = bound.reshape(-1, n_blocks) >= index.block_need
+        number = np.cumsum(live.ravel()) - 1
+        held = live.ravel()[cell]
+        row, cell = row[held], cell[held]
+        post, of = _spread(index.post_start[row], index.post_start[row + 1])
+        total = np.bincount(number[cell[of]] * BLOCK + index.post_item[post] % BLOCK, weights=index.post_impact[post], minlength=int(live.sum()) * BLOCK)
+        p, block = np.nonzero(live)
+        entry = (block[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        good = np.flatnonzero((entry < len(index.need)) & (total >= np.append(index.need, np.full(BLOCK, np.inf))[np.minimum(entry, len(index.need))]))
+        out_p.append(p[good // BLOCK] + k * size)
+        out_e.append(entry[good])
+    return np.concatenate(out_p), np.concatenate(out_e)
+
+
 def retrieve(index: Index, words: np.ndarray, ends: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, passage, entry, score) for every entry that a passage of a text scores at or above the threshold.
 
@@ -232,6 +260,8 @@ def retrieve(index: Index, words: np.ndarray, ends: np.ndarray, threshold: float
     term[term == len(index.vocabulary)] = 0
     good = index.vocabulary[term] == words[at]
     at, term = at[good], term[good]
+    if not len(at):
+        return none
     text = np.searchsorted(ends, at, side="right") - 1
     # Passage j of a text begins with its stride j - 1, so a word in stride s is in passages s and s + 1.
     first = np.append(0, np.cumsum(-(-np.diff(ends) // STRIDE) + 1))
@@ -239,27 +269,21 @@ def retrieve(index: Index, words: np.ndarray, ends: np.ndarray, threshold: float
     pairs = np.sort(np.concatenate([own, own + 1]) * len(index.vocabulary) + np.concatenate([term, term]))
     pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
     passage, term = pairs // len(index.vocabulary), pairs % len(index.vocabulary)
-    wanted = np.zeros(first[-1], dtype=bool)
-    wanted[passage[index.essential[term]]] = True
-    keep = wanted[passage]
-    passage, term = passage[keep], term[keep]
-    if not len(passage):
-        return none
-    # The passages' bounds by block as a table, for as many passages at once as it has room for.
-    n_blocks = len(index.items) // BLOCK + 1
     starts = np.append(np.flatnonzero(np.append(True, passage[1:] != passage[:-1])), len(passage))
-    live = []
-    for a in range(0, len(starts) - 1, max(1, _CELLS // n_blocks)):
-        own = starts[a : a + max(1, _CELLS // n_blocks) + 1]
-        row, of = _spread(index.block_start[term[own[0] : own[-1]]], index.block_start[term[own[0] : own[-1]] + 1])
-        nth = np.repeat(np.arange(len(own) - 1), np.diff(own))
-        bound = np.bincount(nth[of] * n_blocks + index.block[row], weights=index.block_most[row], minlength=(len(own) - 1) * n_blocks)
-        live.append(a + np.flatnonzero((bound.reshape(-1, n_blocks) >= threshold - _EPS).any(axis=1)))
-    live = np.concatenate(live)
+    nth, entry = candidates(index, passage, term)
     out = []
-    for p, first_term, end in zip(passage[starts[live]].tolist(), starts[live].tolist(), starts[live + 1].tolist(), strict=True):
+    for a, z in zip(*(lambda o: (o[:-1].tolist(), o[1:].tolist()))(np.append(np.flatnonzero(np.append(True, nth[1:] != nth[:-1]))[: len(nth)], len(nth))), strict=True):
+        there = term[starts[nth[a]] : starts[nth[a] + 1]]
+        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        for e in entry[a:z].tolist():
+            own = slice(index.entry_start[e], index.entry_start[e + 1])
+            k = np.searchsorted(there, index.entry_term[own])
+            met = there[np.minimum(k, len(there) - 1)] == index.entry_term[own]
+            for t, w in zip(index.entry_term[own][met].tolist(), index.entry_impact[own][met].tolist(), strict=True):
+                lists[t].append((e, w))
+        p = int(passage[starts[nth[a]]])
         t = int(np.searchsorted(first, p, side="right")) - 1
-        out += [(t, p - int(first[t]), entry, score) for entry, score in wand(index, term[first_term:end].tolist(), threshold)]
+        out += [(t, p - int(first[t]), e, score) for e, score in wand(list(lists.values()), threshold)]
     if not out:
         return none
     text, place, entry, score = zip(*out, strict=True)
@@ -349,20 +373,22 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
         yield build_index(pack, whole["items"], df, whole["mean"], threshold)
 
 
-def _waves(docs: DataFrame, benchmark: DataFrame, threshold: float, overlap: float, most: int) -> Iterator[Column]:
-    """A function of the text for each wave of indexes: the items of the wave that it contains."""
-    lean(docs.sparkSession)
-    wave: list[Broadcast] = []
-
-    def column(shared: list[Broadcast]):
-        return lambda text: F.concat(F.array().cast(LEAK), *[_leak_column(x, threshold, overlap)(text) for x in shared])
+def _waves(docs: DataFrame, benchmark: DataFrame, threshold: float, overlap: float, most: int) -> Iterator[tuple[Column, list[Broadcast], bool]]:
+    """A function of the text for each wave of indexes (the items of the wave that it contains), what it reads, and whether it is the last.
 
-    for index in indexes(benchmark, threshold=threshold, most=most):
-        if len(wave) == WAVE:
-            yield column(wave)
-            wave = []
-        wave.append(docs.sparkSession.sparkContext.broadcast(index))
-    yield column(wave)
+    The next wave is built when the caller is done with the one before.
+    """
+    lean(docs.sparkSession)
+    left = indexes(benchmark, threshold=threshold, most=most)
+    ahead = next(left, None)
+    while True:
+        wave: list[Broadcast] = []
+        while ahead is not None and len(wave) < WAVE:
+            wave.append(docs.sparkSession.sparkContext.broadcast(ahead))
+            ahead = next(left, None)
+        yield (lambda text, wave=wave: F.concat(F.array().cast(LEAK), *[_leak_column(x, threshold, overlap)(text) for x in wave])), wave, ahead is None
+        if ahead is None:
+            return
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, most: int = INDEX_ITEMS) -> DataFrame:
@@ -372,10 +398,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     empty table stays empty. Nothing is shuffled. A benchmark of more than
     ``WAVE`` indexes is searched wave by wave, each over what the one before kept.
     """
-    waves = list(_waves(docs, benchmark, threshold, overlap, most))
-    for k, leaks in enumerate(waves):
+    for leaks, wave, last in _waves(docs, benchmark, threshold, overlap, most):
         docs = docs.filter(F.size(leaks(F.col(text_col).cast("string"))) == 0)
-        docs = stored(docs, "leak-wave") if k + 1 < len(waves) else docs
+        if not last:
+            docs = stored(docs, "leak-wave")
+            for index in wave:
+                index.destroy()
     return docs
 
 
@@ -395,9 +423,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     by a share of all its runs as well.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    waves = list(_waves(docs, benchmark, threshold, overlap, most))
-    found = [rows.select("id", leaks(F.col("text")).alias("leaks")).select(F.col("id").alias(id_col), F.inline("leaks")) for leaks in waves]
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
+    out = None
+    for leaks, wave, last in _waves(docs, benchmark, threshold, overlap, most):
+        found = rows.select("id", leaks(F.col("text")).alias("leaks")).select(F.col("id").alias(id_col), F.inline("leaks"))
+        if not last:
+            found = stored(found, "leak-wave")
+            for index in wave:
+                index.destroy()
+        out = found if out is None else out.union(found)
     return out

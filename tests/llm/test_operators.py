@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
@@ -275,6 +276,29 @@ def test_retrieval_equals_scoring_everything(spark):
         assert all(found[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("n", [200, 1000, 5000])
+def test_items_in_the_words_of_the_corpus_cost_little(spark, monkeypatch, n):
+    """Items cut from other texts over one vocabulary: few entries are scored, and few seconds are spent."""
+    r = np.random.default_rng(n)
+    vocabulary = np.array([prose(random.Random(k), 1) + str(k) for k in range(8000)])
+    often = 1 / np.arange(1, len(vocabulary) + 1)
+    draw = lambda size: " ".join(vocabulary[r.choice(len(vocabulary), size, p=often / often.sum())])
+    items = [(i, draw(40) + ".") for i in range(n)]
+    texts = [draw(3000) for _ in range(30)] + [draw(500) + " " + items[k][1] + " " + draw(500) for k in range(10)]
+    (index,) = decontaminate.indexes(spark.createDataFrame(items, "item_id long, text string"))
+    scored = []
+    plain = decontaminate.candidates
+    monkeypatch.setattr(decontaminate, "candidates", lambda *a: scored.append(plain(*a)) or scored[-1])
+    words, ends = decontaminate.terms(pa.array(texts, pa.string()))
+    began = time.process_time()
+    t, _, e, s = decontaminate.retrieve(index, words, ends, 0.5)
+    seconds = time.process_time() - began
+    assert {(30 + k, k) for k in range(10)} <= set(zip(t.tolist(), e.tolist(), strict=True))
+    pairs = sum(len(p) for p, _ in scored)
+    assert pairs < 0.001 * n * len(words) / decontaminate.STRIDE
+    assert seconds / (sum(map(len, texts)) / 1e9) < 400
+
+
 def test_leaks_are_found_and_clean_texts_left(spark):
     r = random.Random(3)
     items = [(i, f"What is {prose(r, 12)}? {prose(r, 5).capitalize()}.") for i in range(20)] + [(50, None), (51, ""), (None, prose(r, 20)), (3, "again " + prose(r, 20))]
@@ -319,6 +343,15 @@ def test_a_benchmark_of_many_indexes_is_searched_in_waves(spark):
     assert len(list(decontaminate.indexes(bench, most=2))) > decontaminate.WAVE
     assert sorted((x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(messy(spark, rows), bench, most=2).collect()) == [(i, i) for i in range(12)]
     assert [x["doc_id"] for x in decontaminate.without_leaks(messy(spark, rows), bench, most=2).collect()] == [99]
+    alive, most = 0, 0
+    for _, wave, last in decontaminate._waves(messy(spark, rows), bench, 0.5, 0.6, 2):
+        alive += len(wave)
+        most = max(most, alive)
+        if not last:
+            for index in wave:
+                index.destroy()
+            alive -= len(wave)
+    assert most == decontaminate.WAVE
 
 
 def test_every_text_of_a_benchmark_id_counts(spark):
