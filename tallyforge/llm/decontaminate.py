@@ -79,17 +79,19 @@ def terms(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(raw, starts), np.searchsorted(starts, bounds)
 
 
-def runs_of(words: np.ndarray, k: int, looked_at: np.ndarray | None = None) -> np.ndarray:
-    """Distinct hashes of ``k`` words in a row, all of them ``looked_at`` if that is given."""
+def hashes_of(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each ``k`` words in a row."""
     n = len(words)
     if n < k or not k:
         return np.zeros(0, dtype=np.uint64)
     total = words[: n - k + 1] * _STEP[0]
     for i in range(1, k):
         total = total + words[i : n - k + 1 + i] * _STEP[i]
-    if looked_at is not None:
-        total = total[np.convolve(looked_at, np.ones(k, dtype=np.int64), "valid") == k]
-    return np.unique(mix64(total + _U(k)))
+    return mix64(total + _U(k))
+
+
+def runs_of(words: np.ndarray, k: int) -> np.ndarray:
+    return np.unique(hashes_of(words, k))
 
 
 def asks(text: str) -> bool:
@@ -290,11 +292,26 @@ def retrieve(index: Index, words: np.ndarray, ends: np.ndarray, threshold: float
     return np.array(text), np.array(place), np.array(entry), np.array(score)
 
 
-def _share(part: np.ndarray, whole: np.ndarray) -> float:
-    if not len(part):
-        return 1.0
-    at = np.minimum(np.searchsorted(whole, part), max(len(whole) - 1, 0))
-    return float((whole[at] == part).mean()) if len(whole) else 0.0
+class _Runs:
+    """Where runs of words begin in a text; hashed and sorted once for each length of run."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.known = words, {}
+
+    def share(self, k: int, runs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> float:
+        """Share of ``runs`` (of ``k`` words) that lie in one of the stretches from ``starts`` to ``ends``, which are apart."""
+        if not len(runs):
+            return 1.0
+        if k not in self.known:
+            h = hashes_of(self.words, k)
+            order = np.argsort(h, kind="stable")
+            self.known[k] = h[order], order
+        h, order = self.known[k]
+        at, of = _spread(np.searchsorted(h, runs), np.searchsorted(h, runs, side="right"))
+        place = order[at]
+        stretch = np.searchsorted(starts, place, side="right") - 1
+        inside = (stretch >= 0) & (place + k <= ends[stretch])
+        return len(np.unique(of[inside])) / len(runs)
 
 
 def _leaks(index: Index, text: pa.Array, threshold: float, overlap: float) -> list[list[dict]]:
@@ -307,16 +324,17 @@ def _leaks(index: Index, text: pa.Array, threshold: float, overlap: float) -> li
             key = int(i), int(index.item[entry])
             best[key] = max(score, best.get(key, 0.0))
             places[key].add(int(place))
-        for (i, item), score in best.items():
-            # The strides of its passages and one on either side.
-            low = max(0, min(places[i, item]) - 2) * STRIDE
-            own = words[ends[i] + low : min(ends[i + 1], ends[i] + (max(places[i, item]) + 2) * STRIDE)]
-            looked_at = np.zeros(len(own), dtype=np.int64)
-            for p in places[i, item]:
-                looked_at[max(0, (p - 2) * STRIDE - low) : (p + 2) * STRIDE - low] = 1
-            question, answer, *statement = (_share(runs, runs_of(own, k, looked_at)) for k, runs in index.parts[item])
+        own, runs = -1, None
+        for i, item in sorted(best):
+            if i != own:
+                own, runs = i, _Runs(words[ends[i] : ends[i + 1]])
+            # The strides of its passages and one on either side; stretches that touch are one.
+            near = np.array(sorted(places[i, item])) * STRIDE
+            apart = np.flatnonzero(np.diff(near) > 4 * STRIDE)
+            starts, stops = near[np.append(0, apart + 1)] - 2 * STRIDE, near[np.append(apart, len(near) - 1)] + 2 * STRIDE
+            question, answer, *statement = (runs.share(k, part, starts, stops) for k, part in index.parts[item])
             if max([min(question, answer), *statement]) >= overlap:
-                out[a + i].append({"item_id": index.ids[item], "score": float(score), "question_overlap": question, "answer_overlap": answer})
+                out[a + i].append({"item_id": index.ids[item], "score": float(best[i, item]), "question_overlap": question, "answer_overlap": answer})
     return out
 
 
