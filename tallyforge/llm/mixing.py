@@ -56,20 +56,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null text has size 0; a source of size 0 has target 0 and gives nothing.
     Null is a source of its own. Repeated rows count each and may get different
-    numbers of copies. Ties in size go by id, nulls last. Texts of any length
+    numbers of copies. Ties in size go by id, nulls last, then by the text's hash. Texts of any length
     are counted whole. An empty table gives an empty result; other columns are
     not looked at. A boundary is computed by one expression for the document
     before it and the one behind it, so rounding moves a copy between those
     two at most and never loses one.
 
     The row number within a source is built from counts for each range of
-    (source, size, id), so no source is ordered in one task.
+    (source, size, id, text), so no source is ordered in one task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("body"))
     rows = stored(rows, "mix-sizes")  # the ranges are sampled from this, not from the texts
-    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("id").asc_nulls_last()]
-    rows = rows.repartitionByRange(shuffle_parts(spark), *order).withColumn("part", F.spark_partition_id())
+    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("id").asc_nulls_last(), F.col("body")]
+    # Rows equal in all of these are alike: a last key lets them spread over ranges.
+    rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(shuffle_parts(spark), *order, "tie").drop("tie").withColumn("part", F.spark_partition_id())
     rows = stored(rows, "mix-rows")
 
     parts = rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("part_size"))
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     starts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), before.alias("before"))
     targets = source_targets(sizes, cycle, share, cap).select(F.col("source").alias("t"), "source_size", "target")
 
-    within = W.partitionBy("source", "part").orderBy(F.col("size").desc(), F.col("id").asc_nulls_last())
+    within = W.partitionBy("source", "part").orderBy(*order[1:])
     rows = rows.withColumn("at", F.row_number().over(within))
     # Rows of starts and targets: at most ranges + sources, and sources.
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))

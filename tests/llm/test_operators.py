@@ -410,6 +410,20 @@ def test_mix_meets_targets(spark):
     assert {x["doc_id"]: x["count"] for x in out.groupBy("doc_id").count().collect()} == copies
 
 
+def test_mix_of_texts_of_one_id_agrees_in_every_run(spark):
+    rows = [(i // 4, f"w{i} " * 7, "en", "ab"[i % 2], 0) for i in range(400)] + [(None, "same " * 7, "en", "a", 0)] * 300
+    runs = [sorted(map(tuple, mixing.mix(spark.createDataFrame(rows[k:] + rows[:k], DOCS).repartition(n)).collect()), key=repr) for k, n in ((0, 3), (137, 5))]
+    assert runs[0] == runs[1]
+    seen = {}
+    plain = mixing.stored
+    mixing.stored = lambda df, label: seen.setdefault(label, plain(df, label))
+    try:
+        mixing.mix(spark.createDataFrame([(None, "same " * 7, "en", "a", 0)] * 4000, DOCS)).collect()
+    finally:
+        mixing.stored = plain
+    assert max(r["count"] for r in seen["mix-rows"].groupBy("part").count().collect()) < 2000
+
+
 def test_mix_on_repeated_and_no_rows(spark):
     rows = [(1, "a b c", "en", "s", 0)] * 3 + [(None, "d e", "en", None, 0)] * 2
     got = mixing.mix(messy(spark, rows)).collect()
