@@ -85,7 +85,8 @@ def order_statistics(df: DataFrame, value: str, ranks: list[int], largest: bool
     one counts what lies below and in each, and both go on inside a bracket
     until it holds one value or at most ``FEW``, which are sorted. A bracket that misses
     its rank is moved by the counts. Nulls take no part, NaN is the greatest;
-    a rank beyond the number of values gives the last one, no values null.
+    a rank beyond the number of values gives the last one, no values null; a rank
+    asked twice comes twice.
     """
     spark, kind = df.sparkSession, df.schema[value].dataType
     v = F.col("v")
@@ -131,7 +132,7 @@ def order_statistics(df: DataFrame, value: str, ranks: list[int], largest: bool
         else:
             found[a] = _placed(inside, [v.asc()]).filter(F.col("rank") == a - below).first()["v"]
     nan = float("nan")
-    rows = [(r, None if not head["all"] else found.get(a, nan)) for r, a in wanted.items()]
+    rows = [(r, None if not head["all"] else found.get(wanted[r], nan)) for r in ranks]
     return spark.createDataFrame(rows, T.StructType([T.StructField("rank", T.LongType()), T.StructField("value", kind)]))
 
 

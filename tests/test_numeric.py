@@ -364,6 +364,7 @@ def test_order_statistics_of_nan_and_nothing(spark):
     got = [r["value"] for r in order.order_statistics(df, "v", [1, 2, 3, 4, 9]).orderBy("rank").collect()]
     assert math.isnan(got[0]) and math.isnan(got[1]) and got[2:] == [2.0, 1.0, 1.0]
     assert order.order_statistics(df.limit(0), "v", [1]).first()["value"] is None
+    assert order.order_statistics(df, "v", [3, 3, 4]).count() == 3
 
 
 @pytest.mark.parametrize("largest", [True, False])
