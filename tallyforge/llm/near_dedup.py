@@ -10,9 +10,15 @@
    largest component, and components that link are merged (large-star and
    small-star) before the next turn, with other members. A family of n near
    copies so costs about n comparisons, not all its pairs. Turns end when one
-   finds no link.
-3. Members of buckets that still hold several components go through an exact
-   prefix filter, so that no link is left out.
+   finds no link, after ``TURNS``, or when buckets hold few pairs of different
+   components.
+3. For what is left there are two ways, each of which finds all: buckets of
+   more than ``FEW`` members are cut finer (members of one bucket that also
+   agree in four minima of another band) and compared in full, or members go
+   through an exact prefix filter of their shingles. How many comparisons a
+   document has in either is counted first. It goes the cheaper way: pages
+   with changes of their own the second, pages put together from the same
+   paragraphs the first.
 4. A candidate pair is verified on its signatures first, with a floor that a
    linked pair misses once in 10^9, and confirmed on the full sets.
 """
@@ -33,6 +39,12 @@ from .texthash import CHUNK, mix64, shingle_set, slices, texts_words, tidy
 
 #: A pair at similarity 0.85 shares no band with probability 7e-9, at 0.8 with 3e-6.
 BANDS, ROWS = 32, 5
+#: Buckets of more members are cut finer before they are compared in full.
+FEW = 8
+#: So many pairs a document are compared without a look for fewer.
+PAIRS = 4
+#: Turns of one comparison for each component of a bucket.
+TURNS = 6
 _U = np.uint64
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -183,8 +195,8 @@ def _classes(full: DataFrame) -> tuple[DataFrame, str]:
     return stored(classes, "near-classes"), kind
 
 
-def _prefix_pairs(sets: DataFrame, loose: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Pairs (a, b) of ``loose(rep, root)`` with different roots that may be linked; none that is linked is missing.
+def _prefixes(sets: DataFrame, loose: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Where documents of ``loose(rep, root)`` may first meet one of another root: (token, rep, root, n, place, main, share).
 
     An exact prefix filter. All shingles have one order, the rarest among
     these documents first. Two linked documents share a shingle, and at their
@@ -192,7 +204,9 @@ def _prefix_pairs(sets: DataFrame, loose: DataFrame, percent: int, kind: str) ->
     only the first few of each document (15 in 100 at a similarity of 0.85)
     can be it. A shingle of one document alone stands before all others and
     meets nothing: a copy with many changes of its own has no other shingle
-    among its first and is compared with nobody.
+    among its first and is compared with nobody. ``main`` is the token's
+    commonest root, ``share`` how many rows of other roots a row of it meets,
+    on average.
     """
     tokens = sets.join(loose.select("rep"), "rep").select("rep", "members").mapInArrow(_tokens, f"rep {kind}, token long")
     tokens = stored(tokens, "near-tokens")
@@ -204,21 +218,38 @@ def _prefix_pairs(sets: DataFrame, loose: DataFrame, percent: int, kind: str) ->
     places = places.select("rep", "root", "n", F.col("x.token").alias("token"), (F.col("n") - F.col("m") + F.col("k")).alias("place"))
     places = stored(places.filter(F.col("place") * 100 <= (100 - percent) * F.col("n")), "near-prefixes")
 
-    each = places.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = each.groupBy("token").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("w")).filter("roots > 1").select("token", "main", "w")
-    # Stored, so that both sides of the join below are plain shuffles, whose hot keys Spark splits.
-    many = stored(join_counted(places, stored(main, "near-main"), ["token"], "w"), "near-many")
-    discard(tokens, often)
-    x = many.filter("root <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("rep", "root", "n", "place")])
-    y = many.select(F.col("token").alias("y_token"), *[F.col(c).alias(f"y_{c}") for c in ("rep", "root", "n", "place")])
+    main = stored(_shares(places, "token"), "near-main")
+    # Stored, so that the joins of it with itself are of plain shuffles, whose hot keys Spark splits.
+    many = stored(join_counted(places, main, ["token"], "w"), "near-many")
+    discard(tokens, often, places, main)
+    return many
+
+
+def _shares(rows: DataFrame, key: str) -> DataFrame:
+    """(key, w, size, main, share) of the keys of ``rows(key, root, ...)`` that hold several roots.
+
+    ``w`` and ``size`` are the key's number of rows, ``main`` its commonest
+    root, ``share`` how many rows of other roots one row meets, on average.
+    """
+    each = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("c"))
+    found = each.groupBy(key).agg(F.sum("c").alias("w"), F.sum(F.col("c").cast("double") * F.col("c")).alias("own"), F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots"))
+    return found.filter("roots > 1").select(key, "w", F.col("w").alias("size"), "main", (F.col("w") - F.col("own") / F.col("w")).alias("share"))
+
+
+def _prefix_pairs(many: DataFrame, asking: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with a member in ``asking(rep)`` and different roots, whose prefixes meet; none that is linked is missing."""
+    x = many.join(asking, "rep").select("token", "main", *[F.col(c).alias(f"x_{c}") for c in ("rep", "root", "n", "place")])
+    y = many.select(F.col("token").alias("y_token"), F.col("main").alias("y_main"), *[F.col(c).alias(f"y_{c}") for c in ("rep", "root", "n", "place")])
     left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
     enough = (100 + percent) * left >= percent * (F.col("x_n") + F.col("y_n"))
-    pairs = x.join(y, (F.col("token") == F.col("y_token")) & (F.col("x_root") != F.col("y_root")) & enough)
+    meet = (F.col("token") == F.col("y_token")) & (F.col("x_root") != F.col("y_root")) & enough
+    # One of the two is of another root than the token's commonest.
+    pairs = x.filter("x_root <> main").join(y, meet).union(x.filter("x_root = main").join(y.filter("y_root <> y_main"), meet))
     return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
-    """The pairs (a, b) that are linked: sizes, then signatures, then full sets.
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, kind: str, *spent: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked: sizes, then signatures, then full sets. Tables ``spent`` on the pairs are deleted.
 
     After the size test a partner is of about one's own size, so what is moved
     for a pair is in proportion to either document.
@@ -229,48 +260,95 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, kind: str) -> Da
     alike = stored(alike.mapInArrow(_agree(agreement_floor(percent)), f"a {kind}, b {kind}"), "near-alike")
     full = alike.join(side("b", "members"), "b").join(side("a", "members"), "a").select("a", "b", "a_members", "b_members")
     links = stored(full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "near-links")
-    discard(alike)
+    discard(alike, *spent)
     return links
 
 
 def _merged(named: DataFrame, links: DataFrame) -> DataFrame:
-    """``named(rep, root)`` after the links (a, b) between its reps."""
+    """``named(rep, root)``, a stored table that is deleted, after the links (a, b) between its reps."""
     ends = links
     for key in ("a", "b"):
         ends = ends.join(named.select(F.col("rep").alias(key), F.col("root").alias(f"{key}_root")), key)
     joined = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     joined = joined.withColumnsRenamed({"root": "new"})
-    return stored(named.join(joined, named["root"] == joined["node"], "left").select("rep", F.coalesce("new", "root").alias("root")), "near-named")
+    out = stored(named.join(joined, named["root"] == joined["node"], "left").select("rep", F.coalesce("new", "root").alias("root")), "near-named")
+    discard(named)
+    return out
 
 
-def _pairs_of_turn(opened: DataFrame, turn: int) -> DataFrame:
-    """(a, b): in each bucket of ``opened(key, rep, root)`` one member of every root with one of the largest root."""
+def _pairs_of_turn(opened: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b): in each bucket of ``opened(key, rep, root)`` one member of every root with one of the largest root; then two tables that they are read from."""
     lead = F.min_by("rep", F.when(F.lit(turn == 0), F.col("rep")).otherwise(F.xxhash64("rep", F.lit(turn))))
     leads = stored(opened.groupBy("key", "root").agg(lead.alias("lead"), F.count(F.lit(1)).alias("c")), "near-leads")
     tops = leads.groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "root", "lead")).alias("top"), F.count(F.lit(1)).alias("w")).filter("w > 1")
-    pairs = join_counted(leads, stored(tops, "near-tops"), ["key"], "w").filter(F.col("root") != F.col("top.root"))
+    tops = stored(tops, "near-tops")
+    pairs = join_counted(leads, tops, ["key"], "w").filter(F.col("root") != F.col("top.root"))
     pairs = pairs.select("lead", F.col("top.lead").alias("top"))
     # At first every member is a root, and one comparison for each joins up most of a bucket.
     pairs = pairs.groupBy("lead").agg(F.min("top").alias("top")) if turn == 0 else pairs
-    return pairs.select(F.least("lead", "top").alias("a"), F.greatest("lead", "top").alias("b")).distinct()
+    return pairs.select(F.least("lead", "top").alias("a"), F.greatest("lead", "top").alias("b")).distinct(), leads, tops
+
 
+def _pairs_within(rows: DataFrame) -> DataFrame:
+    """(a, b): all members of different roots in the buckets of ``rows(key, rep, root)``."""
+    x, y = (rows.select("key", F.col("rep").alias(key), F.col("root").alias(f"{key}_root")) for key in ("a", "b"))
+    return x.join(y, "key").filter("a < b AND a_root <> b_root").select("a", "b").distinct()
 
-def _still_open(opened: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows of ``opened`` under their roots now, of keys that still hold several."""
-    rows = stored(opened.select("key", "rep").join(named, "rep"), "near-rooted")
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("w")).filter("lo < hi").select("key", "w")
-    out = stored(join_counted(rows, stored(mixed, "near-mixed"), ["key"], "w"), "near-open")
-    discard(rows)
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Those of ``rows(key, rep, root, ...)`` whose key holds several roots, with ``size``, ``main`` and ``share`` of the key."""
+    rows = stored(rows, "near-rooted")
+    mixed = stored(_shares(rows, "key"), "near-mixed")
+    out = stored(join_counted(rows, mixed, ["key"], "w"), "near-open")
+    discard(rows, mixed)
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+def _few_pairs(rows: DataFrame) -> bool:
+    """Whether the buckets of ``rows(rep, share, ...)`` hold at most ``PAIRS`` pairs of different roots for each document."""
+    pairs, reps = rows.agg(F.sum("share") / 2, F.countDistinct("rep")).first()
+    return (pairs or 0) <= PAIRS * reps
+
+
+def _finer(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """``opened(key, band, rep, root, size, share)`` with buckets of more than ``FEW`` members cut: members that agree in four minima of one more band.
+
+    Of two documents in one bucket that are 0.8 alike, all 31 other bands
+    differ in these four with probability 8e-8, at 0.85 with 1e-10.
+    """
+    rows = opened.filter(F.col("size") > FEW).join(sets.select("rep", "signature"), "rep")
+    finer = [F.xxhash64("key", F.lit(i), F.substring("signature", ROWS * i + 1, ROWS - 1)) for i in range(BANDS)]
+    rows = rows.select("rep", "root", "band", F.posexplode(F.array(*finer)).alias("other", "key")).filter("other <> band")
+    cut = _several(rows.select("key", "rep", "root"))
+    columns = ("key", "rep", "root", "share")
+    return opened.filter(F.col("size") <= FEW).select(*columns).union(cut.select(*columns))
+
+
+def _pairs_left(opened: DataFrame, sets: DataFrame, percent: int, kind: str, exact: bool) -> DataFrame:
+    """(a, b): what may still be linked among ``opened(key, band, rep, root, size, share)``, each document the cheaper way."""
+    if not exact:
+        finer = _finer(opened, sets)
+        if _few_pairs(finer):
+            return _pairs_within(finer)
+    loose = stored(opened.select("rep", "root").distinct(), "near-loose")
+    many = _prefixes(sets, loose, percent, kind)
+    if exact:
+        return _prefix_pairs(many, loose.select("rep"), percent)
+    cost = many.groupBy("rep").agg(F.sum("share").alias("prefix")).join(finer.groupBy("rep").agg(F.sum("share").alias("within")), "rep", "full")
+    asking = stored(cost.filter("coalesce(prefix, 0) <= coalesce(within, 0)").select("rep"), "near-asking")
+    return _prefix_pairs(many, asking, percent).union(_pairs_within(finer.join(asking, "rep", "left_anti"))).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """One row for each row with an id: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Two
     documents are linked when ``100 * common >= percent * all`` of their
     distinct shingles of ``shingle`` words; with fewer words the whole
     sequence is the one shingle. A component's id is its smallest document id.
+    With ``exact`` no bucket is cut finer: whoever shares one without a link
+    goes through the prefix filter, which may compare most pairs of a large
+    family whose members share much and are not linked.
 
     Null, empty and blank texts have no shingle and are linked with nothing.
     Rows with a null id come back with a null component and are kept; rows
@@ -291,7 +369,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = reps.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last").select("id", "a")
     same_id = stored(reps.join(several, "id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "near-same-id")
 
-    members = classes.select("rep", F.explode("keys").alias("key"))
+    members = classes.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("w")).filter("w > 1"), "near-shared")
     buckets = stored(join_counted(members, shared, ["key"], "w"), "near-buckets")
 
@@ -301,22 +379,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = texts.mapInArrow(_sets(shingle), "n long, h1 long, h2 long, members binary").dropDuplicates(["n", "h1", "h2"])
     sets = stored(sets.join(wanted.drop("id"), ["n", "h1", "h2"]).select("rep", "n", "signature", "members"), "near-sets", "lz4")
 
-    ends = same_id.select(F.col("a").alias("rep")).union(same_id.select(F.col("b").alias("rep")))
-    named = buckets.select("rep").union(ends).distinct().withColumn("root", F.col("rep"))
-    named = _merged(stored(named, "near-named"), same_id)
-    opened = _still_open(buckets, named)
-    turn = 0
-    while not opened.isEmpty():
-        links = _confirmed(_pairs_of_turn(opened, turn), sets, percent, kind)
-        if links.isEmpty():
+    if same_id.isEmpty():
+        named = stored(buckets.select("rep").distinct().withColumn("root", F.col("rep")), "near-named")
+        opened = buckets.withColumn("root", F.col("rep"))
+    else:
+        ends = same_id.select(F.col("a").alias("rep")).union(same_id.select(F.col("b").alias("rep")))
+        named = stored(buckets.select("rep").union(ends).distinct().withColumn("root", F.col("rep")), "near-named")
+        named = _merged(named, same_id)
+        opened = buckets.join(named, "rep")
+    turn, found = 0, True
+    while found and turn < TURNS and not opened.isEmpty():
+        if turn and opened.filter(F.col("size") > FEW).isEmpty() and _few_pairs(opened):
             break
-        turn += 1
+        pairs, *spent = _pairs_of_turn(opened, turn)
+        links = _confirmed(pairs, sets, percent, kind, *spent)
+        found = not links.isEmpty()
         named = _merged(named, links)
-        before, opened = opened, _still_open(opened, named)
-        discard(before, links)
+        before, opened = opened, _several(opened.select("key", "band", "rep").join(named, "rep"))
+        discard(links, *[before] * min(turn, 1))
+        turn += 1
     if not opened.isEmpty():
-        loose = stored(opened.select("rep", "root").distinct(), "near-loose")
-        named = _merged(named, _confirmed(_prefix_pairs(sets, loose, percent, kind), sets, percent, kind))
+        named = _merged(named, _confirmed(_pairs_left(opened, sets, percent, kind, exact), sets, percent, kind))
     discard(sets, buckets)
 
     roots = reps.join(named, "rep", "left").select("id", F.coalesce("root", "rep").cast("long").alias("root"))

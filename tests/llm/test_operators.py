@@ -594,6 +594,45 @@ def test_near_family_of_one_template(spark, monkeypatch, own):
     assert sum(compared) < 10 * len(rows)
 
 
+@pytest.mark.parametrize("pages", [200, 400, 800])
+def test_near_pages_of_paragraph_versions(spark, monkeypatch, pages):
+    """Pages of 30 paragraphs, each one of three versions, none linked: every shingle is on a third of them, few are compared."""
+    r = random.Random(41)
+    versions = [[prose(r, 12) for _ in range(3)] for _ in range(30)]
+    rows = [(i, " ".join(r.choice(v) for v in versions), "en", "a", 0) for i in range(pages)]
+    compared = []
+    plain = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *a: compared.append(pairs.count()) or plain(pairs, *a))
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=3, percent=85).collect()}
+    assert got == {i: i for i in range(pages)}
+    print(pages, compared)
+    assert sum(compared) < 8 * pages
+
+
+@pytest.mark.parametrize(("exact", "turns"), [(False, 1), (False, 6), (True, 1)])
+def test_near_large_buckets_with_links(spark, monkeypatch, exact, turns):
+    """Buckets that no turn closes, linked and not linked pairs in them: cut finer or through the prefix filter, no link is lost."""
+    r = random.Random(43)
+    monkeypatch.setattr(near_dedup, "FEW", 3)
+    monkeypatch.setattr(near_dedup, "PAIRS", 0)
+    monkeypatch.setattr(near_dedup, "TURNS", turns)
+    base, rows = prose(r, 150).split(" "), []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.randint(1, 9)):
+            words[r.randrange(len(words))] = prose(r, 1)
+        rows.append((2 * i, " ".join(words), "en", "a", 0))
+        if i % 4 == 0:
+            rows.append((2 * i + 1, " ".join(words[:-1]), "en", "a", 0))
+    cut = []
+    plain = near_dedup._finer
+    monkeypatch.setattr(near_dedup, "_finer", lambda *a: cut.append(1) or plain(*a))
+    want = near([(i, t) for i, t, *_ in rows], 3, 85)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=3, percent=85, exact=exact).collect()}
+    assert got == want and 5 < len({c for _, c in want.values()}) < 60
+    assert cut == [1] * (not exact)
+
+
 def test_signature_floor():
     floor = near_dedup.agreement_floor(85)
     assert 100 < floor < 125 and near_dedup.agreement_floor(80) < floor
