@@ -395,7 +395,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = _confirmed(pairs, sets, percent, kind, *spent)
         found = not links.isEmpty()
         named = _merged(named, links)
-        before, opened = opened, _several(opened.select("key", "band", "rep").join(named, "rep"))
+        # The first turn's rows are read from the buckets again: their roots were in a table that is deleted.
+        before, opened = opened, _several((opened if turn else buckets).select("key", "band", "rep").join(named, "rep"))
         discard(links, *[before] * min(turn, 1))
         turn += 1
     if not opened.isEmpty():
