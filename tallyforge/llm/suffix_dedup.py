@@ -388,10 +388,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = stored(dealt.mapInArrow(_match_rows(length, by_left), _MATCH.format(kind=kind)), "suffix-matches")
         compared.append(rows.filter("side = 0").select("id", "h", "spot", "gram", "right_most", "left_most", "proven"))
         names = ["id", "h", "spot", "gram", "edge", "right", "left"]
-        # Two rows for each range.
-        ends = rows.filter("side > 0").select("pid", "side", F.struct(*names).alias("row"))
-        ends = ends.withColumn("other", F.lead("row").over(W.orderBy("pid", "side"))).filter("side = 2 AND other IS NOT NULL")
-        ends = ends.select(*[F.col(f"row.{n}").alias(n) for n in names], *[F.col(f"other.{n}").alias(f"other_{n}") for n in names])
+        # The last row of a range meets the first of the next one by that one's number; only the numbers of ranges are put in order.
+        after = rows.filter("side = 2").select("pid").withColumn("next", F.lead("pid").over(W.orderBy("pid"))).filter("next IS NOT NULL")
+        first = rows.filter("side = 1").select(F.col("pid").alias("next"), *[F.col(n).alias(f"other_{n}") for n in names])
+        ends = rows.filter("side = 2").select("pid", *names).join(after, "pid").join(first, "next").drop("pid", "next")
         compared.append(ends.mapInArrow(_across(length), f"id {kind}, h long, spot long, gram long, right_most int, left_most int, proven array<int>"))
     joined = compared[0].union(compared[1]).union(compared[2]).union(compared[3])
     edges = stored(joined.groupBy("id", "h", "spot", "gram").agg(F.max("right_most").alias("right_most"), F.max("left_most").alias("left_most"), F.flatten(F.collect_list("proven")).alias("proven")), "suffix-edges")
