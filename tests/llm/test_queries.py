@@ -10,12 +10,14 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallyforge.llm import chat, decontaminate, queries
+from tallyforge.llm.common import stored
 
-from .helpers import WORD, chat_turns, held_out, near, quality, repeats
+from .helpers import DOCS, WORD, chat_turns, corpus, held_out, messy, near, quality, repeats
 from .test_operators import bm25, decontaminate_words
 
 SF = "/root/testdata/sf0.001"
@@ -166,3 +168,34 @@ def test_pipeline_equals_brute_force(spark, documents):
             start += len(ids)
     assert [tuple(r) for r in corpus_pipeline.run(spark, SF).orderBy("start").collect()] == want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "mixing", "token_ids"]
+
+
+def test_pipeline_on_messy_and_no_rows(spark, documents, tmp_path):
+    """Nulls in every column, repeated rows, blank and long texts, clashing columns: each stage keeps rows of its input as they are."""
+    odd = [(None, "nobody's own words stand here", None, None, None)] * 2 + [(9000, None, None, None, None), (9001, " \n", "en", None, 0), (9002, "", None, "a", 0)]
+    rows = [(i, t, "en", s, None) for i, t, s in documents] + [(9100 + i, *x[1:]) for i, x in enumerate(corpus(12, 30))] + [(9200, "long " * 30_000, "en", "a", 0)] + odd
+    rows += rows[:3] + [(rows[0][0], "another text of one id", "en", None, 0)]
+    marks = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic")
+    marks = marks.union(spark.createDataFrame([(None, 1, 0), (9000, None, None), (123456789, 0, 1)], marks.schema))
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    items = items.union(spark.createDataFrame([(None, None), (7777, " ")], items.schema))
+    for name, some in (("messy", rows), ("none", [])):
+        at = str(tmp_path / name)
+        messy(spark, some).withColumn("kept", F.lit(None).cast("string")).write.parquet(f"{at}/documents.parquet")
+        marks.write.parquet(f"{at}/labels.parquet")
+        items.write.parquet(f"{at}/benchmark.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        columns, ids = docs.columns, {(r["doc_id"], r["text"]) for r in docs.collect()}
+        for stage, apply in corpus_pipeline.STAGES[:-1]:
+            docs = stored(apply(spark, docs, at), f"messy-{stage}")
+            assert docs.columns == columns
+            left = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+            assert left.keys() <= ids
+            ids = set(left)
+            if stage == "near_dedup":
+                assert len({i for i, _ in left if i is not None}) == sum(n for (i, _), n in left.items() if i is not None)
+        coded = corpus_pipeline.token_files(spark, docs, at).orderBy("start").collect()
+        bpe = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+        want = Counter((i, *bpe.encode(t or "", add_special_tokens=False).ids, corpus_pipeline.END_ID) for (i, t), n in left.items() for _ in range(n))
+        assert Counter((r["doc_id"], *r["token_ids"]) for r in coded) == want and bool(want) == bool(some)
+        assert [r["start"] for r in coded] == [sum(r["n_tokens"] for r in coded[:k]) for k in range(len(coded))]
