@@ -100,16 +100,26 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str
 
     A key with more than a quarter of a task's fair share of the rows would
     make one task slow. Such keys are four for each task at most, whatever the
-    data: their rows are joined by broadcast, where they lie. All others are
-    shuffled by key. ``right`` should be a stored table, as it is read several
-    times; keys are not null. ``weight`` is not in the result.
+    data: their hashes come to the driver, and rows with one of these hashes
+    are joined by broadcast, where they lie. All others are shuffled by key. A
+    row passes one join, and where no key is hot there is only the shuffle.
+    ``right`` should be a stored table, as it is read several times; keys are
+    not null, and of the same types on both sides. ``weight`` is not in the
+    result.
     """
-    parts = shuffle_parts(left.sparkSession)
+    if left.select(*keys).dtypes != right.select(*keys).dtypes:
+        raise ValueError("the keys must have the same types on both sides, as their hashes are compared")
     total = right.agg(F.sum(weight)).first()[0] or 0
-    bar = max(1, total // (4 * parts))
-    hot = F.broadcast(right.filter(F.col(weight) > bar).drop(weight))
-    rest = left.join(F.broadcast(right.filter(F.col(weight) > bar).select(*keys)), keys, "left_anti")
-    return left.join(hot, keys).unionByName(rest.join(right.filter(F.col(weight) <= bar).drop(weight), keys))
+    bar = max(1, total // (4 * shuffle_parts(left.sparkSession)))
+    code = f"xxhash64({', '.join(f'`{k}`' for k in keys)})"
+    hot = [r[0] for r in right.filter(F.col(weight) > bar).select(F.expr(code)).distinct().collect()]
+    right = right.drop(weight)
+    if not hot:
+        return left.join(right, keys)
+    # As text, since each item of isin() would be a call to the JVM.
+    often = F.expr(f"{code} IN ({', '.join(f'{h}L' for h in hot)})")
+    lying = left.filter(often).join(F.broadcast(right.filter(often)), keys)
+    return lying.unionByName(left.filter(~often).join(right.filter(~often), keys))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

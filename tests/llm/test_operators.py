@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyforge.llm import chat, components, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, rollups, suffix_dedup, texthash, tokens
+from tallyforge.llm import chat, common, components, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, rollups, suffix_dedup, texthash, tokens
 
 from .helpers import DOCS, corpus, exact, lines_left, messy, near, prose, repeats
 
@@ -537,6 +537,40 @@ def test_multikey_order():
     assert [bytes(k) for k in keys[order]] == sorted(bytes(k) for k in keys)
 
 
+def joined_rows(df):
+    """The rows that came out of each join of a plan that has run."""
+    found, open_ = [], [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            open_.append(node.plan())
+        else:
+            open_ += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in name:
+            found.append(node.metrics().apply("numOutputRows").value())
+    return found
+
+
+@pytest.mark.parametrize("hot", [0, 3000])
+def test_counted_joins_pass_each_row_once(spark, tmp_path, hot):
+    """With hot keys and without, joins make the rows of the result and no more, so their number grows with the input."""
+    rows = [(i % 1000, 1.0, i) for i in range(2000)] + [(5000 + i, 1.0, i) for i in range(4000)] + [(-1, (-0.0, 0.0)[i % 2], i) for i in range(hot)]
+    spark.createDataFrame(rows, "k long, x double, v long").write.parquet(f"{tmp_path}/left")
+    left = spark.read.parquet(f"{tmp_path}/left")
+    left.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).filter("n > 1").write.parquet(f"{tmp_path}/right")
+    right = spark.read.parquet(f"{tmp_path}/right")
+    got = common.join_counted(left, right, ["k", "x"], "n")
+    top = {i: i + 1000 for i in range(1000)} | {-1: hot - 1}
+    assert got.columns == ["k", "x", "v", "top"]
+    assert Counter(map(tuple, got.collect())) == Counter((k, x, v, top[k]) for k, x, v in rows if k in top)
+    assert sum(joined_rows(got)) == 2000 + hot
+    with pytest.raises(ValueError):
+        common.join_counted(left, right.withColumn("k", F.col("k").cast("int")), ["k", "x"], "n")
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.repeated_spans(empty(spark)).count() == 0
     with pytest.raises(ValueError):
