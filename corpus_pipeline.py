@@ -25,6 +25,8 @@ from tallyforge.llm.tokens import read_tokens, write_tokens
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Text encoded at once and runs of letters kept in a worker: less than ``write_tokens`` takes, as executors come here with their heaps full.
+TOKEN_CHUNK, TOKEN_MEMO = 512 << 10, 50_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +75,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty text is the end id alone. Other columns are not written.
     """
     path = f"{shared_dir(spark)}/pipeline-tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, public_tokenizers.path(TOKENIZER), END_ID)
+    write_tokens(docs, path, public_tokenizers.path(TOKENIZER), END_ID, chunk=TOKEN_CHUNK, memo=TOKEN_MEMO)
     return read_tokens(spark, path)
 
 

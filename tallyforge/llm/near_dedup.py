@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, join_counted, lean, stored
 from .components import components
-from .texthash import CHUNK, mix64, shingle_set, slices, texts_words, tidy
+from .texthash import mix64, shingle_set, slices, texts_words, tidy
 
 #: A pair at similarity 0.85 shares no band with probability 7e-9, at 0.8 with 3e-6.
 BANDS, ROWS = 32, 5
@@ -43,6 +43,8 @@ BANDS, ROWS = 32, 5
 FEW = 8
 #: So many pairs a document are compared without a look for fewer.
 PAIRS = 4
+#: Bytes of texts or sets worked on at once: the working arrays take many times as much.
+SLICE = 256 << 10
 #: Turns of one comparison for each component of a bucket.
 TURNS = 6
 _U = np.uint64
@@ -80,9 +82,9 @@ def agreement_floor(percent: int, miss: float = 1e-9) -> int:
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches of (id, text) in slices of about ``CHUNK`` bytes of text, which bound the working arrays."""
+    """The batches of (id, text) in slices of about ``SLICE`` bytes of text, which bound the working arrays."""
     for b in batches:
-        for start, end in slices(b.column(1), CHUNK):
+        for start, end in slices(b.column(1), SLICE):
             yield b.slice(start, end - start)
 
 
@@ -159,15 +161,15 @@ def _confirm(percent: int):
 
 @tidy
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each shingle of each set, in slices of about ``CHUNK`` bytes."""
+    """Each shingle of each set, in slices of about ``SLICE`` bytes."""
     for b in batches:
-        for a, z in slices(b.column(1), CHUNK):
+        for a, z in slices(b.column(1), SLICE):
             sets = b.column(1).slice(a, z - a)
             flat = np.frombuffer(b"".join(sets.to_pylist()), np.int64)
             n = np.array([len(x.as_buffer()) // 8 for x in sets])
             of = pa.array(np.repeat(np.arange(a, z), n))
-            for i in range(0, len(flat), CHUNK // 8):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(of.slice(i, CHUNK // 8)), pa.array(flat[i : i + CHUNK // 8])], ["rep", "token"])
+            for i in range(0, len(flat), SLICE // 8):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of.slice(i, SLICE // 8)), pa.array(flat[i : i + SLICE // 8])], ["rep", "token"])
 
 
 def _classes(full: DataFrame) -> tuple[DataFrame, str]:

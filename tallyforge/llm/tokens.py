@@ -52,11 +52,12 @@ class WordTokens:
 
     PROBES = ("the", "Word", "École", "straße", "niño,", "über.", "***", "a!!", "x|", "THE", "|", "end).", "Ÿ", "æØ;", "")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo: int = MEMO) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.letters = _byte_letters()
+        self.most = memo
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         if self._whole(["a b\nc"])[0] != b"".join(self._whole(["a", "b", "c"])):
@@ -73,7 +74,7 @@ class WordTokens:
         if ids is None:
             form = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
             ids = array("i", [t.id for t in self.whole.model.tokenize(form)]).tobytes() if form else b""
-        if len(self.memo) >= MEMO // 2:
+        if len(self.memo) >= self.most // 2:
             self.older, self.memo = self.memo, {}  # runs not met since the last change are forgotten
         self.memo[run] = ids
         return ids
@@ -127,13 +128,13 @@ def _taken(ids: np.ndarray | bytes, lengths: np.ndarray, at: np.ndarray) -> np.n
 
 
 #: Loaded once for each worker, not for each task.
-_loaded: dict[str, WordTokens] = {}
+_loaded: dict[tuple[str, int], WordTokens] = {}
 
 
-def _encoder(path: str, end: int, chunk: int = CHUNK):
+def _encoder(path: str, end: int, chunk: int = CHUNK, memo: int = MEMO):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _loaded.get(path) or _loaded.setdefault(path, WordTokens(path))
+        tokens = _loaded.get((path, memo)) or _loaded.setdefault((path, memo), WordTokens(path, memo))
         before = row = 0
         for whole in batches:
             for a, z in slices(whole.column(1), chunk):
@@ -147,7 +148,7 @@ def _encoder(path: str, end: int, chunk: int = CHUNK):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, chunk: int = CHUNK) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, chunk: int = CHUNK, memo: int = MEMO) -> None:
     """Encode every row of ``docs`` and write the token files to ``path``.
 
     Columns of the files: ``doc_id``, ``shard``, ``row`` (in the shard),
@@ -156,7 +157,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     of their text. Null text is empty: its only id is ``end_id``. An empty
     table writes no rows. Other columns are not written. ``chunk`` bytes of text
     are encoded at once (a longer text alone): more take less time, as a word
-    is looked up once for each chunk, and more memory.
+    is looked up once for each chunk, and more memory. Each worker keeps the
+    ids of at most ``memo`` runs of letters for later chunks.
     """
     spark = docs.sparkSession
     lean(spark)
@@ -164,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(shards or shuffle_parts(spark), *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    coded = rows.mapInArrow(_encoder(tokenizer_path, end_id, chunk), f"doc_id {kind}, shard int, row long, before long, n_tokens long, token_ids array<int>")
+    coded = rows.mapInArrow(_encoder(tokenizer_path, end_id, chunk, memo), f"doc_id {kind}, shard int, row long, before long, n_tokens long, token_ids array<int>")
     writer = coded.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS)
     for name in ("doc_id", "row", "before", "n_tokens"):
         writer = writer.option(f"parquet.enable.dictionary#{name}", "false")

@@ -8,13 +8,14 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyforge.llm import chat, decontaminate, queries
+from tallyforge.llm import chat, decontaminate, near_dedup, queries, tokens
 from tallyforge.llm.common import stored
 
 from .helpers import DOCS, WORD, chat_turns, corpus, held_out, messy, near, quality, repeats
@@ -199,3 +200,21 @@ def test_pipeline_on_messy_and_no_rows(spark, documents, tmp_path):
         want = Counter((i, *bpe.encode(t or "", add_special_tokens=False).ids, corpus_pipeline.END_ID) for (i, t), n in left.items() for _ in range(n))
         assert Counter((r["doc_id"], *r["token_ids"]) for r in coded) == want and bool(want) == bool(some)
         assert [r["start"] for r in coded] == [sum(r["n_tokens"] for r in coded[:k]) for k in range(len(coded))]
+
+
+def test_pipeline_workers_hold_little(spark, monkeypatch):
+    """Slices and memo of the stages that fill executors: small ones are asked for, and kept to."""
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline, "write_tokens", lambda *a, **options: asked.update(options))
+    monkeypatch.setattr(corpus_pipeline, "read_tokens", lambda *a: None)
+    corpus_pipeline.token_files(spark, None, "")
+    assert asked["chunk"] <= 512 << 10 and asked["memo"] <= 50_000
+
+    small = tokens.WordTokens(public_tokenizers.path("word_bpe_49k.json"), memo=100)
+    words = pa.array([f"word{a}{b}" for a in "abcdefghijklmnop" for b in "abcdefghijklmnopqrst"])
+    ids, _ = small.batch(words, None)
+    assert len(small.memo) + len(small.older) <= 100
+    assert ids.tolist() == tokens.WordTokens(public_tokenizers.path("word_bpe_49k.json")).batch(words, None)[0].tolist()
+
+    texts = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["one two three " * 4_000] * 40)], ["id", "text"])
+    assert max(b.column(1).nbytes for b in near_dedup._sliced([texts])) <= 257 << 10
