@@ -10,8 +10,8 @@
    largest component, and components that link are merged (large-star and
    small-star) before the next turn, with other members. A family of n near
    copies so costs about n comparisons, not all its pairs. Turns end when one
-   finds no link, after ``TURNS``, or when buckets hold few pairs of different
-   components.
+   finds no link or spares few pairs, after ``TURNS``, or when buckets hold few
+   pairs of different components.
 3. For what is left there are two ways, each of which finds all: buckets of
    more than ``FEW`` members are cut finer (members of one bucket that also
    agree in four minima of another band) and compared in full, or members go
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, join_counted, lean, stored
@@ -47,6 +47,10 @@ PAIRS = 4
 SLICE = 256 << 10
 #: Turns of one comparison for each component of a bucket.
 TURNS = 6
+#: A turn that leaves less than so many pairs fewer in the buckets for each one compared is the last: a pair stands in several buckets, and most are never compared.
+GAIN = 4
+#: Up to so many pairs or links are broadcast to the tables that they meet, and worked on in tasks of ``TASK_PAIRS``.
+FEW_PAIRS, TASK_PAIRS = 20_000, 2_000
 _U = np.uint64
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -227,15 +231,23 @@ def _prefixes(sets: DataFrame, loose: DataFrame, percent: int, kind: str) -> Dat
     return many
 
 
-def _shares(rows: DataFrame, key: str) -> DataFrame:
-    """(key, w, size, main, share) of the keys of ``rows(key, root, ...)`` that hold several roots.
+def _shares(rows: DataFrame, key: str, turn: int | None = None) -> DataFrame:
+    """(key, w, size, main, share) of the keys of ``rows(key, root, ...)`` that hold several roots; with a ``turn`` also top.
 
     ``w`` and ``size`` are the key's number of rows, ``main`` its commonest
-    root, ``share`` how many rows of other roots one row meets, on average.
+    root, ``share`` how many rows of other roots one row meets, on average,
+    ``top`` the member of ``main`` that the others meet in that turn.
     """
-    each = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("c"))
-    found = each.groupBy(key).agg(F.sum("c").alias("w"), F.sum(F.col("c").cast("double") * F.col("c")).alias("own"), F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots"))
-    return found.filter("roots > 1").select(key, "w", F.col("w").alias("size"), "main", (F.col("w") - F.col("own") / F.col("w")).alias("share"))
+    lead = [] if turn is None else [_lead(turn)]
+    each = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("c"), *lead)
+    top = [F.max_by("lead", "c").alias("top") for _ in lead]
+    found = each.groupBy(key).agg(F.sum("c").alias("w"), F.sum(F.col("c").cast("double") * F.col("c")).alias("own"), F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots"), *top)
+    return found.filter("roots > 1").select(key, "w", F.col("w").alias("size"), "main", (F.col("w") - F.col("own") / F.col("w")).alias("share"), *["top" for _ in lead])
+
+
+def _lead(turn: int) -> Column:
+    """Of the members of a root in a bucket the one that is compared in ``turn``."""
+    return F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("lead")
 
 
 def _prefix_pairs(many: DataFrame, asking: DataFrame, percent: int) -> DataFrame:
@@ -250,45 +262,52 @@ def _prefix_pairs(many: DataFrame, asking: DataFrame, percent: int) -> DataFrame
     return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, kind: str, *spent: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked: sizes, then signatures, then full sets. Tables ``spent`` on the pairs are deleted.
+def _with_both(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...], n: int) -> DataFrame:
+    """``pairs(a, b)``, a stored table of ``n`` rows, with ``columns`` of both sets as a_... and b_...."""
+    if n > FEW_PAIRS:
+        for key in ("b", "a"):
+            pairs = pairs.join(sets.select(F.col("rep").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in columns]), key)
+        return pairs
+    # Sets that are in no pair stay where they are, and few rows go to few tasks.
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("rep"))
+    found = sets.select("rep", *columns).join(F.broadcast(ends), "rep")
+    sides = [F.first(F.when(F.col("rep") == F.col(key), F.col(c)), ignorenulls=True).alias(f"{key}_{c}") for key in ("a", "b") for c in columns]
+    return found.groupBy("a", "b").agg(*sides).coalesce(1 + n // TASK_PAIRS)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Those of the pairs (a, b), a stored table, that are linked: sizes, then signatures, then full sets.
 
     After the size test a partner is of about one's own size, so what is moved
     for a pair is in proportion to either document.
     """
-    side = lambda key, *cols: sets.select(F.col("rep").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in cols])
     close = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    alike = pairs.join(side("b", "n", "signature"), "b").join(side("a", "n", "signature"), "a").filter(close).select("a", "b", "a_signature", "b_signature")
+    alike = _with_both(pairs, sets, ("n", "signature"), pairs.count()).filter(close).select("a", "b", "a_signature", "b_signature")
     alike = stored(alike.mapInArrow(_agree(agreement_floor(percent)), f"a {kind}, b {kind}"), "near-alike")
-    full = alike.join(side("b", "members"), "b").join(side("a", "members"), "a").select("a", "b", "a_members", "b_members")
+    full = _with_both(alike, sets, ("members",), alike.count()).select("a", "b", "a_members", "b_members")
     links = stored(full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "near-links")
-    discard(alike, *spent)
+    discard(alike)
     return links
 
 
 def _merged(named: DataFrame, links: DataFrame) -> DataFrame:
-    """``named(rep, root)``, a stored table that is deleted, after the links (a, b) between its reps."""
-    ends = links
-    for key in ("a", "b"):
-        ends = ends.join(named.select(F.col("rep").alias(key), F.col("root").alias(f"{key}_root")), key)
-    joined = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    """``named(rep, root)``, a stored table that is deleted, after the links (a, b), a stored table, between its reps."""
+    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("rep"))
+    if links.count() <= FEW_PAIRS:
+        ends = named.join(F.broadcast(ends), "rep").coalesce(1)
+    else:
+        ends = named.join(ends, "rep")
+    joined = components(ends.groupBy("a", "b").agg(F.min("root").alias("u"), F.max("root").alias("v")), "u", "v", few=FEW_PAIRS)
     joined = joined.withColumnsRenamed({"root": "new"})
     out = stored(named.join(joined, named["root"] == joined["node"], "left").select("rep", F.coalesce("new", "root").alias("root")), "near-named")
     discard(named)
     return out
 
 
-def _pairs_of_turn(opened: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a, b): in each bucket of ``opened(key, rep, root)`` one member of every root with one of the largest root; then two tables that they are read from."""
-    lead = F.min_by("rep", F.when(F.lit(turn == 0), F.col("rep")).otherwise(F.xxhash64("rep", F.lit(turn))))
-    leads = stored(opened.groupBy("key", "root").agg(lead.alias("lead"), F.count(F.lit(1)).alias("c")), "near-leads")
-    tops = leads.groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "root", "lead")).alias("top"), F.count(F.lit(1)).alias("w")).filter("w > 1")
-    tops = stored(tops, "near-tops")
-    pairs = join_counted(leads, tops, ["key"], "w").filter(F.col("root") != F.col("top.root"))
-    pairs = pairs.select("lead", F.col("top.lead").alias("top"))
-    # At first every member is a root, and one comparison for each joins up most of a bucket.
-    pairs = pairs.groupBy("lead").agg(F.min("top").alias("top")) if turn == 0 else pairs
-    return pairs.select(F.least("lead", "top").alias("a"), F.greatest("lead", "top").alias("b")).distinct(), leads, tops
+def _pairs_of_turn(opened: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in each bucket of ``opened(key, rep, root, main, top)`` one member of every other root with ``top``, one of the largest root ``main``."""
+    leads = opened.filter("root <> main").groupBy("key", "root").agg(_lead(turn), F.first("top").alias("top"))
+    return leads.select(F.least("lead", "top").alias("a"), F.greatest("lead", "top").alias("b")).distinct()
 
 
 def _pairs_within(rows: DataFrame) -> DataFrame:
@@ -297,10 +316,10 @@ def _pairs_within(rows: DataFrame) -> DataFrame:
     return x.join(y, "key").filter("a < b AND a_root <> b_root").select("a", "b").distinct()
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """Those of ``rows(key, rep, root, ...)`` whose key holds several roots, with ``size``, ``main`` and ``share`` of the key."""
+def _several(rows: DataFrame, turn: int | None = None) -> DataFrame:
+    """Those of ``rows(key, rep, root, ...)`` whose key holds several roots, with ``size``, ``main`` and ``share`` of the key, and ``top`` for a ``turn``."""
     rows = stored(rows, "near-rooted")
-    mixed = stored(_shares(rows, "key"), "near-mixed")
+    mixed = stored(_shares(rows, "key", turn), "near-mixed")
     out = stored(join_counted(rows, mixed, ["key"], "w"), "near-open")
     discard(rows, mixed)
     return out
@@ -372,38 +391,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = stored(reps.join(several, "id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "near-same-id")
 
     members = classes.select("rep", F.posexplode("keys").alias("band", "key"))
-    shared = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("w")).filter("w > 1"), "near-shared")
+    shared = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("w"), F.min("rep").alias("top")).filter("w > 1"), "near-shared")
     buckets = stored(join_counted(members, shared, ["key"], "w"), "near-buckets")
 
-    wanted = classes.select("rep", "id", "n", "h1", "h2", "signature").join(buckets.select("rep").distinct(), "rep")
+    named = stored(buckets.select("rep").distinct().withColumn("root", F.col("rep")), "near-named")
+    wanted = classes.select("rep", "id", "n", "h1", "h2", "signature").join(named.select("rep"), "rep")
     texts = base.join(wanted.select("id"), "id", "left_semi")
     # Rows of a wanted id may be of several classes: a set is known by its class.
     sets = texts.mapInArrow(_sets(shingle), "n long, h1 long, h2 long, members binary").dropDuplicates(["n", "h1", "h2"])
     sets = stored(sets.join(wanted.drop("id"), ["n", "h1", "h2"]).select("rep", "n", "signature", "members"), "near-sets", "lz4")
 
-    if same_id.isEmpty():
-        named = stored(buckets.select("rep").distinct().withColumn("root", F.col("rep")), "near-named")
-        opened = buckets.withColumn("root", F.col("rep"))
-    else:
+    if not same_id.isEmpty():
         ends = same_id.select(F.col("a").alias("rep")).union(same_id.select(F.col("b").alias("rep")))
-        named = stored(buckets.select("rep").union(ends).distinct().withColumn("root", F.col("rep")), "near-named")
-        named = _merged(named, same_id)
-        opened = buckets.join(named, "rep")
-    turn, found = 0, True
-    while found and turn < TURNS and not opened.isEmpty():
-        if turn and opened.filter(F.col("size") > FEW).isEmpty() and _few_pairs(opened):
-            break
-        pairs, *spent = _pairs_of_turn(opened, turn)
-        links = _confirmed(pairs, sets, percent, kind, *spent)
+        more = stored(named.select("rep").union(ends).distinct().withColumn("root", F.col("rep")), "near-named")
+        discard(named)
+        named = _merged(more, same_id)
+    # At first every member is a root, and one comparison for each, with the least of all its buckets, joins up most of a bucket.
+    pairs = buckets.filter("rep <> top").groupBy("rep").agg(F.min("top").alias("a")).select("a", F.col("rep").alias("b"))
+    opened, before, turn = buckets, math.inf, 0
+    while not opened.isEmpty():
+        pairs = stored(pairs, "near-pairs")
+        compared = pairs.count()
+        links = _confirmed(pairs, sets, percent, kind)
         found = not links.isEmpty()
         named = _merged(named, links)
-        # The first turn's rows are read from the buckets again: their roots were in a table that is deleted.
-        before, opened = opened, _several((opened if turn else buckets).select("key", "band", "rep").join(named, "rep"))
-        discard(links, *[before] * min(turn, 1))
         turn += 1
+        spent, opened = opened, _several(opened.select("key", "band", "rep").join(named, "rep"), turn)
+        discard(pairs, links, spent)
+        if not found or turn == TURNS:
+            break
+        left, many, most = opened.agg(F.sum("share") / 2, F.countDistinct("rep"), F.max("size")).first()
+        if not many or most <= FEW and left <= PAIRS * many or before - left < GAIN * compared:
+            break
+        before, pairs = left, _pairs_of_turn(opened, turn)
     if not opened.isEmpty():
-        named = _merged(named, _confirmed(_pairs_left(opened, sets, percent, kind, exact), sets, percent, kind))
-    discard(sets, buckets)
+        pairs = stored(_pairs_left(opened, sets, percent, kind, exact), "near-pairs")
+        named = _merged(named, _confirmed(pairs, sets, percent, kind))
+    discard(sets)
 
     roots = reps.join(named, "rep", "left").select("id", F.coalesce("root", "rep").cast("long").alias("root"))
     out = rows.select("id", "n").join(roots.groupBy("id").agg(F.min("root").alias("root")), "id", "left")

@@ -667,6 +667,19 @@ def test_near_large_buckets_with_links(spark, monkeypatch, exact, turns):
     assert cut == [1] * (not exact)
 
 
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_near_pairs_few_or_many(spark, monkeypatch, few):
+    """Pages of paragraph versions, none linked, and copies of some of them: results agree whether pairs are broadcast or shuffled."""
+    r = random.Random(47)
+    monkeypatch.setattr(near_dedup, "FEW_PAIRS", few)
+    versions = [[prose(r, 12) for _ in range(3)] for _ in range(30)]
+    rows = [(2 * i, " ".join(r.choice(v) for v in versions), "en", "a", 0) for i in range(60)]
+    rows += [(i + 1, t + " " + prose(r, 1), "en", "a", 0) for i, t, *_ in rows[::9]]
+    want = near([(i, t) for i, t, *_ in rows], 3, 85)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=3, percent=85).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 60
+
+
 def test_signature_floor():
     floor = near_dedup.agreement_floor(85)
     assert 100 < floor < 125 and near_dedup.agreement_floor(80) < floor
